@@ -38,7 +38,7 @@ def block_of(columns: list[str], blocks: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(blocks)).cast("int")
 
 
-def dealt(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+def dealt(docs: DataFrame, columns: list[str], blocks: int, block: Column | None = None) -> DataFrame:
     """blk int, payload binary: the rows' columns, packed (compressed Arrow) by block in each input partition."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def dealt(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(block_of(columns, blocks).alias("__blk"), *columns).mapInArrow(deal, "blk int, payload binary")
+    return docs.select((block_of(columns, blocks) if block is None else block).alias("__blk"), *columns).mapInArrow(deal, "blk int, payload binary")
 
 
 def _rows(ids: list[int], payloads: list[bytes]) -> pa.RecordBatch:
@@ -94,25 +94,25 @@ def unpack_tables(payloads: pa.ChunkedArray) -> pa.Table | None:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct unsigned 64-bit keys: gaps in two-byte planes, with exceptions for wide gaps."""
+    """Sorted distinct unsigned 64-bit keys: gaps in byte planes, with exceptions for wide gaps."""
     n = len(keys)
     gaps = np.diff(keys, prepend=np.uint64(0))
-    cost = {w: w * n + 12 * int((gaps >> np.uint64(8 * w)).astype(bool).sum()) if w < 8 else 8 * n for w in (2, 4, 6, 8)}
+    cost = {w: w * n + 12 * int(np.count_nonzero(gaps >> np.uint64(8 * w))) if w < 8 else 8 * n for w in range(1, 9)}
     w = min(cost, key=cost.get)
     wide = np.flatnonzero(gaps >> np.uint64(8 * w)) if w < 8 else np.zeros(0, dtype=np.int64)
-    planes = [((gaps >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for k in range(w // 2)]
+    planes = gaps.astype("<u8").view(np.uint8).reshape(n, 8)[:, :w].T.tobytes()
     high = (gaps[wide] >> np.uint64(8 * w)) if w < 8 else gaps[wide]
-    return b"".join([np.array([n, w, len(wide)], dtype="<u4").tobytes(), *planes, wide.astype("<u4").tobytes(), high.astype("<u8").tobytes()])
+    return b"".join([np.array([n, w, len(wide)], dtype="<u4").tobytes(), planes, wide.astype("<u4").tobytes(), high.astype("<u8").tobytes()])
 
 
-def unpack_keys(data: bytes) -> tuple[np.ndarray, int]:
-    """(keys, bytes read)."""
-    n, w, m = (int(x) for x in np.frombuffer(data, dtype="<u4", count=3))
-    at = 12
-    gaps = np.zeros(n, dtype=np.uint64)
-    for k in range(w // 2):
-        gaps |= np.frombuffer(data, dtype="<u2", count=n, offset=at).astype(np.uint64) << np.uint64(16 * k)
-        at += 2 * n
+def unpack_keys(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """(keys, end of what was read)."""
+    n, w, m = (int(x) for x in np.frombuffer(data, dtype="<u4", count=3, offset=at))
+    at += 12
+    gaps = np.zeros((n, 8), dtype=np.uint8)
+    gaps[:, :w] = np.frombuffer(data, dtype=np.uint8, count=n * w, offset=at).reshape(w, n).T
+    gaps = gaps.reshape(-1).view("<u8")
+    at += n * w
     wide = np.frombuffer(data, dtype="<u4", count=m, offset=at)
     at += 4 * m
     if m:
@@ -120,6 +120,23 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, int]:
     return np.cumsum(gaps, dtype=np.uint64), at + 8 * m
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Nonnegative integers, most of them small: a byte each, and exceptions."""
+    wide = np.flatnonzero(counts >= 255)
+    return np.array([len(counts), len(wide)], dtype="<u4").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + wide.astype("<u4").tobytes() + counts[wide].astype("<i8").tobytes()
+
+
+def unpack_counts(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, m = (int(x) for x in np.frombuffer(data, dtype="<u4", count=2, offset=at))
+    at += 8
+    out = np.frombuffer(data, dtype=np.uint8, count=n, offset=at).astype(np.int64)
+    at += n
+    wide = np.frombuffer(data, dtype="<u4", count=m, offset=at)
+    at += 4 * m
+    out[wide] = np.frombuffer(data, dtype="<i8", count=m, offset=at)
+    return out, at + 8 * m
+
+
 def cuts(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
     """(range, from, to) of the nonempty parts of sorted keys."""
     step = -(-(1 << bits) // ranges)

@@ -23,7 +23,6 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialise, read, words_of
 
@@ -82,7 +81,7 @@ def splitting_tree(counts: list[int], shards: int, seed: int = SEED) -> np.ndarr
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()):
-    """(per_doc, pieces): one row per input row with size, source_size, target, taken (and `carry`);
+    """(per_doc, pieces): one row per input row with rid, size, source_size, target, taken and `carried`;
     one row per drawn piece of a document with shard, order in the shard, word range and epoch."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -146,14 +145,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         F.xxhash64(F.lit(seed + 2), "sid", "bucket", "block", "epoch").alias("block_order"), "block",
     )
     taken = pieces.groupBy("rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    kept = [F.col("carry")[c].alias(c) for c in carry]
-    per_doc = rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *kept)
+    per_doc = rows.join(taken, "rid", "left").select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("carry").alias("carried"))
     return per_doc, pieces
 
 
-def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))[0]
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of the input's columns: one for each document and epoch, cut to the words drawn."""
+    per_doc, pieces = mix(docs, carry=tuple(docs.columns), **options)
+    text = options.get("text_col", "text")
+    drawn = pieces.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("__p"), F.sum(F.col("word_to") - F.col("word_from")).alias("__n"))
+    rows = per_doc.withColumnRenamed("rid", "__rid").withColumnRenamed("size", "__size").join(drawn.withColumnRenamed("rid", "__rid"), "__rid")
+    words = words_of(F.col("carried")[text])
+    cut = F.array_join(F.flatten(F.transform("__p", lambda p: F.slice(F.col("__w"), p["word_from"].cast("int") + 1, (p["word_to"] - p["word_from"]).cast("int")))), " ")
+    rows = rows.withColumn("__w", F.when(F.col("__n") < F.col("__size"), words))
+    return rows.select(*[F.when(F.col("__n") < F.col("__size"), cut).otherwise(F.col("carried")[c]).alias(c) if c == text else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
-#: Row type of a mix result, for callers that store it.
-MIX_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")

@@ -11,6 +11,7 @@ in; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,12 +125,13 @@ def quality_rules(docs: DataFrame, table=THRESHOLDS, id_col: str = "doc_id", tex
     verdict = F.lit(True)
     for passes in rules.values():
         verdict = verdict & passes
+    # the observation keeps later filters above the projection: pushed below, they would copy its nested expressions
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & verdict).alias("kept"),
         F.array_compact(F.array(*[F.when(~p, F.lit(r)) for r, p in rules.items()])).alias("failed"),
         *[F.col("__keep")[c].alias(c) for c in keep],
-    )
+    ).observe(f"quality-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,23 @@ def secret_scan(docs: DataFrame, many_owners: int = MANY_OWNERS, id_col: str = "
     return scanned.select("rid", "doc_id").join(by_doc, "rid", "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
+def redact(docs: DataFrame, mark: str = "[secret]", many_owners: int = MANY_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """The input rows with every span that secret_scan returns replaced by a mark (overlapping spans by one)."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    scanned = scan(docs.select(F.struct(F.col(id_col).alias("i"), key.alias("h")).alias("__id"), F.col(text_col).alias("__t"), F.col(owner_col).alias("__o")), "__id", "__t", "__o")
+    by_doc = judged(spans(scanned), many_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__found"))
+    # repeated rows are alike, so one of them speaks for all
+    by_doc = scanned.join(by_doc, "rid").groupBy("doc_id").agg(F.any_value("__found").alias("__found")).select(F.col("doc_id.i").alias("__i"), F.col("doc_id.h").alias("__h"), "__found")
+    step = lambda acc, x: F.struct(
+        F.greatest(acc["at"], x["end"]).alias("at"),
+        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
+    )
+    done = F.aggregate("__found", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
+    rows = docs.withColumn("__k", key).join(by_doc, (F.col("__k") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__i")), "left")
+    text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(done)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read(spark, sf_dir, "documents"))
     said = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))

@@ -6,8 +6,8 @@ begins in the whole stream comes from one row per file when reading. Readers spl
 lookup of document ids prunes files and stripes by statistics and Bloom filters and row groups by the
 row index.
 
-Words are encoded once per Python worker and kept in a cache of two generations of CACHE_WORDS each:
-the vocabulary drops white space and no token spans it, so a text's ids are those of its words in turn.
+Words are encoded once per Python worker and kept in a cache of at most about CACHE_WORDS: the vocabulary
+drops white space and no token spans it, so a text's ids are those of its words in turn.
 
 Defined results: null text is an empty text (the end id alone); null document ids come first; rows of
 one id are ordered by text; other columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import corpus_size, fresh_path, read
 
-END_ID, CACHE_WORDS, FILE_BYTES = 2, 150_000, 32 << 20
+END_ID, CACHE_WORDS, FILE_BYTES = 2, 400_000, 32 << 20
 
 
 def default_vocabulary() -> str:
@@ -35,39 +35,73 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Ids of words as little-endian 32-bit bytes, through the tokenizers library, with a bounded cache."""
+class WordEncoder(dict):
+    """word (bytes) -> its ids as little-endian 32-bit bytes, through the tokenizers library.
+
+    An unknown word is lower-cased and split as the vocabulary's own pre-tokenizer does, and its parts (which
+    differ far less than words do) are encoded once each. Words with letters for which lower-casing or
+    composition could depend on more than the character are encoded whole.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tok, self.limit = Tokenizer.from_file(path), cache_words
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.simple = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0131-\u017E]*").fullmatch
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.parts: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Parts joined by spaces are encoded together; the last id of each is one that ends a word."""
+        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
+        for group, enc in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(enc.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                self.parts.update((p, self._ids(p)) for p in group)
+                continue
+            data, at = ids.tobytes(), 0
+            for part, end in zip(group, (4 * ends).tolist()):
+                self.parts[part] = data[at:end]
+                at = end
 
     def learn(self, words: set[bytes]) -> None:
-        missing = []
-        for w in words:
-            if w not in self.new:
-                got = self.old.get(w)
-                if got is None:
-                    missing.append(w)
-                else:
-                    self.new[w] = got
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, enc in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.new[w] = np.asarray(enc.ids, dtype="<u4").tobytes()
+        plan, new = [], {}
+        for word in words.difference(self):
+            text = word.decode("utf-8", "replace")
+            if not self.simple(text) or any(s in text for s in self.special):
+                self[word] = self._ids(text)
+                continue
+            parts = self.split(text.lower())
+            plan.append((word, parts))
+            for part in parts:
+                if part not in self.parts:
+                    new[part] = None
+        self._learn_parts(list(new))
+        known = self.parts
+        for word, parts in plan:
+            self[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids; the cache turns over between calls, never within one."""
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        """Each text's ids. Caches that have outgrown their limit start anew."""
+        if len(self) > self.limit:
+            self.clear()
+        if len(self.parts) > self.limit:
+            self.parts.clear()
         split = [t.split() for t in texts]
         self.learn(set().union(*split) if split else set())
-        of = self.new.__getitem__
+        of = self.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
 
