@@ -38,9 +38,9 @@ def default_vocabulary() -> str:
 class WordEncoder(dict):
     """word (bytes) -> its ids as little-endian 32-bit bytes, through the tokenizers library.
 
-    An unknown word is lower-cased and split as the vocabulary's own pre-tokenizer does, and its parts (which
-    differ far less than words do) are encoded once each. Words with letters for which lower-casing or
-    composition could depend on more than the character are encoded whole.
+    Unknown words are encoded many to a string, with spaces between, and told apart by the ids that end a
+    pre-token: a word of letters is one pre-token, letters and then punctuation are two. Other
+    words are encoded one by one.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -51,10 +51,7 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tok, self.limit = Tokenizer.from_file(path), cache_words
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.simple = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0131-\u017E]*").fullmatch
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.parts: dict[str, bytes] = {}
+        self.two = regex.compile(r"[A-Za-z\u00C0-\u012F]+[\x21-\x26\x28-\x2F\x3A\x3B\x3D\x3F\x40\x5B-\x60\x7B\x7D\x7E]+").fullmatch
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -62,45 +59,38 @@ class WordEncoder(dict):
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Parts joined by spaces are encoded together; the last id of each is one that ends a word."""
-        groups = [parts[i : i + 512] for i in range(0, len(parts), 512)]
-        for group, enc in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(enc.ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(group):
-                self.parts.update((p, self._ids(p)) for p in group)
+    def _learn(self, missing: list[bytes]) -> None:
+        texts = b" ".join(missing).decode("utf-8", "replace").split(" ")
+        plain, parts = [], []
+        for word, text in zip(missing, texts):
+            n = 1 if text.isalpha() and (text.isascii() or max(text) < "\u0130") else 2 if self.two(text) else 0
+            if n:
+                plain.append(word)
+                parts.append(n)
+            else:
+                self[word] = self._ids(text)
+        for lo in range(0, len(plain), 512):
+            words = plain[lo : lo + 512]
+            ids = np.asarray(self.tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids])
+            upto = np.cumsum(parts[lo : lo + 512])
+            if len(last) != upto[-1]:
+                self.update((w, self._ids(w.decode())) for w in words)
                 continue
+            cut = (4 * (last[upto - 1] + 1)).tolist()
             data, at = ids.tobytes(), 0
-            for part, end in zip(group, (4 * ends).tolist()):
-                self.parts[part] = data[at:end]
+            for word, end in zip(words, cut):
+                self[word] = data[at:end]
                 at = end
 
-    def learn(self, words: set[bytes]) -> None:
-        plan, new = [], {}
-        for word in words.difference(self):
-            text = word.decode("utf-8", "replace")
-            if not self.simple(text) or any(s in text for s in self.special):
-                self[word] = self._ids(text)
-                continue
-            parts = self.split(text.lower())
-            plan.append((word, parts))
-            for part in parts:
-                if part not in self.parts:
-                    new[part] = None
-        self._learn_parts(list(new))
-        known = self.parts
-        for word, parts in plan:
-            self[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids. Caches that have outgrown their limit start anew."""
+        """Each text's ids. The cache starts anew when it has outgrown its limit."""
         if len(self) > self.limit:
             self.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
         split = [t.split() for t in texts]
-        self.learn(set().union(*split) if split else set())
+        missing = set().union(*split).difference(self) if split else ()
+        if missing:
+            self._learn(list(missing))
         of = self.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
@@ -141,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__t")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "__t")
     rows = dealt.mapInArrow(encode, f"doc_id {kind}, at long, n_tokens long, ids array<int>")
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "at", "n_tokens", "ids")
-    rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(8 << 20)).option("compression", "zlib").orc(path)
+    rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(8 << 20)).option("compression", "zstd").orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
