@@ -66,6 +66,15 @@ def test_vendor_registry(spark):
     assert got == {0: "V002", 1: "V001"}  # the tax number decides, else the name
 
 
+def test_brands_and_rate_times_quantity(spark):
+    two = "SHLL\nRate : 92.76\nVolume : 6.36\nAmount : 636.00\nAmount : 589.95"
+    hello = "NILGIRI ENERGY\nWelcome\nSHYAMBAZAR FUEL POINT\nTotal: 100.00"
+    got, _ = run(spark, SLIP, two.replace("SHLL", "HINDUSTAN PEROLEUM"), hello)
+    assert [got[i]["vendor"] for i in range(3)] == ["Indian Oil", "Hindustan Petroleum", "NILGIRI ENERGY"]
+    assert got[1]["total"] == D("589.95") and got[1]["arithmetic_ok"]
+    assert extract.brand_of("IOCL") == "Indian Oil" and extract.brand_of("Corner Shop") is None
+
+
 def test_first_good_reading(spark):
     r = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.54), (1, 3, 0.60)], "receipt_id int, attempt int, score double")
     assert extract.first_good_reading(r).first()["attempt"] == 3
