@@ -200,6 +200,7 @@ def scored_pairs(pairs: DataFrame, claims: DataFrame, text_scores: DataFrame | N
         "a", "b", s_invoice(fuzzy_match).alias("invoice"), s_amount().alias("amount"), s_vendor(fuzzy_match).alias("vendor"), s_date().alias("date"), s_image().alias("image"), "text",
         (F.col("a_employee_id") != F.col("b_employee_id")).alias("cross"), forced.alias("forced"), reasons.alias("rules_fired"),
     )
+    rows = T.barrier(rows)
     names = list(R.SIGNAL_WEIGHTS)
     rows = rows.withColumn("base", weighted_score({n: F.col(n) for n in names}, F.col("cross"), weights))
     rows = rows.withColumn("score", F.when(F.col("forced") == "EXACT", F.greatest("base", F.lit(0.92))).otherwise(F.col("base")))
