@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES, RANGE_KEYS, LEAST = 3 << 20, 1 << 21, 64
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
 
-def block_count(total_bytes: int) -> int:
-    return max(LEAST, -(-total_bytes // BLOCK_BYTES))
+def block_count(total_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(LEAST, -(-total_bytes // block_bytes))
 
 
 def range_count(total_keys: int) -> int:

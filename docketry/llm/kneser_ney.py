@@ -4,18 +4,19 @@ Trusted rows (labels: quality 1, toxic 0) are split by a hash of the id: nine te
 TRAIN_DOCS with the smallest hashes (a documented bound; all of them while there are fewer), one tenth
 is held out. Counts stay sharded:
 
-1. blocks of documents count the bigrams of their training texts and send them to shards by a mixed
-   64-bit key (a bijection of the two words' 32-bit hashes, so a frequent word is spread over all);
+1. the training texts' bigrams are counted where they are read and sent to shards by a mixed 64-bit
+   key (a bijection of the two words' 32-bit hashes, so a frequent word is spread over all);
 2. a shard adds up its bigrams; sums per left word (tokens, followers seen once, twice, more) and per right
    word (distinct left words) go on as partial sums to word shards. Discounts come from counts of counts;
-3. blocks ask the shards about the distinct bigrams and words of all their documents (count joins), and
+3. blocks ask the shards about the distinct words of all their documents and about those bigrams that a
+   16 MB map of the model's bigrams does not rule out (count joins), and
    score each document from the answers: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is the
    discounted share of distinct left words, interpolated with 1 / vocabulary.
 
 A document is kept if its log perplexity is at most that of the QUANTILE of its language's held-out trusted
 texts, plus SLACK and SHORT / words (a few words say little). What is asked and answered grows with the corpus.
 
-Bigram queries use narrow keys: about 0.4 % of unseen bigrams may be taken for seen ones.
+Bigram queries use narrow keys: less than 0.5 % of unseen bigrams are taken for seen ones.
 
 Defined results: a text without words has perplexity null and is not kept; null language is one of its own; a
 language without held-out text keeps all its texts; repeated rows are scored each; other columns are ignored.
@@ -23,6 +24,8 @@ language without held-out text keeps all its texts; repeated rows are scored eac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,7 +101,10 @@ def _write_run(keys: np.ndarray, *values: np.ndarray) -> bytes:
 
 ROW = "kind int, rng int, blk int, payload binary, n1 long, n2 long, n3 long, n4 long, total long, size long"
 _NAMES = ["kind", "rng", "blk", "payload", "n1", "n2", "n3", "n4", "total", "size"]
-BIGRAMS, WORDS = 0, 1
+BIGRAMS, WORDS, BITS = 0, 1, 2
+#: A map of the model's bigrams: one bit for each value of their top 27 bits, 16 MB whatever the input.
+MAP_SHIFT = np.uint64(37)
+BLOCK_BYTES = 8 << 20
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -114,9 +120,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """doc_id, lang, n_words, log_perplexity, held_out for each row; trusted: doc_id of the trusted texts; ids are long."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     _, size = corpus_size(docs)
-    n_blocks, n_keys = B.block_count(size), size // 6 + 1
-    bits, ranges = B.key_bits(n_keys) + 1, B.range_count(n_keys)
-    narrow = np.uint64(64 - bits)
+    n_blocks, n_keys = B.block_count(size, BLOCK_BYTES), size // 6 + 1
+    ranges = B.range_count(n_keys)
     by_id = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     held = B.dealt(docs, ["doc_id", "text", "lang"], n_blocks, by_id(F.coalesce("doc_id", F.xxhash64("text")))).repartition(F.col("blk"))
 
@@ -125,28 +130,28 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     train = marked.where("train").orderBy("u", "doc_id").limit(train_docs).select("doc_id", F.lit(True).alias("train"))
     marked = materialise(train.unionByName(marked.where("not train").select("doc_id", "train")).withColumn("blk", by_id(F.col("doc_id"))), "trusted")
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table([])
-        chosen = set(right.column("doc_id").to_pylist())
-        docs = B.unpack_tables(left.column("payload"))
-        pick = pa.array([d in chosen for d in docs.column("doc_id").to_pylist()])
-        _, _, key, _ = bigrams(B.texts_of(docs.filter(pick)))
-        keys, c = np.unique(key, return_counts=True)
-        return _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b])) for r, a, b in B.cuts(keys, ranges, 64)])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                _, _, key, _ = bigrams(B.texts_of(pa.Table.from_batches([batch.slice(lo, 1000)])))
+                keys, c = np.unique(key, return_counts=True)
+                yield from _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b])) for r, a, b in B.cuts(keys, ranges, 64)]).to_batches()
 
-    counted = held.groupBy("blk").cogroup(marked.where("train").groupBy("blk")).applyInArrow(count, ROW)
+    # at most train_docs ids
+    chosen = F.broadcast(marked.where("train").select("doc_id"))
+    counted = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
 
     def add_up(table: pa.Table) -> pa.Table:
         runs = _read_runs(table.column("payload"), 1)
         keys, c = _sum_by(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
         rows = [(BIGRAMS, table.column("rng")[0].as_py(), None, _write_run(keys, c), *_of_counts(c), int(c.sum()), len(c))]
+        rows.append((BITS, table.column("rng")[0].as_py(), None, B.pack_keys(np.unique(keys >> MAP_SHIFT))))
         pair = _unmix64(keys)
         left, right = pair >> np.uint64(32), pair & _U32
         z = np.zeros(len(c), dtype=np.int64)
         ids = np.concatenate([left, right])
-        ids, *sums = _sum_by(mix64(ids), *[np.concatenate([a, b]) for a, b in ((c, z), ((c == 1) * 1, z), ((c == 2) * 1, z), ((c >= 3) * 1, z), (z, z + 1))])
-        rows += [(WORDS, r, None, _write_run(ids[a:b], *[s[a:b] for s in sums])) for r, a, b in B.cuts(ids, ranges, 64)]
+        ids, *sums = _sum_by(ids, *[np.concatenate([a, b]) for a, b in ((c, z), ((c == 1) * 1, z), ((c == 2) * 1, z), ((c >= 3) * 1, z), (z, z + 1))])
+        rows += [(WORDS, r, None, _write_run(ids[a:b], *[s[a:b] for s in sums])) for r, a, b in B.cuts(ids, ranges, 32)]
         return _table(rows)
 
     model = materialise(counted.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
@@ -157,6 +162,11 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         return _table([(WORDS, table.column("rng")[0].as_py(), None, _write_run(ids, *sums), *_of_counts(sums[4]), int(sums[4].sum()), len(ids))])
 
     words = materialise(model.where(F.col("kind") == WORDS).groupBy("rng").applyInArrow(add_words, ROW), "kn-words")
+    known_bits = np.zeros(1 << 27, dtype=bool)
+    for row in model.where(F.col("kind") == BITS).select("payload").collect():
+        known_bits[B.unpack_keys(row["payload"])[0].astype(np.int64)] = True
+    bit_map = docs.sparkSession.sparkContext.broadcast(np.packbits(known_bits))
+    del known_bits
     model = model.where(F.col("kind") == BIGRAMS)
     total = lambda df: [int(x or 0) for x in df.agg(*[F.sum(c) for c in _NAMES[4:]]).first()]
     n2, n1 = total(model), total(words)
@@ -164,18 +174,28 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     types, vocabulary = max(1, n1[4]), max(1, n1[5])
     rare = (d1[0] * n1[0] + d1[1] * n1[1] + d1[2] * max(0, vocabulary - n1[0] - n1[1])) / types
 
+    # narrow bigram keys: 256 values for each bigram of the model
+    bits = max(30, int(np.ceil(np.log2(max(2, n2[5])))) + 8)
+    narrow = np.uint64(64 - bits)
+
+    def asked(left: np.ndarray, right: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted bigram and word keys that a block asks about."""
+        at = (key >> MAP_SHIFT).astype(np.int64)
+        maybe = (bit_map.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return np.unique(key[maybe.astype(bool)] >> narrow), np.unique(np.concatenate([np.unique(left), np.unique(right)]))
+
     def ask(table: pa.Table) -> pa.Table:
         docs = B.unpack_tables(table.column("payload"))
         left, right, key, _ = bigrams(B.texts_of(docs))
         blk = table.column("blk")[0].as_py()
-        keys = np.unique(key >> narrow)
-        ids = np.unique(mix64(np.concatenate([np.unique(left), np.unique(right)])))
+        keys, ids = asked(left, right, key)
         rows = [(BIGRAMS, r, blk, B.pack_keys(keys[a:b])) for r, a, b in B.cuts(keys, ranges, bits)]
-        return _table(rows + [(WORDS, r, blk, B.pack_keys(ids[a:b])) for r, a, b in B.cuts(ids, ranges, 64)])
+        return _table(rows + [(WORDS, r, blk, B.pack_keys(ids[a:b])) for r, a, b in B.cuts(ids, ranges, 32)])
 
-    asked = held.groupBy("blk").applyInArrow(ask, ROW)
+    ask_rows = held.groupBy("blk").applyInArrow(ask, ROW)
 
     def answer(known: pa.Table, asking: pa.Table) -> pa.Table:
+        """For each asking block a bit for each key asked and the counts of those known, in the order asked."""
         if not known.num_rows or not asking.num_rows:
             return _table([])
         kind, rng = asking.column("kind")[0].as_py(), asking.column("rng")[0].as_py()
@@ -188,33 +208,40 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
             at = B.find(keys, want)
             hit = at >= 0
             if hit.any():
-                rows.append((kind, rng, blk, _write_run(want[hit], *[v[at[hit]] for v in values])))
+                rows.append((kind, rng, blk, np.packbits(hit).tobytes() + b"".join(B.pack_counts(v[at[hit]]) for v in values)))
         return _table(rows)
 
     known = model.unionByName(words)
-    answers = known.groupBy("kind", "rng").cogroup(asked.groupBy("kind", "rng")).applyInArrow(answer, ROW)
+    answers = known.groupBy("kind", "rng").cogroup(ask_rows.groupBy("kind", "rng")).applyInArrow(answer, ROW)
     told = answers.select("blk", "kind", "rng", "payload", F.lit(None).cast("long").alias("doc_id")).unionByName(
         marked.where("not train").select("blk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("rng"), F.lit(None).cast("binary").alias("payload"), "doc_id"))
     names = ["doc_id", "lang", "n_words", "log_perplexity", "held_out"]
 
-    def gathered(table: pa.Table, kind: int, n_values: int):
+    def gathered(table: pa.Table, kind: int, keys: np.ndarray, width: int, n_values: int) -> list[np.ndarray]:
+        """The counts of the asked keys, 0 where unknown."""
+        out = [np.zeros(len(keys), dtype=np.int64) for _ in range(n_values)]
         part = table.filter(pc.equal(table.column("kind"), kind))
-        order = np.argsort(part.column("rng").to_numpy(zero_copy_only=False), kind="stable") if part.num_rows else []
-        runs = _read_runs([part.column("payload")[int(i)] for i in order], n_values)
-        if not runs:
-            return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * n_values)
-        return tuple(np.concatenate([r[k] for r in runs]) for k in range(n_values + 1))
+        said = dict(zip(part.column("rng").to_pylist(), part.column("payload")))
+        for r, a, b in B.cuts(keys, ranges, width):
+            if r in said:
+                data = said[r].as_buffer().to_pybytes()
+                hit = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=(b - a + 7) // 8), count=b - a).astype(bool)
+                at = (b - a + 7) // 8
+                for o in out:
+                    v, at = B.unpack_counts(data, at)
+                    o[a:b][hit] = v
+        return out
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())], names)
         docs = B.unpack_tables(left.column("payload"))
         lw, rw, key, first = bigrams(B.texts_of(docs))
-        two, c2 = gathered(right, BIGRAMS, 1)
-        ids, c, f1, f2, f3, cont = gathered(right, WORDS, 5)
+        two, ids = asked(lw, rw, key)
+        c2, = gathered(right, BIGRAMS, two, bits, 1)
+        c, f1, f2, f3, cont = gathered(right, WORDS, ids, 32, 5)
         pick = lambda at, v: np.where(at >= 0, v[at] if len(v) else 0, 0)
-        lo = B.find(ids, mix64(lw))
-        ro = B.find(ids, mix64(rw))
+        lo, ro = B.find(ids, lw), B.find(ids, rw)
         seen = pick(ro, cont)
         p1 = np.maximum(seen - discount_of(seen, d1), 0) / types + rare / (vocabulary + 1) + 1e-12
         total_left = pick(lo, c).astype(np.float64)
