@@ -75,6 +75,12 @@ def test_brands_and_rate_times_quantity(spark):
     assert extract.brand_of("IOCL") == "Indian Oil" and extract.brand_of("Corner Shop") is None
 
 
+def test_learned_tax_numbers_serve_later_receipts(spark):
+    f = extract.fields(docs(spark, BILL, BILL.replace("SHARMA TRADERS", "SHRMA TRDRS")), AS_OF)
+    got = {r["receipt_id"]: r["vendor"] for r in extract.documents(extract.with_learned_vendors(f)).collect()}
+    assert got == {0: "SHARMA TRADERS", 1: "SHARMA TRADERS"}
+
+
 def test_first_good_reading(spark):
     r = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.54), (1, 3, 0.60)], "receipt_id int, attempt int, score double")
     assert extract.first_good_reading(r).first()["attempt"] == 3
