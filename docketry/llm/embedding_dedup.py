@@ -4,7 +4,7 @@ Equal vectors collapse to one point with a count. Points are dealt by a hash to
 points; each shard builds its graph once and stores it. Every point queries every shard, in blocks of
 queries: a task gets one shard's graph and one block. The task audits its beams on up to AUDIT of its
 queries and of the shard's points by brute force, and doubles beam and slack until at least RECALL of the
-audited links are found. Candidates are verified by cosine in double precision; a task returns each
+audited links are found (where a beam of MAX_BEAM still fails the audit, the block meets the whole shard). Candidates are verified by cosine in double precision; a task returns each
 query's link count and only those links that connect (a spanning forest), so a group of near copies does
 not travel as pairs. Components of the forests and of the copies give the result.
 
@@ -26,7 +26,7 @@ from .common import materialise, read
 from .components import UnionFind, components
 from .hnsw import Graph
 
-THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL = 0.95, 40_000, 20_000, 6, 256, 0.995
+THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL, MAX_BEAM = 0.95, 40_000, 20_000, 6, 256, 0.995, 512
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -60,16 +60,20 @@ def search_shard(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD, reca
     own = np.unique(np.linspace(0, len(graph.ids) - 1, min(audit, len(graph.ids))).astype(int))
     probe, pn = np.concatenate([q[pick], graph.raw[own]]), np.concatenate([qn[pick], graph.norm[own]])
     truth = (probe @ graph.raw.T) / (pn[:, None] * graph.norm[None, :]) >= threshold
-    ef, slack = 24, 0.01
+    ef, slack = 32, 0.01
     while True:
         rows, points = graph.near((probe / pn[:, None]).astype(np.float32), threshold, ef, slack)
         found = np.zeros_like(truth)
         found[rows, points] = True
         got = (found & truth).sum() / max(1, truth.sum())
-        if got >= recall or ef >= len(graph.ids):
+        if got >= recall or ef >= min(MAX_BEAM, len(graph.ids)):
             break
         ef, slack = 2 * ef, 2 * slack
-    rows, points = graph.near(unit, threshold, ef, slack)
+    if got >= recall:
+        rows, points = graph.near(unit, threshold, ef, slack)
+    else:  # beams cannot pass the audit: these queries meet the whole shard
+        parts = [np.nonzero(unit[lo : lo + 512] @ graph.unit.T >= threshold - 0.01) for lo in range(0, len(q), 512)]
+        rows, points = np.concatenate([r + 512 * k for k, (r, _) in enumerate(parts)]), np.concatenate([p for _, p in parts])
     rows, points = _verified(graph, q, qn, rows, points, threshold)
     return rows, points, float(got), ef
 
@@ -80,6 +84,7 @@ def _query(left: pa.Table, right: pa.Table) -> pa.Table:
     if left.num_rows and right.num_rows:
         state = np.load(io.BytesIO(left.column("graph")[0].as_py()))
         graph, cnt = Graph.restored(state), state["cnt"]
+        right = right.sort_by("rep")  # audits, and so beams, do not depend on the order of arrival
         ids = right.column("rep").to_numpy().astype(np.int64)
         rows, points, _, _ = search_shard(graph, _matrix(right.column("embedding")))
         other = ids[rows] != graph.ids[points]

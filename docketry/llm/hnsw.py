@@ -11,7 +11,7 @@ import numpy as np
 
 from .textkit import mix64
 
-M, M0, EF_BUILD, BATCH = 12, 24, 48, 512
+M, M0, EF_BUILD, BATCH, BRIDGES, HUB_SIM, HUB_SIZE = 12, 24, 48, 512, 4, 0.8, 4
 
 
 class Level:
@@ -19,7 +19,7 @@ class Level:
 
     def __init__(self, x: np.ndarray, width: int) -> None:
         self.x, self.width = x, width
-        self.nbrs = np.full((len(x), width), -1, dtype=np.int32)
+        self.nbrs = np.full((len(x), width + BRIDGES), -1, dtype=np.int32)
         self.n = 0  # points inserted so far: a prefix
 
     def search(self, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +99,10 @@ class Level:
         self.n = upto
         if not ids.shape[1]:
             return
-        self.nbrs[new] = self.choose(ids, sims)
+        self.nbrs[new, : self.width] = self.choose(ids, sims)
         # links back
         src = np.repeat(new, self.width)
-        dst = self.nbrs[new].ravel()
+        dst = self.nbrs[new, : self.width].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
@@ -114,14 +114,40 @@ class Level:
         at = begin[:-1, None] + np.arange(most)[None, :]
         extra = np.where(np.arange(most)[None, :] < size[:, None], src[np.minimum(at, len(src) - 1)], -1)
         who = dst[begin[:-1]]
-        have = self.nbrs[who]
+        have = self.nbrs[who, : self.width]
         extra = np.where((extra[:, :, None] == have[:, None, :]).any(2), -1, extra)
         cand = np.concatenate([have, extra], 1)
         for lo in range(0, len(who), 2048):
             c, w = cand[lo : lo + 2048], who[lo : lo + 2048]
             s = np.where(c >= 0, np.einsum("ncd,nd->nc", self.x[c], self.x[w]), -9)
             top = np.argsort(-s, 1, kind="stable")
-            self.nbrs[w] = self.choose(np.take_along_axis(c, top, 1), np.take_along_axis(s, top, 1))
+            self.nbrs[w, : self.width] = self.choose(np.take_along_axis(c, top, 1), np.take_along_axis(s, top, 1))
+
+
+    def connect(self, batch: int = 4096) -> None:
+        """Bridge what the entry point cannot reach: tight groups keep links only among themselves.
+
+        A point that is not reached is linked from its nearest reached point with a free bridge, until all are.
+        """
+        reached = np.zeros(self.n + 1, dtype=bool)
+        reached[-1] = True
+        frontier = np.zeros(1, dtype=np.int64)
+        rest = np.arange(self.n)
+        while True:
+            reached[frontier] = True
+            while len(frontier):
+                nxt = np.unique(self.nbrs[frontier])
+                frontier = nxt[~reached[nxt]]
+                reached[frontier] = True
+            rest = rest[~reached[rest]]
+            if not len(rest):
+                return
+            u = int(rest[0])
+            sims = np.where(reached[:-1] & (self.nbrs[:, -1] < 0), self.x[: self.n] @ self.x[u], -9)
+            r = int(sims.argmax())
+            free = self.width + int(np.flatnonzero(self.nbrs[r, self.width :] < 0)[0])
+            self.nbrs[r, free] = u
+            frontier = np.array([u])
 
 
 class Graph:
@@ -147,22 +173,60 @@ class Graph:
                 if lv.n:
                     entry = self.entries(lv.x[lv.n : upto], k) if k < top else np.zeros((upto - lv.n, 1), dtype=np.int32)
                 lv.insert(upto, entry)
+            lv.connect()
+        self.hubs = self.find_hubs()
 
-    def entries(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Entry points for level k, by a narrow search down the levels above."""
+    def find_hubs(self) -> np.ndarray:
+        """One point of each tight group (points linked at HUB_SIM or more, at least HUB_SIZE): such a group fills its
+        members' lists on every level, so beams may find no way in."""
+        base = self.levels[0]
+        n = base.n
+        src = np.repeat(np.arange(n), base.nbrs.shape[1])
+        dst = base.nbrs[:n].ravel().astype(np.int64)
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        close = np.zeros(len(src), dtype=bool)
+        for lo in range(0, len(src), 1 << 16):
+            a, b = src[lo : lo + (1 << 16)], dst[lo : lo + (1 << 16)]
+            close[lo : lo + (1 << 16)] = np.einsum("nd,nd->n", base.x[a], base.x[b]) >= HUB_SIM
+        src, dst = np.concatenate([src[close], dst[close]]), np.concatenate([dst[close], src[close]])
+        label = np.arange(n)
+        while True:  # least labels spread and jump
+            nxt = label.copy()
+            np.minimum.at(nxt, src, label[dst])
+            nxt = nxt[nxt]
+            if (nxt == label).all():
+                break
+            label = nxt
+        size = np.bincount(label, minlength=n)
+        return np.flatnonzero(size >= HUB_SIZE).astype(np.int32)
+
+    def entries(self, q: np.ndarray, k: int, ef: int = 8) -> np.ndarray:
+        """Entry points for level k, by beams down the levels above."""
         at = np.zeros((len(q), 1), dtype=np.int32)
         for lv in self.levels[:k:-1]:
-            at = lv.search(q, at, 4)[0]
-        return at if k >= len(self.levels) - 1 else np.where(at < self.levels[k].n, at, -1)
+            at = lv.search(q, at, ef)[0]
+        if k == 0 and len(self.hubs_or_none()):
+            sims = q @ self.levels[0].x[self.hubs].T
+            best = np.argsort(-sims, 1)[:, :4]
+            at = np.concatenate([self.hubs[best], np.where((at[:, :, None] == self.hubs[best][:, None, :]).any(2), -1, at)], 1)
+        return np.where(at < self.levels[k].n, at, -1)
+
+    def hubs_or_none(self) -> np.ndarray:
+        return self.__dict__.get("hubs", np.zeros(0, dtype=np.int32))
 
     def near(self, q: np.ndarray, threshold: float, ef: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
         """(query rows, points) with similarity of threshold - slack or more that the beams meet; a beam that ends
         inside the region goes on through the region's own links until nothing new turns up."""
         rows, points = [], []
         base = self.levels[0]
+        # links against their direction too: pruning can leave a member of a tight group without a link to it
+        dst = base.nbrs.ravel()
+        order = np.argsort(dst, kind="stable")
+        src = (order // base.nbrs.shape[1])[dst[order] >= 0]
+        begin = np.searchsorted(dst[order][dst[order] >= 0], np.arange(base.n + 1))
         for lo in range(0, len(q), BATCH):
             part = q[lo : lo + BATCH]
-            ids, sims = base.search(part, self.entries(part, 0), ef)
+            ids, sims = base.search(part, self.entries(part, 0, ef), ef)
             inside = sims >= threshold - slack
             for i in np.flatnonzero(inside.any(1)):
                 found = ids[i][inside[i]]
@@ -172,7 +236,9 @@ class Graph:
                 frontier = found
                 got = [found]
                 while len(frontier):
-                    nxt = np.unique(base.nbrs[frontier])
+                    size = begin[frontier + 1] - begin[frontier]
+                    back = src[np.repeat(begin[frontier] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    nxt = np.unique(np.concatenate([base.nbrs[frontier].ravel(), back]))
                     nxt = nxt[(nxt >= 0) & ~seen[nxt]]
                     seen[nxt] = True
                     frontier = nxt[base.x[nxt] @ part[i] >= threshold - slack]
@@ -185,19 +251,19 @@ class Graph:
         return np.concatenate(rows), np.concatenate(points)
 
     def state(self) -> dict[str, np.ndarray]:
-        return {"ids": self.ids, "raw": self.raw, **{f"n{k}": lv.nbrs for k, lv in enumerate(self.levels)}}
+        return {"ids": self.ids, "raw": self.raw, "hubs": self.hubs, **{f"n{k}": lv.nbrs for k, lv in enumerate(self.levels)}}
 
     @classmethod
     def restored(cls, state) -> Graph:
         g = cls.__new__(cls)
-        g.ids, g.raw = state["ids"], state["raw"]
+        g.ids, g.raw, g.hubs = state["ids"], state["raw"], state["hubs"]
         g.norm = np.linalg.norm(g.raw, axis=1)
         g.unit = (g.raw / g.norm[:, None]).astype(np.float32)
         g.levels = []
         k = 0
         while f"n{k}" in state:
             nbrs = state[f"n{k}"]
-            lv = Level(g.unit[: len(nbrs)], nbrs.shape[1])
+            lv = Level(g.unit[: len(nbrs)], nbrs.shape[1] - BRIDGES)
             lv.nbrs, lv.n = nbrs, len(nbrs)
             g.levels.append(lv)
             k += 1
