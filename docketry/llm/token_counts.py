@@ -3,8 +3,9 @@
 A word (with a leading word mark) is cut into pieces of a public vocabulary so that the sum of piece
 scores is highest; the forward score of a prefix depends on the prefix alone, so it is computed once
 per trie node and shared by all words that begin with it. A terminal node stores its token count.
-Each Python worker keeps one trie for all its tasks, dropped when it exceeds MAX_NODES; a document is
-counted where it is read, so nothing shuffles.
+Each Python worker keeps one trie for all its tasks, dropped when it exceeds MAX_NODES, and a table of
+the terminal counts by word hash (64 bits, MAX_WORDS); a document is counted where it is read, so
+nothing shuffles.
 
 Scores: a piece of rank r (its place in the vocabulary file) has log probability -log(r + 2); a single
 character that is no piece costs UNKNOWN and is one token. Ties go to fewer tokens.
@@ -18,14 +19,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import find
 from .common import read
+from .textkit import word_hashes
 
 MARK = "▁"
 UNKNOWN = -30.0
-MAX_NODES = 600_000
+MAX_NODES, MAX_WORDS = 600_000, 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -87,7 +91,35 @@ class TrieCounter:
         return count
 
 
-_COUNTERS: dict[str, TrieCounter] = {}
+class CountTable:
+    """Terminal counts of the words met so far, by 64-bit hash; unknown words go through the trie."""
+
+    def __init__(self, counter: TrieCounter, limit: int = MAX_WORDS) -> None:
+        self.counter, self.limit = counter, limit
+        self.hashes, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, tokens) of each text."""
+        if len(self.hashes) > self.limit:
+            self.hashes, self.counts = self.hashes[:0], self.counts[:0]
+        hashes, first = word_hashes(texts)
+        seen, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        missing = find(self.hashes, seen) < 0
+        if missing.any():
+            words = b" ".join(texts).split()
+            # in order, so that words with a common beginning follow one another
+            order = sorted((words[i].decode("utf-8", "replace"), k) for k, i in zip(np.flatnonzero(missing).tolist(), at[missing].tolist()))
+            n = np.zeros(len(seen), dtype=np.int64)
+            for word, k in order:
+                n[k] = self.counter.insert(word)
+            place = np.searchsorted(self.hashes, seen[missing])
+            self.hashes, self.counts = np.insert(self.hashes, place, seen[missing]), np.insert(self.counts, place, n[missing])
+        size = self.counts[find(self.hashes, seen)][inverse] if len(seen) else np.zeros(0, dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return np.diff(first), np.diff(upto[first])
+
+
+_TABLES: dict[str, CountTable] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = MAX_NODES) -> DataFrame:
@@ -95,23 +127,19 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, TrieCounter(load_scores(path), max_nodes))
+        table = _TABLES.get(path) or _TABLES.setdefault(path, CountTable(TrieCounter(load_scores(path), max_nodes)))
         for batch in batches:
-            n_words, n_tokens = [], []
-            for text in batch.column(1):
-                words = [] if not text.is_valid else text.as_buffer().to_pybytes().split()
-                known = counter.terminal
-                total = 0
-                for w in words:
-                    w = w.decode("utf-8", "replace")
-                    got = known.get(w)
-                    if got is None:
-                        got = counter(w)
-                        known = counter.terminal
-                    total += got
-                n_words.append(len(words))
-                n_tokens.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            lo = 0
+            while lo < batch.num_rows:  # a few MB of text at a time
+                hi, size, texts = lo, 0, []
+                while hi < batch.num_rows and size < 4_000_000:
+                    t = batch.column(1)[hi]
+                    texts.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+                    size += len(texts[-1])
+                    hi += 1
+                n_words, n_tokens = table.count(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+                lo = hi
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, docs[text_col].cast("string").alias("__t")).mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")

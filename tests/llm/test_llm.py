@@ -223,6 +223,12 @@ def test_token_counts_match_plain():
         assert count(w) == best(w)
 
 
+def test_token_counts_over_documents(docs, rows):
+    count = token_counts.TrieCounter(token_counts.load_scores(token_counts.default_vocabulary()))
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(docs).collect()}
+    assert got == {r[0]: (len(plain.words(r[1])), sum(map(count, plain.words(r[1])))) for r in rows}
+
+
 def test_small_world_recall():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 24))
