@@ -2,9 +2,12 @@
 
 Equal vectors collapse to one point with a count. Points are dealt by a hash to shards of at most about SHARD
 points; each shard builds its graph once and stores it. Every point queries every shard, in blocks of
-queries: a task gets one shard's graph and one block. The task audits its beams on up to AUDIT of its
-queries and of the shard's points by brute force, and doubles beam and slack until at least RECALL of the
-audited links are found (where a beam of MAX_BEAM still fails the audit, the block meets the whole shard). Candidates are verified by cosine in double precision; a task returns each
+queries: a task gets one shard's graph and one block. The task draws queries by a fixed permutation and finds their
+links by brute force, until AUDIT of them have one to MANY - 1 neighbours other than themselves and AUDIT have more;
+a block with too few of either is drawn whole, and so exact. Beams for the rest are audited on those probes: beam and
+slack double until each of the two classes has a mean recall per probe of at least RECALL (where a beam of MAX_BEAM
+still fails the audit, the rest meets the whole shard).
+Candidates are verified by cosine in double precision; a task returns each
 query's link count and only those links that connect (a spanning forest), so a group of near copies does
 not travel as pairs. Components of the forests and of the copies give the result.
 
@@ -26,7 +29,7 @@ from .common import materialise, read
 from .components import UnionFind, components
 from .hnsw import Graph
 
-THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL, MAX_BEAM = 0.95, 40_000, 20_000, 6, 256, 0.995, 512
+THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL, MAX_BEAM, MANY = 0.95, 40_000, 20_000, 6, 256, 0.995, 512, 10
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -51,31 +54,63 @@ def _verified(graph: Graph, q: np.ndarray, qn: np.ndarray, rows: np.ndarray, poi
     return rows[ok], points[ok]
 
 
-def search_shard(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(query rows, points) that link, the audited recall, and the beam it took."""
+def _whole(graph: Graph, q: np.ndarray, qn: np.ndarray, unit: np.ndarray, pick: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, points): all links of the picked queries."""
+    rows, points = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    for lo in range(0, len(pick), 512):
+        r, p = np.divmod(np.flatnonzero(unit[pick[lo : lo + 512]] @ graph.unit.T >= threshold - 0.001), len(graph.ids))
+        r, p = _verified(graph, q, qn, pick[lo : lo + 512][r], p, threshold)
+        rows.append(r.astype(np.int32))
+        points.append(p.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(points)
+
+
+def search_shard(graph: Graph, q: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL, audit: int = AUDIT, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(query rows, points) that link, the audited recall of the worst class, and the beam it took (0: none, all exact).
+
+    ids: the queries' ids; a query's own point in the graph is no evidence of recall."""
     qn = np.linalg.norm(q, axis=1)
     unit = (q / qn[:, None]).astype(np.float32)
-    # audited: some queries as they come, and some of the shard's own points, which have at least themselves
-    pick = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    own = np.unique(np.linspace(0, len(graph.ids) - 1, min(audit, len(graph.ids))).astype(int))
-    probe, pn = np.concatenate([q[pick], graph.raw[own]]), np.concatenate([qn[pick], graph.norm[own]])
-    truth = (probe @ graph.raw.T) / (pn[:, None] * graph.norm[None, :]) >= threshold
+    itself = np.full(len(q), -1)
+    if ids is not None:
+        order = np.argsort(graph.ids)
+        at = order[np.minimum(np.searchsorted(graph.ids, ids, sorter=order), len(order) - 1)]
+        itself = np.where(graph.ids[at] == ids, at, -1)
+    draw = np.random.default_rng(0).permutation(len(q))
+    drawn, links = 0, []
+    probes: list[list[int]] = [[], []]
+    while drawn < len(q) and min(map(len, probes)) < audit:
+        part = draw[drawn : drawn + 512]
+        links.append(_whole(graph, q, qn, unit, part, threshold))
+        r, p = links[-1]
+        n = np.bincount(r[p != itself[r]], minlength=len(q))[part]
+        probes[0] += part[(n > 0) & (n < MANY)].tolist()
+        probes[1] += part[n >= MANY].tolist()
+        drawn += len(part)
+    rows, points = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, dtype=np.int32),) * 2
+    rest = draw[drawn:]
+    if not len(rest):
+        return rows, points, 1.0, 0
+    kinds = [np.array(k[:audit]) for k in probes]
+    pick = np.concatenate(kinds)
+    mine = np.isin(rows, pick) & (points != itself[rows])
+    asked, truth = rows[mine], rows[mine].astype(np.int64) * len(graph.ids) + points[mine]
+    size = np.bincount(asked, minlength=len(q))
     ef, slack = 32, 0.01
     while True:
-        rows, points = graph.near((probe / pn[:, None]).astype(np.float32), threshold, ef, slack)
-        found = np.zeros_like(truth)
-        found[rows, points] = True
-        got = (found & truth).sum() / max(1, truth.sum())
+        r, p = graph.near(unit[pick], threshold, ef, slack)
+        hit = np.isin(truth, pick[r] * len(graph.ids) + p)
+        share = np.bincount(asked[hit], minlength=len(q)) / np.maximum(size, 1)
+        got = min(float(share[k].mean()) for k in kinds)
         if got >= recall or ef >= min(MAX_BEAM, len(graph.ids)):
             break
         ef, slack = 2 * ef, 2 * slack
     if got >= recall:
-        rows, points = graph.near(unit, threshold, ef, slack)
+        r, p = graph.near(unit[rest], threshold, ef, slack)
+        r, p = _verified(graph, q, qn, rest[r], p, threshold)
     else:  # beams cannot pass the audit: these queries meet the whole shard
-        parts = [np.nonzero(unit[lo : lo + 512] @ graph.unit.T >= threshold - 0.01) for lo in range(0, len(q), 512)]
-        rows, points = np.concatenate([r + 512 * k for k, (r, _) in enumerate(parts)]), np.concatenate([p for _, p in parts])
-    rows, points = _verified(graph, q, qn, rows, points, threshold)
-    return rows, points, float(got), ef
+        r, p = _whole(graph, q, qn, unit, rest, threshold)
+    return np.concatenate([rows, r]), np.concatenate([points, p]), got, ef
 
 
 def _query(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -86,7 +121,7 @@ def _query(left: pa.Table, right: pa.Table) -> pa.Table:
         graph, cnt = Graph.restored(state), state["cnt"]
         right = right.sort_by("rep")  # audits, and so beams, do not depend on the order of arrival
         ids = right.column("rep").to_numpy().astype(np.int64)
-        rows, points, _, _ = search_shard(graph, _matrix(right.column("embedding")))
+        rows, points, _, _ = search_shard(graph, _matrix(right.column("embedding")), ids=ids)
         other = ids[rows] != graph.ids[points]
         rows, points = rows[other], points[other]
         weight = np.bincount(rows, weights=cnt[points], minlength=len(ids)).astype(np.int64)

@@ -240,6 +240,38 @@ def test_small_world_recall():
     assert len(rows) >= 0.98 * truth.sum() and recall >= 0.99
 
 
+def _losing(g, lost):
+    """g, whose beams never meet the lost (query row, point) pairs; rows are told by their vectors."""
+    near = g.near
+
+    def beams(q, *a):
+        rows, points = near(q, *a)
+        keep = [(int((g.unit @ q[r]).argmax()), int(p)) not in lost for r, p in zip(rows, points)]
+        return rows[keep], points[keep]
+
+    g.near = beams
+    return g
+
+
+@pytest.mark.parametrize("group", [0, 300])
+def test_audit_counts_no_self_matches_and_no_group_for_others(group):
+    # beams lose links of a few pairs; self-matches, or the pairs of a group, hid that
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 24))
+    x[:group] = x[0] + 0.02 * rng.normal(size=(group, 24))
+    x[890:] = x[880:890] + 0.01 * rng.normal(size=(10, 24))
+    g = hnsw.Graph(np.arange(900), x)
+    at = {int(i): k for k, i in enumerate(g.ids)}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = set(map(tuple, np.argwhere(u @ u.T >= 0.95).tolist()))
+    links = lambda got: {(r, int(g.ids[p])) for r, p in zip(got[0].tolist(), got[1].tolist())}
+    one = {(at[884], at[894])}
+    assert links(embedding_dedup.search_shard(_losing(g, one), x)) == truth
+    # a part drawn, where there are enough of both classes
+    every = {(at[i], at[j]) for i in range(880, 900) for j in range(880, 900) if i != j}
+    assert links(embedding_dedup.search_shard(_losing(g, every), x, audit=4, ids=np.arange(900))) == truth
+
+
 def test_embedding_links_match_plain(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 8)).astype(np.float32)
