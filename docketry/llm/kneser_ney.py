@@ -1,15 +1,15 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Trusted rows (labels: quality 1, toxic 0) are split by a hash of the id: nine tenths train, of which the
-TRAIN_DOCS with the smallest hashes (a documented bound; all of them while there are fewer), one tenth
-is held out. Counts stay sharded:
+Trusted rows (labels: quality 1, toxic 0) are split by a hash of the id: nine tenths train, one tenth is held
+out. Counts stay sharded:
 
-1. the training texts' bigrams are counted where they are read and sent to shards by a mixed 64-bit
-   key (a bijection of the two words' 32-bit hashes, so a frequent word is spread over all);
+1. texts that a 16 MB map of the training ids does not rule out meet the training ids in a join; the bigrams of
+   all training texts are counted and sent to shards by a mixed 64-bit key (a bijection of the two words' 32-bit
+   hashes, so a frequent word is spread over all);
 2. a shard adds up its bigrams; sums per left word (tokens, followers seen once, twice, more) and per right
    word (distinct left words) go on as partial sums to word shards. Discounts come from counts of counts;
 3. blocks ask the shards about the distinct words of all their documents and about those bigrams that a
-   16 MB map of the model's bigrams does not rule out (count joins), and
+   16 MB map of the model's bigrams does not rule out (count joins; a fuller map rules out less), and
    score each document from the answers: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is the
    discounted share of distinct left words, interpolated with 1 / vocabulary.
 
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, materialise, read
+from .common import corpus_size, materialise, read, release
 from .textkit import mix64, word_hashes
 
-TRAIN_DOCS, QUANTILE, SLACK, SHORT = 20_000, 0.99, 0.25, 8.0
+QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
 START = np.uint64(0x51A27)
 _U32 = np.uint64(0xFFFFFFFF)
 
@@ -107,6 +107,22 @@ MAP_SHIFT = np.uint64(37)
 BLOCK_BYTES = 8 << 20
 
 
+def _bit_map(payloads) -> np.ndarray:
+    bits = np.zeros(1 << (64 - int(MAP_SHIFT)), dtype=bool)
+    for p in payloads:
+        bits[B.unpack_keys(p)[0].astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def _in_map(bit_map: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> MAP_SHIFT).astype(np.int64)
+    return ((bit_map[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _id_keys(ids) -> np.ndarray:
+    return mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6]
     return pa.Table.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], kinds[i]) for i in range(10)], _NAMES)
@@ -116,7 +132,7 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, held_out for each row; trusted: doc_id of the trusted texts; ids are long."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     _, size = corpus_size(docs)
@@ -126,9 +142,18 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     held = B.dealt(docs, ["doc_id", "text", "lang"], n_blocks, by_id(F.coalesce("doc_id", F.xxhash64("text")))).repartition(F.col("blk"))
 
     marked = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("u", F.xxhash64(F.lit(11), "doc_id"))
-    marked = marked.withColumn("train", F.pmod("u", F.lit(10)) != 0)
-    train = marked.where("train").orderBy("u", "doc_id").limit(train_docs).select("doc_id", F.lit(True).alias("train"))
-    marked = materialise(train.unionByName(marked.where("not train").select("doc_id", "train")).withColumn("blk", by_id(F.col("doc_id"))), "trusted")
+    marked = materialise(marked.select("doc_id", (F.pmod("u", F.lit(10)) != 0).alias("train"), by_id(F.col("doc_id")).alias("blk")), "trusted")
+    train = marked.where("train").select("doc_id")
+
+    def id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([B.pack_keys(np.unique(_id_keys(batch.column(0)) >> MAP_SHIFT))], pa.binary())], ["payload"])
+
+    id_map = docs.sparkSession.sparkContext.broadcast(_bit_map(r["payload"] for r in train.mapInArrow(id_bits, "payload binary").collect()))
+
+    def may_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_map(id_map.value, _id_keys(batch.column(0)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +162,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
                 keys, c = np.unique(key, return_counts=True)
                 yield from _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b])) for r, a, b in B.cuts(keys, ranges, 64)]).to_batches()
 
-    # at most train_docs ids
-    chosen = F.broadcast(marked.where("train").select("doc_id"))
-    counted = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
+    mapped = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(may_train, "doc_id long, text string")
+    counted = mapped.join(train, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
 
     def add_up(table: pa.Table) -> pa.Table:
         runs = _read_runs(table.column("payload"), 1)
@@ -162,11 +186,9 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         return _table([(WORDS, table.column("rng")[0].as_py(), None, _write_run(ids, *sums), *_of_counts(sums[4]), int(sums[4].sum()), len(ids))])
 
     words = materialise(model.where(F.col("kind") == WORDS).groupBy("rng").applyInArrow(add_words, ROW), "kn-words")
-    known_bits = np.zeros(1 << 27, dtype=bool)
-    for row in model.where(F.col("kind") == BITS).select("payload").collect():
-        known_bits[B.unpack_keys(row["payload"])[0].astype(np.int64)] = True
-    bit_map = docs.sparkSession.sparkContext.broadcast(np.packbits(known_bits))
-    del known_bits
+    id_map.unpersist()
+    release(docs.sparkSession)
+    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(r["payload"] for r in model.where(F.col("kind") == BITS).select("payload").collect()))
     model = model.where(F.col("kind") == BIGRAMS)
     total = lambda df: [int(x or 0) for x in df.agg(*[F.sum(c) for c in _NAMES[4:]]).first()]
     n2, n1 = total(model), total(words)
@@ -180,9 +202,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     def asked(left: np.ndarray, right: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sorted bigram and word keys that a block asks about."""
-        at = (key >> MAP_SHIFT).astype(np.int64)
-        maybe = (bit_map.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return np.unique(key[maybe.astype(bool)] >> narrow), np.unique(np.concatenate([np.unique(left), np.unique(right)]))
+        return np.unique(key[_in_map(bit_map.value, key)] >> narrow), np.unique(np.concatenate([np.unique(left), np.unique(right)]))
 
     def ask(table: pa.Table) -> pa.Table:
         docs = B.unpack_tables(table.column("payload"))

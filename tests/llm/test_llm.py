@@ -325,6 +325,17 @@ def test_perplexity_matches_plain(spark):
     assert not out[100] or not held
 
 
+def test_all_training_texts_are_counted(spark):
+    # 24,000 trusted texts of three words, each with a word of its own: seen words are likelier than unseen ones
+    d = spark.range(24_000).selectExpr("id AS doc_id", "concat('a w', id, ' b') AS text", "'en' AS lang")
+    more = spark.range(24_000).selectExpr("id + 100000 AS doc_id", "concat('a w', id, ' b') AS text", "'en' AS lang")
+    other = spark.createDataFrame([(200_000, "a unseen b", "en")], "doc_id long, text string, lang string")
+    p = {r["doc_id"]: r for r in kneser_ney.perplexity(d.unionByName(more).unionByName(other), d.select("doc_id")).select("doc_id", "log_perplexity", "held_out").collect()}
+    train = [i for i in range(24_000) if not p[i]["held_out"]]
+    assert len(train) > 20_000
+    assert sum(p[100_000 + i]["log_perplexity"] >= p[200_000]["log_perplexity"] for i in train) == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=60), st.lists(st.integers(0, 100_000), max_size=60))
 def test_codes_round_trip(keys, counts):
