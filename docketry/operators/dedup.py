@@ -278,6 +278,12 @@ def checkpoint_folder(df: DataFrame) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once."""
+    checkpoint_folder(df)
+    return df.checkpoint()
+
+
 def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """node, component (least member) of edges a, b: least labels spread and jump until nothing changes."""
     checkpoint_folder(edges)
@@ -311,8 +317,13 @@ def transitive_closure(truth: DataFrame) -> DataFrame:
 
 
 def find_duplicates(claims: DataFrame, policy_limit: float | None = None, text_scores: DataFrame | None = None, fuzzy_match: bool = True) -> DataFrame:
-    """The batch pass: candidates, scores, rules, resubmissions, splits and threshold gaming, merged."""
-    pairs = tag_resubmissions(scored_pairs(candidate_pairs(claims), claims, text_scores, fuzzy_match), claims)
+    """The batch pass: candidates, scores, rules, resubmissions, splits and threshold gaming, merged.
+
+    text_scores: as for scored_pairs; by default those of the candidate pairs over all claims' texts.
+    """
+    pairs = settled(candidate_pairs(claims))
+    text_scores = text_signal(pairs, claims) if text_scores is None else text_scores
+    pairs = tag_resubmissions(scored_pairs(pairs, claims, text_scores, fuzzy_match), claims)
     extra = pattern_pairs(split_suspects(claims), 0.70, "MEDIUM", "SPLIT_SUSPECT")
     if policy_limit is not None:
         extra = extra.unionByName(pattern_pairs(threshold_gaming(claims, policy_limit), 0.55, "LOW", "THRESHOLD_GAMING"))
@@ -332,8 +343,20 @@ def find_duplicates_for(new: DataFrame, existing: DataFrame, max_candidates: int
     return tag_resubmissions(scored_pairs(pairs, every, None, fuzzy_match), every)
 
 
-def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
-    """a, b, text: cosine of L2-normalised character n-gram TF-IDF (words padded by a space, smooth idf + 1)."""
+def text_signal(pairs: DataFrame, claims: DataFrame) -> DataFrame:
+    """a, b, text of the pairs whose claims both have a text: TF-IDF cosine over all texts that are not blank."""
+    texts = claims.where(F.col("text").rlike(r"\S")).select("claim_id", "text")
+    same = texts.groupBy("text").agg(F.min("claim_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rep = settled(texts.join(same, "text").select("claim_id", "rep"))
+    both = pairs.join(rep.select(F.col("claim_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("claim_id").alias("b"), F.col("rep").alias("rb")), "b")
+    both = settled(both.select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")))
+    apart = both.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    cosine = tfidf_scores(apart, same.withColumnRenamed("rep", "claim_id"), "claim_id", "text", copies="copies").select(F.col("a").alias("ra"), F.col("b").alias("rb"), "text")
+    return both.join(cosine, ["ra", "rb"], "left").select("a", "b", F.when(F.col("ra") == F.col("rb"), 1.0).otherwise(F.col("text")).alias("text"))
+
+
+def term_counts(texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
+    """id, term, tf: character n-grams of words padded by a space."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+", " "), " "), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
@@ -341,10 +364,19 @@ def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
         of = lambda k: F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.when(F.lit(k) == low, F.array(w)).otherwise(F.array().cast("array<string>")))
         return F.flatten(F.array(*[of(k) for k in range(low, high + 1)]))
 
+    return texts.select(id_col, F.explode(F.flatten(F.transform(padded, grams))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5, copies: str | None = None) -> DataFrame:
+    """a, b, text: cosine of L2-normalised character n-gram TF-IDF (words padded by a space, smooth idf + 1).
+
+    copies: how many texts a row stands for (default 1).
+    """
+    many = texts.select(id_col, (F.col(copies) if copies else F.lit(1)).alias("copies"))
     ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
-    terms = texts.select(id_col, F.explode(F.flatten(F.transform(padded, grams))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    terms = term_counts(texts, id_col, text_col, low, high)
+    n = many.agg(F.sum("copies").alias("n"))
+    idf = terms.join(many, id_col).groupBy("term").agg(F.sum("copies").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = terms.join(ids, id_col, "left_semi").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = weights.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))

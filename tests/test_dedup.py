@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+from collections import Counter
 from decimal import Decimal as D
 from itertools import combinations
 
@@ -31,6 +33,33 @@ def test_same_bill_is_exact_and_grouped(spark):
     assert {r["claim_id"]: r["duplicate_group"] for r in dedup.clusters(found).collect()} == {"C1": 1, "C2": 1}
 
 
+def plain_text(texts):
+    """Cosine of character 3- to 5-gram TF-IDF of each pair of texts that are not blank."""
+    tf = {}
+    for i, t in texts.items():
+        grams = Counter()
+        for w in t.lower().split():
+            w = f" {w} "
+            grams.update(w[k : k + n] for n in (3, 4, 5) for k in range(len(w) - n + 1))
+        if grams:
+            tf[i] = grams
+    df = Counter(g for c in tf.values() for g in c)
+    v = {i: {g: n * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in c.values())) for i, c in v.items()}
+    return {(a, b): sum(x * v[b].get(g, 0) for g, x in v[a].items()) / norm[a] / norm[b] for a, b in combinations(sorted(v), 2)}
+
+
+TEXTS = {"C1": "Sharma Traders total 1174 thank you", "C2": "sharma traders  TOTAL 1174 thanks", "C3": "Sharma Traders total 1174 thank you", "C4": " ", "C5": "taxi to the airport"}
+
+
+def test_batch_has_the_text_signal(spark):
+    c = table(spark, *[claim(i, text=t) for i, t in TEXTS.items()])
+    got = {k: dict(r["signals"]).get("text") for k, r in pairs_of(dedup.find_duplicates(c)).items()}
+    want = plain_text(TEXTS)
+    assert set(got) == set(combinations(sorted(TEXTS), 2)) and {k for k, v in got.items() if v is not None} == set(want)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_missing_signals_are_no_evidence(spark):
     c = table(spark, claim("C1", invoice_no=None, date=None), claim("C2", invoice_no=None, date=None))
     pairs = spark.createDataFrame([("C1", "C2")], "a string, b string")
