@@ -75,6 +75,12 @@ def block_keys(claims: DataFrame, with_text: bool = True) -> DataFrame:
     return keys.distinct()
 
 
+def incremental_keys(claims: DataFrame, k: int = R.RARE_TOKENS) -> DataFrame:
+    """claim_id, block, key as one claim alone gives them: B1 to B5, and its first k tokens in alphabetical order as B6."""
+    first = F.slice(F.array_sort(tokens(F.col("text"))), 1, k)
+    return fixed_keys(claims).unionByName(claims.select("claim_id", F.lit("B6").alias("block"), F.explode(first).alias("key"))).distinct()
+
+
 def candidate_pairs(claims: DataFrame, keys: DataFrame | None = None, max_block: int = R.MAX_BLOCK, window_days: int = R.WINDOW_DAYS) -> DataFrame:
     """a, b: pairs that share a block of 2 to max_block claims, with dates at most window_days apart (a null date passes)."""
     keys = block_keys(claims) if keys is None else keys
@@ -331,16 +337,21 @@ def find_duplicates(claims: DataFrame, policy_limit: float | None = None, text_s
 
 
 def find_duplicates_for(new: DataFrame, existing: DataFrame, max_candidates: int = 400, fuzzy_match: bool = True) -> DataFrame:
-    """The incremental pass: new claims against existing ones that share any key; the latest max_candidates of each."""
+    """The incremental pass: new claims against existing ones that share any key; the latest max_candidates of each.
+
+    The text signal is that of a new claim and its candidates alone, as if no others were known."""
     every = existing.unionByName(new)
-    keys = fixed_keys(new).withColumnRenamed("claim_id", "new_id").join(fixed_keys(existing), ["block", "key"])
+    keys = incremental_keys(new).withColumnRenamed("claim_id", "new_id").join(incremental_keys(existing), ["block", "key"])
     near = keys.select("new_id", "claim_id").where("new_id <> claim_id").distinct()
     near = near.join(existing.select("claim_id", "date"), "claim_id").join(new.select(F.col("claim_id").alias("new_id"), F.col("date").alias("new_date")), "new_id")
     near = near.where(F.coalesce(F.abs(F.date_diff("date", "new_date")) <= R.WINDOW_DAYS, F.lit(True)))
     order = Window.partitionBy("new_id").orderBy(F.desc("date"), "claim_id")
-    near = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_candidates)
-    pairs = near.select(F.least("new_id", "claim_id").alias("a"), F.greatest("new_id", "claim_id").alias("b")).distinct()
-    return tag_resubmissions(scored_pairs(pairs, every, None, fuzzy_match), every)
+    near = settled(near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_candidates).select("new_id", "claim_id"))
+    pair = [F.least("new_id", "claim_id").alias("a"), F.greatest("new_id", "claim_id").alias("b")]
+    pairs = near.select(*pair).distinct()
+    # where both claims are new, the later id is the one screened
+    text = text_near(near, every).groupBy(*pair).agg(F.max_by("text", "new_id").alias("text"))
+    return tag_resubmissions(scored_pairs(pairs, every, text, fuzzy_match), every)
 
 
 def text_signal(pairs: DataFrame, claims: DataFrame) -> DataFrame:
@@ -355,6 +366,21 @@ def text_signal(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     return both.join(cosine, ["ra", "rb"], "left").select("a", "b", F.when(F.col("ra") == F.col("rb"), 1.0).otherwise(F.col("text")).alias("text"))
 
 
+def text_near(near: DataFrame, claims: DataFrame) -> DataFrame:
+    """new_id, claim_id, text: TF-IDF cosine of a new claim and each of its candidates, over the texts of these alone."""
+    terms = term_counts(claims.where(F.col("text").rlike(r"\S")), "claim_id", "text").groupBy("claim_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    members = near.unionByName(near.select("new_id", F.col("new_id").alias("claim_id")).distinct()).join(terms, "claim_id")
+    n = members.groupBy("new_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = members.select("new_id", "claim_id", F.inline("terms"))
+    own = F.max(F.when(F.col("claim_id") == F.col("new_id"), F.col("tf")))
+    of = rows.groupBy("new_id", "term").agg(F.count(F.lit(1)).alias("df"), own.alias("own")).join(n, "new_id")
+    of = of.select("new_id", "term", F.coalesce("own", F.lit(0)).alias("own"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = rows.join(of, ["new_id", "term"]).select("new_id", "claim_id", (F.col("tf") * F.col("idf")).alias("x"), (F.col("own") * F.col("idf")).alias("y"))
+    sums = w.groupBy("new_id", "claim_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("square"))
+    norm = sums.where("new_id = claim_id").select("new_id", F.col("square").alias("own_square"))
+    return sums.where("new_id <> claim_id").join(norm, "new_id").select("new_id", "claim_id", (F.col("dot") / F.sqrt(F.col("square") * F.col("own_square"))).alias("text"))
+
+
 def term_counts(texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
     """id, term, tf: character n-grams of words padded by a space."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+", " "), " "), lambda w: w != "")

@@ -74,7 +74,7 @@ def duplicates_fuzzy(spark, d):
 def duplicates_incremental(spark, d):
     c = A.claims(spark, d)
     new, old = c.where(F.col("claim_id") >= A.COPY), c.where(F.col("claim_id") < A.COPY)
-    return dedup.find_duplicates_for(new, old, fuzzy_match=False).select("a", "b", "score", "band")
+    return dedup.find_duplicates_for(new, old).select("a", "b", "score", "band")
 
 
 _STATS = """, k AS (SELECT (SELECT count(*) FROM claims) AS n_claims, (SELECT count(*) FROM pairs) AS n_candidates, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM truth JOIN pairs USING (a, b)) AS n_found)

@@ -114,6 +114,20 @@ def test_incremental_agrees_with_batch(spark):
     assert set(pairs_of(dedup.find_duplicates_for(new, old))) == {("C1", "C3")}
 
 
+def test_incremental_meets_by_text_and_scores_it(spark):
+    far = dict(employee_id="E777", invoice_no="ZZ-9999", total=D("5"), date=dt.date(2025, 2, 1))
+    old = table(spark, *[claim(i, text=TEXTS[i]) for i in ("C1", "C2", "C4")], claim("C6", text="unlike anything", vendor_canonical="V9", gstin=None, **far))
+    new = table(spark, claim("C9", text="thank sharma traders", employee_id="E5", invoice_no=None, total=None, date=None))
+    got = {k: dict(r["signals"]).get("text") for k, r in pairs_of(dedup.find_duplicates_for(new, old)).items()}
+    # C4 shares no key (its text is blank), C6 neither; C1 and C2 share only tokens
+    near = {"C1": TEXTS["C1"], "C2": TEXTS["C2"], "C9": "thank sharma traders"}
+    pairs = dedup.text_near(spark.createDataFrame([("C9", "C1"), ("C9", "C2")], "new_id string, claim_id string"), old.unionByName(new))
+    said = {(r["claim_id"], "C9"): r["text"] for r in pairs.collect()}
+    want = {k: v for k, v in plain_text(near).items() if k[1] == "C9"}
+    assert set(got) == set(said) == set(want)
+    assert all(abs(got[k] - v) < 1e-9 and abs(said[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_closure_and_components(spark):
     t = spark.createDataFrame([(1, 2, "X"), (2, 3, "X"), (9, 8, "Y")], "a long, b long, dup_type string")
     got = {(r["a"], r["b"]): r["dup_type"] for r in dedup.transitive_closure(t).collect()}
