@@ -194,11 +194,8 @@ def rules(fuzzy_match: bool = True) -> tuple[Column, Column]:
     return F.when(r1 | r2 | r3, "EXACT"), reasons
 
 
-def scored_pairs(pairs: DataFrame, claims: DataFrame, text_scores: DataFrame | None = None, fuzzy_match: bool = True, weights: dict[str, float] = R.SIGNAL_WEIGHTS) -> DataFrame:
-    """a, b, signals, score, band, rules_fired; pairs below KEEP_SCORE without a rule are dropped.
-
-    text_scores: a, b, text; where it is given, pairs without a row have a text signal of null.
-    """
+def signal_rows(pairs: DataFrame, claims: DataFrame, text_scores: DataFrame | None = None, fuzzy_match: bool = True) -> DataFrame:
+    """a, b, a column for each signal, cross (two employees), forced, rules_fired of all pairs."""
     rows = with_records(pairs, claims)
     rows = rows.join(text_scores, ["a", "b"], "left") if text_scores is not None else rows.withColumn("text", F.lit(None).cast("double"))
     forced, reasons = rules(fuzzy_match)
@@ -206,13 +203,25 @@ def scored_pairs(pairs: DataFrame, claims: DataFrame, text_scores: DataFrame | N
         "a", "b", s_invoice(fuzzy_match).alias("invoice"), s_amount().alias("amount"), s_vendor(fuzzy_match).alias("vendor"), s_date().alias("date"), s_image().alias("image"), "text",
         (F.col("a_employee_id") != F.col("b_employee_id")).alias("cross"), forced.alias("forced"), reasons.alias("rules_fired"),
     )
-    rows = T.barrier(rows)
+    return T.barrier(rows)
+
+
+def signal_map() -> Column:
+    """The signals that exist, by name."""
+    return F.map_filter(F.create_map(*[x for n in R.SIGNAL_WEIGHTS for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
+
+
+def scored_pairs(pairs: DataFrame, claims: DataFrame, text_scores: DataFrame | None = None, fuzzy_match: bool = True, weights: dict[str, float] = R.SIGNAL_WEIGHTS) -> DataFrame:
+    """a, b, signals, score, band, rules_fired; pairs below KEEP_SCORE without a rule are dropped.
+
+    text_scores: a, b, text; where it is given, pairs without a row have a text signal of null.
+    """
+    rows = signal_rows(pairs, claims, text_scores, fuzzy_match)
     names = list(R.SIGNAL_WEIGHTS)
     rows = rows.withColumn("base", weighted_score({n: F.col(n) for n in names}, F.col("cross"), weights))
     rows = rows.withColumn("score", F.when(F.col("forced") == "EXACT", F.greatest("base", F.lit(0.92))).otherwise(F.col("base")))
     rows = rows.withColumn("band", F.coalesce("forced", band_for(F.col("base"))))
-    signals = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull())
-    return rows.where((F.col("score") >= R.KEEP_SCORE) | (F.size("rules_fired") > 0)).select("a", "b", signals.alias("signals"), "score", "band", "rules_fired")
+    return rows.where((F.col("score") >= R.KEEP_SCORE) | (F.size("rules_fired") > 0)).select("a", "b", signal_map().alias("signals"), "score", "band", "rules_fired")
 
 
 def tag_resubmissions(pairs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -143,13 +143,17 @@ def f1_by_weights(signals: DataFrame, truth: DataFrame, vectors: DataFrame, thre
     """F1 at HIGH for each weight vector; signals: a, b, signals map, cross (two employees). One pass over pairs."""
     t = truth.select("a", "b").distinct()
     n_true = t.agg(F.count(F.lit(1)).alias("n_true"))
-    rows = signals.join(t.withColumn("hit", F.lit(True)), ["a", "b"], "left").crossJoin(F.broadcast(vectors))  # a few hundred vectors
     names = list(R.SIGNAL_WEIGHTS)
-    num = sum((F.coalesce(F.col("signals")[n] * F.col("weights")[n], F.lit(0.0)) for n in names), F.lit(0.0))
-    den = sum((F.when(F.col("signals")[n].isNotNull(), F.col("weights")[n]).otherwise(0.0) for n in names), F.lit(0.0))
-    score = F.round(F.when(den > 0, num / den).otherwise(0.0) * F.when(F.col("cross"), R.CROSS_EMPLOYEE).otherwise(1.0), 4)
     keys = [c for c in vectors.columns if c != "weights"]
-    agg = rows.groupBy(*keys).agg(F.count_if((score >= threshold) & F.col("hit").isNotNull()).alias("tp"), F.count_if((score >= threshold) & F.col("hit").isNull()).alias("fp"))
+    rows = signals.join(t.withColumn("hit", F.lit(True)), ["a", "b"], "left")
+    # pairs alike in all signals count together
+    rows = rows.groupBy(*[F.col("signals")[n].alias(f"s_{n}") for n in names], "cross", "hit").agg(F.count(F.lit(1)).alias("pairs"))
+    rows = rows.crossJoin(F.broadcast(vectors.select(*keys, *[F.col("weights")[n].alias(f"w_{n}") for n in names])))  # a few hundred vectors
+    num = sum((F.coalesce(F.col(f"s_{n}") * F.col(f"w_{n}"), F.lit(0.0)) for n in names), F.lit(0.0))
+    den = sum((F.when(F.col(f"s_{n}").isNotNull(), F.col(f"w_{n}")).otherwise(0.0) for n in names), F.lit(0.0))
+    score = F.round(F.when(den > 0, num / den).otherwise(0.0) * F.when(F.col("cross"), R.CROSS_EMPLOYEE).otherwise(1.0), 4)
+    count = lambda c: F.sum(F.when((score >= threshold) & c, F.col("pairs")).otherwise(0))
+    agg = rows.groupBy(*keys).agg(count(F.col("hit").isNotNull()).alias("tp"), count(F.col("hit").isNull()).alias("fp"))
     agg = agg.crossJoin(n_true)
     return agg.select(*keys, "tp", "fp", (F.col("n_true") - F.col("tp")).alias("fn"), *_prf(F.col("tp"), F.col("fp"), F.col("n_true") - F.col("tp")))
 

@@ -169,6 +169,13 @@ def _signals(spark, d):
     return x.select("a", "b", "signals", (F.col("ea") != F.col("eb")).alias("cross"))
 
 
+def _all_signals(spark, d):
+    """All six signals of every candidate pair, those below KEEP_SCORE too: another weight vector may lift them."""
+    c = A.claims(spark, d)
+    p = dedup.settled(dedup.candidate_pairs(c))
+    return dedup.signal_rows(p, c, dedup.text_signal(p, c)).select("a", "b", dedup.signal_map().alias("signals"), "cross")
+
+
 _W = {k: w for k, w in R.SIGNAL_WEIGHTS.items() if k != "text"}
 _NUM = " + ".join(f"coalesce({k} * v.{k}, 0)" for k in _W)
 _DEN = " + ".join(f"({k} IS NOT NULL)::INT * v.{k}" for k in _W)
@@ -186,7 +193,7 @@ def ablation(spark, d):
 
 @query("weight_search")
 def weight_search(spark, d):
-    return evaluation.best_weights(evaluation.f1_by_weights(_signals(spark, d), A.truth(spark, d), evaluation.weight_vectors(spark)))
+    return evaluation.best_weights(evaluation.f1_by_weights(_all_signals(spark, d), A.truth(spark, d), evaluation.weight_vectors(spark)))
 
 
 # A confidence that is a plain function of the row, and a verdict from the labels.

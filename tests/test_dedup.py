@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import dedup, evaluation, workflow
 from docketry.plans import adapter as A
+from docketry.plans import catalogue
 
 SCHEMA = "claim_id string, employee_id string, vendor_raw string, vendor_canonical string, gstin string, invoice_no string, date date, total decimal(12,2), currency string, submitted_at timestamp, status string, decided_at timestamp, phash long, text string"
 
@@ -114,6 +115,19 @@ def test_incremental_agrees_with_batch(spark):
     assert set(pairs_of(dedup.find_duplicates_for(new, old))) == {("C1", "C3")}
 
 
+def test_weight_search_sees_every_candidate_pair(spark, monkeypatch):
+    # two claims that share an image band and a text, and score below 0.45 under the standing weights
+    c = table(spark, claim("C1", phash=0, text="taxi to the airport"), claim("C2", phash=(1 << 62) - (1 << 21), text="taxi to the airport", employee_id="E2", vendor_canonical="V9", gstin=None, invoice_no="ZZ-9999", total=D("5"), date=dt.date(2025, 5, 1)))
+    monkeypatch.setattr(catalogue.A, "claims", lambda *a: c)
+    monkeypatch.setattr(catalogue.A, "truth", lambda *a: spark.createDataFrame([("C1", "C2", "X")], "a string, b string, dup_type string"))
+    rows = catalogue._all_signals(spark, "").collect()
+    assert dedup.scored_pairs(dedup.candidate_pairs(c), c, dedup.text_signal(dedup.candidate_pairs(c), c)).count() == 0
+    assert [(r["a"], r["b"], r["signals"]["text"], r["cross"]) for r in rows] == [("C1", "C2", 1.0, True)]
+    only = spark.createDataFrame([(0, {k: float(k == "text") for k in dedup.R.SIGNAL_WEIGHTS})], "vec long, weights map<string,double>")
+    monkeypatch.setattr(evaluation, "weight_vectors", lambda *a: only)
+    assert [(r["vec"], r["f1"]) for r in catalogue.weight_search(spark, "").collect()] == [(0, 1.0)]
+
+
 def test_incremental_meets_by_text_and_scores_it(spark):
     far = dict(employee_id="E777", invoice_no="ZZ-9999", total=D("5"), date=dt.date(2025, 2, 1))
     old = table(spark, *[claim(i, text=TEXTS[i]) for i in ("C1", "C2", "C4")], claim("C6", text="unlike anything", vendor_canonical="V9", gstin=None, **far))
