@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,24 @@ def _with(*parts: str) -> str:
 ENGINE = (A.CLAIMS_SQL, A.KEYS_SQL, A.PAIRS_SQL, A.SCORED_SQL)
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, full: bool = False):
+    """Claims and candidate pairs; full: with the rare-token keys, which the SQL leaves out."""
     c = A.claims(spark, d)
-    return c, dedup.candidate_pairs(c, dedup.fixed_keys(c).distinct())
+    return c, dedup.candidate_pairs(c, None if full else dedup.fixed_keys(c).distinct())
 
 
-def _found(spark: SparkSession, d: str):
-    c, p = _pairs(spark, d)
+def _found(spark: SparkSession, d: str, full: bool = False):
+    """Claims and scored pairs; full: with rare-token keys, fuzzy matching and text, which the SQL leaves out."""
+    c, p = _pairs(spark, d, full)
+    if full:
+        p = dedup.settled(p)
+        return c, dedup.tag_resubmissions(dedup.scored_pairs(p, c, dedup.text_signal(p, c)), c)
     return c, dedup.tag_resubmissions(dedup.scored_pairs(p, c, fuzzy_match=False), c)
 
 
 @query("duplicate_claims", _with(*ENGINE) + "SELECT a, b, score, band, rules FROM found")
-def duplicate_claims(spark, d):
-    return _found(spark, d)[1].select("a", "b", "score", "band", F.array_join("rules_fired", ",").alias("rules"))
+def duplicate_claims(spark, d, full=False):
+    return _found(spark, d, full)[1].select("a", "b", "score", "band", F.array_join("rules_fired", ",").alias("rules"))
 
 
 @query("block_keys", _with(A.CLAIMS_SQL, A.KEYS_SQL) + "SELECT block, count(*) AS n_keys, count(DISTINCT key) AS n_blocks FROM keys GROUP BY block")
@@ -54,13 +61,13 @@ def block_keys(spark, d):
 
 
 @query("candidate_pairs", _with(*ENGINE[:3]) + "SELECT a, b FROM pairs")
-def candidate_pairs(spark, d):
-    return _pairs(spark, d)[1]
+def candidate_pairs(spark, d, full=False):
+    return _pairs(spark, d, full)[1]
 
 
 @query("pair_signals", _with(*ENGINE) + "SELECT a, b, invoice, amount, vendor, date, image FROM found")
-def pair_signals(spark, d):
-    return _found(spark, d)[1].select("a", "b", *[F.col("signals")[k].alias(k) for k in ("invoice", "amount", "vendor", "date", "image")])
+def pair_signals(spark, d, full=False):
+    return _found(spark, d, full)[1].select("a", "b", *[F.col("signals")[k].alias(k) for k in ("invoice", "amount", "vendor", "date", "image", *["text"] * full)])
 
 
 @query("duplicates_fuzzy")
@@ -83,8 +90,8 @@ SELECT n_claims, (n_claims * (n_claims - 1) / 2)::BIGINT AS n_possible, n_candid
 
 
 @query("blocking_stats", _with(*ENGINE[:3]).rstrip() + _STATS)
-def blocking_stats(spark, d):
-    c, p = _pairs(spark, d)
+def blocking_stats(spark, d, full=False):
+    c, p = _pairs(spark, d, full)
     return dedup.blocking_stats(c, p, A.truth(spark, d))
 
 
@@ -92,8 +99,8 @@ _REACH = """edges AS (SELECT a, b FROM {t} UNION SELECT b, a FROM {t}), reach AS
 
 
 @query("duplicate_groups", "WITH RECURSIVE " + ", ".join(ENGINE) + ", strong AS (SELECT a, b FROM found WHERE band IN ('EXACT', 'HIGH')), " + _REACH.format(t="strong") + "SELECT node AS claim_id, dense_rank() OVER (ORDER BY component)::INT AS duplicate_group FROM comp")
-def duplicate_groups(spark, d):
-    return dedup.clusters(_found(spark, d)[1])
+def duplicate_groups(spark, d, full=False):
+    return dedup.clusters(_found(spark, d, full)[1])
 
 
 @query("transitive_truth", "WITH RECURSIVE " + A.CLAIMS_SQL + ", ft AS (SELECT a, b, dup_type FROM truth UNION ALL SELECT a, b + 1, 'CHAIN' FROM truth), " + _REACH.format(t="ft") + "SELECT x.node AS a, y.node AS b, coalesce(dup_type, 'TRANSITIVE') AS dup_type FROM comp x JOIN comp y ON x.component = y.component AND x.node < y.node LEFT JOIN ft ON ft.a = x.node AND ft.b = y.node")
@@ -134,31 +141,31 @@ _PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precis
 
 
 @query("prf_by_band", _with(*ENGINE).rstrip() + f", lv AS (SELECT * FROM (VALUES ('EXACT', 4), ('HIGH', 3), ('MEDIUM', 2), ('LOW', 1)) v(band, r)), x AS (SELECT f.a IS NOT NULL AS said, CASE f.band WHEN 'EXACT' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS rank, t.a IS NOT NULL AS tr FROM found f FULL JOIN truth t ON f.a = t.a AND f.b = t.b), k AS (SELECT lv.band, count(*) FILTER (WHERE rank >= r AND tr) AS tp, count(*) FILTER (WHERE rank >= r AND NOT tr) AS fp, count(*) FILTER (WHERE rank < r AND tr) AS fn FROM x, lv GROUP BY lv.band) SELECT band, tp, fp, fn, {_PRF} FROM k")
-def prf_by_band(spark, d):
-    return evaluation.band_prf(_found(spark, d)[1], A.truth(spark, d))
+def prf_by_band(spark, d, full=False):
+    return evaluation.band_prf(_found(spark, d, full)[1], A.truth(spark, d))
 
 
 @query("recall_by_type", _with(*ENGINE) + "SELECT dup_type, count(*) AS n, count(f.a) AS found, count(f.a) / count(*) AS recall FROM truth t LEFT JOIN (SELECT * FROM found WHERE band IN ('EXACT', 'HIGH', 'MEDIUM')) f ON t.a = f.a AND t.b = f.b GROUP BY dup_type")
-def recall_by_type(spark, d):
-    return evaluation.recall_by_type(_found(spark, d)[1], A.truth(spark, d))
+def recall_by_type(spark, d, full=False):
+    return evaluation.recall_by_type(_found(spark, d, full)[1], A.truth(spark, d))
 
 
 _CURVE = ", h AS (SELECT f.a, f.b, score, (t.a IS NOT NULL)::INT AS hit FROM found f LEFT JOIN truth t ON f.a = t.a AND f.b = t.b), c AS (SELECT *, row_number() OVER o AS rn, count(*) OVER () AS n, sum(hit) OVER o AS tp FROM h WINDOW o AS (ORDER BY score DESC, a, b ROWS UNBOUNDED PRECEDING)) "
 
 
 @query("precision_curve", _with(*ENGINE).rstrip() + _CURVE + "SELECT rn, score, tp / rn AS precision, tp / (SELECT count(*) FROM truth) AS recall FROM c WHERE (rn - 1) % greatest(n // 20, 1) = 0 OR rn = n")
-def precision_curve(spark, d):
-    return evaluation.sampled_curve(evaluation.precision_curve(_found(spark, d)[1], A.truth(spark, d)))
+def precision_curve(spark, d, full=False):
+    return evaluation.sampled_curve(evaluation.precision_curve(_found(spark, d, full)[1], A.truth(spark, d)))
 
 
 @query("average_precision", _with(*ENGINE).rstrip() + _CURVE + "SELECT sum(tp / rn * hit) / (SELECT count(*) FROM truth) AS average_precision FROM c")
-def average_precision(spark, d):
-    return evaluation.average_precision(evaluation.precision_curve(_found(spark, d)[1], A.truth(spark, d)))
+def average_precision(spark, d, full=False):
+    return evaluation.average_precision(evaluation.precision_curve(_found(spark, d, full)[1], A.truth(spark, d)))
 
 
 @query("workload", _with(*ENGINE).rstrip() + _CURVE + "SELECT (SELECT count(*) FROM found WHERE band IN ('EXACT', 'HIGH', 'MEDIUM')) AS medium, (SELECT count(*) FROM found WHERE band IN ('EXACT', 'HIGH', 'MEDIUM')) * 1000 / (SELECT count(*) FROM claims) AS per_1000, max(tp / rn) AS precision_at_k FROM c WHERE rn = least(n, 50)")
-def workload(spark, d):
-    c, found = _found(spark, d)
+def workload(spark, d, full=False):
+    c, found = _found(spark, d, full)
     return evaluation.workload(found, A.truth(spark, d), c.count())
 
 
@@ -187,8 +194,8 @@ s AS (SELECT v.vec, v.without, (t.a IS NOT NULL) AS hit, round(({_NUM.replace('c
   FROM found f CROSS JOIN v LEFT JOIN truth t ON f.a = t.a AND f.b = t.b),
 k AS (SELECT vec::BIGINT AS vec, without, count(*) FILTER (WHERE sc >= 0.78 AND hit) AS tp, count(*) FILTER (WHERE sc >= 0.78 AND NOT hit) AS fp FROM s GROUP BY ALL), j AS (SELECT *, (SELECT count(*) FROM truth) - tp AS fn FROM k)
 SELECT vec, without, tp, fp, fn, {_PRF} FROM j""")
-def ablation(spark, d):
-    return evaluation.f1_by_weights(_signals(spark, d), A.truth(spark, d), evaluation.ablation_vectors(spark))
+def ablation(spark, d, full=False):
+    return evaluation.f1_by_weights((_all_signals if full else _signals)(spark, d), A.truth(spark, d), evaluation.ablation_vectors(spark))
 
 
 @query("weight_search")
@@ -277,37 +284,37 @@ def money_by_currency(spark, d):
 _FLAGS = ", flags AS (SELECT CASE WHEN x.submitted_at >= y.submitted_at THEN a ELSE b END AS claim_id, CASE WHEN x.submitted_at >= y.submitted_at THEN b ELSE a END AS matched_id, band, f.score, CASE WHEN (a + b) % 5 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM found f JOIN claims x ON a = x.claim_id JOIN claims y ON b = y.claim_id) "
 
 
-def _flags(spark, d):
-    c, found = _found(spark, d)
+def _flags(spark, d, full=False):
+    c, found = _found(spark, d, full)
     flags = workflow.orient(found.select("a", "b", "band", "score"), c)
     return c, flags.withColumn("status", F.when((F.col("claim_id") + F.col("matched_id")) % 5 == 0, "DISMISSED").otherwise("OPEN"))
 
 
 @query("flags", _with(*ENGINE).rstrip() + _FLAGS + "SELECT * FROM flags")
-def flags(spark, d):
-    return _flags(spark, d)[1]
+def flags(spark, d, full=False):
+    return _flags(spark, d, full)[1]
 
 
 @query("review_queue", _with(*ENGINE).rstrip() + _FLAGS + """, p AS (SELECT claim_id, count(*) AS open_flags, count(*) FILTER (WHERE band IN ('EXACT', 'HIGH')) AS serious_flags, max(list_position(['NONE', 'LOW', 'MEDIUM', 'HIGH', 'EXACT'], band))::BIGINT AS risk FROM flags WHERE status = 'OPEN' GROUP BY claim_id)
 SELECT claim_id, total, coalesce(open_flags, 0) AS open_flags, coalesce(serious_flags, 0) AS serious_flags, coalesce(risk, 0) AS risk FROM claims LEFT JOIN p USING (claim_id) WHERE status NOT IN ('APPROVED', 'REJECTED') ORDER BY coalesce(risk, 0) DESC, total DESC, claim_id LIMIT 200""")
-def review_queue(spark, d):
-    c, fl = _flags(spark, d)
+def review_queue(spark, d, full=False):
+    c, fl = _flags(spark, d, full)
     return workflow.review_queue(c, fl).select("claim_id", "total", "open_flags", "serious_flags", "risk")
 
 
 @query("approvable", _with(*ENGINE).rstrip() + _FLAGS + "SELECT claim_id FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM flags WHERE status = 'OPEN' AND band IN ('EXACT', 'HIGH'))")
-def approvable(spark, d):
-    return workflow.approvable(*_flags(spark, d)).select("claim_id")
+def approvable(spark, d, full=False):
+    return workflow.approvable(*_flags(spark, d, full)).select("claim_id")
 
 
 @query("flags_of_either_side", _with(*ENGINE).rstrip() + _FLAGS + "SELECT node, count(*) AS n FROM (SELECT claim_id AS node FROM flags UNION ALL SELECT matched_id FROM flags) GROUP BY node")
-def flags_of_either_side(spark, d):
-    return workflow.flags_of_either_side(_flags(spark, d)[1]).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+def flags_of_either_side(spark, d, full=False):
+    return workflow.flags_of_either_side(_flags(spark, d, full)[1]).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("keep_resolutions", _with(*ENGINE).rstrip() + _FLAGS + "SELECT claim_id, matched_id, status FROM flags")
-def keep_resolutions(spark, d):
-    _, fl = _flags(spark, d)
+def keep_resolutions(spark, d, full=False):
+    _, fl = _flags(spark, d, full)
     return workflow.keep_resolutions(fl.drop("status"), fl).select("claim_id", "matched_id", "status")
 
 
@@ -408,3 +415,11 @@ def generated_claims(spark, d):
 @query("sniffed_kinds", "SELECT * FROM (VALUES ('pdf'), ('png'), ('jpeg'), ('gif'), ('bmp'), ('tiff'), ('webp'), ('heic')) v(kind)")
 def sniffed_kinds(spark, d):
     return receipts_io.sample_heads(spark).select(T.sniff(F.col("content")).alias("kind"))
+
+
+#: The same queries by the whole engine (rare-token keys, fuzzy matching, text), for which there is no SQL.
+WHOLE_ENGINE = (
+    "duplicate_claims", "candidate_pairs", "pair_signals", "blocking_stats", "duplicate_groups", "prf_by_band", "recall_by_type", "precision_curve",
+    "average_precision", "workload", "ablation", "flags", "review_queue", "approvable", "flags_of_either_side", "keep_resolutions",
+)
+QUERIES |= {f"{name}_full": partial(QUERIES[name], full=True) for name in WHOLE_ENGINE}

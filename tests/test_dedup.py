@@ -128,6 +128,20 @@ def test_weight_search_sees_every_candidate_pair(spark, monkeypatch):
     assert [(r["vec"], r["f1"]) for r in catalogue.weight_search(spark, "").collect()] == [(0, 1.0)]
 
 
+def test_whole_engine_queries(spark, monkeypatch):
+    # C1 and C2 share only a rare token; C3 and C4 are retyped: the invoice number has one more letter
+    lone = dict(phash=None, vendor_canonical=None, gstin=None, date=None, total=None)
+    rows = [claim("C1", text="zeppelin", invoice_no=None, vendor_raw="Sharma Traders", **lone), claim("C2", text="zeppelin", invoice_no=None, vendor_raw="Traders Sharma", employee_id="E2", **lone)]
+    rows += [claim("C3", invoice_no="INV-2025-777"), claim("C4", invoice_no="INV-2025-777X")]
+    monkeypatch.setattr(catalogue.A, "claims", lambda *a: table(spark, *rows))
+    assert set(pairs_of(catalogue.QUERIES["candidate_pairs"](spark, ""))) == {("C3", "C4")}
+    assert set(pairs_of(catalogue.QUERIES["candidate_pairs_full"](spark, ""))) == {("C1", "C2"), ("C3", "C4")}
+    got = pairs_of(catalogue.QUERIES["pair_signals_full"](spark, ""))
+    assert (got["C1", "C2"]["vendor"], got["C1", "C2"]["text"]) == (1.0, 1.0) and (got["C3", "C4"]["invoice"], got["C3", "C4"]["text"]) == (0.8, None)
+    assert pairs_of(catalogue.QUERIES["duplicate_claims_full"](spark, ""))["C1", "C2"]["score"] == 0.88
+    assert {f"{n}_full" for n in catalogue.WHOLE_ENGINE} <= set(catalogue.QUERIES) - set(catalogue.SQL)
+
+
 def test_incremental_meets_by_text_and_scores_it(spark):
     far = dict(employee_id="E777", invoice_no="ZZ-9999", total=D("5"), date=dt.date(2025, 2, 1))
     old = table(spark, *[claim(i, text=TEXTS[i]) for i in ("C1", "C2", "C4")], claim("C6", text="unlike anything", vendor_canonical="V9", gstin=None, **far))
