@@ -158,9 +158,7 @@ class Graph:
         level = np.floor(-np.log(np.maximum(u, 1e-18)) / np.log(M)).astype(int)
         order = np.lexsort((ids, -level))
         self.ids, self.raw, level = ids[order], vectors[order], level[order]
-        norm = np.linalg.norm(self.raw, axis=1)
-        self.unit = (self.raw / norm[:, None]).astype(np.float32)
-        self.norm = norm
+        self._scaled()
         top = int(level[0])
         while top and (level >= top).sum() < 2:
             top -= 1
@@ -176,6 +174,11 @@ class Graph:
             lv.connect()
         self.hubs = self.find_hubs()
 
+    def _scaled(self) -> None:
+        wide = self.raw.astype(np.float64)
+        self.norm = np.linalg.norm(wide, axis=1)
+        self.unit = (wide / self.norm[:, None]).astype(np.float32)
+
     def find_hubs(self) -> np.ndarray:
         """One point of each tight group (points linked at HUB_SIM or more, at least HUB_SIZE): such a group fills its
         members' lists on every level, so beams may find no way in."""
@@ -214,41 +217,48 @@ class Graph:
     def hubs_or_none(self) -> np.ndarray:
         return self.__dict__.get("hubs", np.zeros(0, dtype=np.int32))
 
-    def near(self, q: np.ndarray, threshold: float, ef: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query rows, points) with similarity of threshold - slack or more that the beams meet; a beam that ends
-        inside the region goes on through the region's own links until nothing new turns up."""
-        rows, points = [], []
+    def _incoming(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the base level against their direction: point i has those at begin[i]:begin[i + 1]."""
+        if "incoming" not in self.__dict__:
+            base = self.levels[0]
+            dst = base.nbrs.ravel()
+            order = np.argsort(dst, kind="stable")
+            order = order[dst[order] >= 0]
+            self.incoming = (order // base.nbrs.shape[1]).astype(np.int32), np.searchsorted(dst[order], np.arange(base.n + 1))
+        return self.incoming
+
+    def near(self, q: np.ndarray, threshold: float, ef: int, slack: float, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query rows, points) with similarity of threshold - slack or more that the beams meet, and the rows left out; a
+        beam that ends inside the region goes on through the region's own links until nothing new turns up. A query
+        with more than `region` points there is left out.
+
+        Links are followed against their direction too: pruning can leave a member of a tight group without a link to it."""
+        rows, points, wide = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
         base = self.levels[0]
-        # links against their direction too: pruning can leave a member of a tight group without a link to it
-        dst = base.nbrs.ravel()
-        order = np.argsort(dst, kind="stable")
-        src = (order // base.nbrs.shape[1])[dst[order] >= 0]
-        begin = np.searchsorted(dst[order][dst[order] >= 0], np.arange(base.n + 1))
-        for lo in range(0, len(q), BATCH):
-            part = q[lo : lo + BATCH]
-            ids, sims = base.search(part, self.entries(part, 0, ef), ef)
-            inside = sims >= threshold - slack
-            for i in np.flatnonzero(inside.any(1)):
-                found = ids[i][inside[i]]
-                seen = np.zeros(base.n + 1, dtype=bool)
-                seen[-1] = True
-                seen[ids[i]] = True
-                frontier = found
-                got = [found]
-                while len(frontier):
-                    size = begin[frontier + 1] - begin[frontier]
-                    back = src[np.repeat(begin[frontier] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    nxt = np.unique(np.concatenate([base.nbrs[frontier].ravel(), back]))
-                    nxt = nxt[(nxt >= 0) & ~seen[nxt]]
-                    seen[nxt] = True
-                    frontier = nxt[base.x[nxt] @ part[i] >= threshold - slack]
-                    got.append(frontier)
-                got = np.concatenate(got)
-                rows.append(np.full(len(got), lo + i))
-                points.append(got)
-        if not rows:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return np.concatenate(rows), np.concatenate(points)
+        src, begin = self._incoming()
+        ids, sims = base.search(q, self.entries(q, 0, ef), ef)
+        inside = sims >= threshold - slack
+        for i in np.flatnonzero(inside.any(1)):
+            found = ids[i][inside[i]]
+            seen = np.zeros(base.n + 1, dtype=bool)
+            seen[-1] = True
+            seen[ids[i]] = True
+            frontier, got, n = found, [found], len(found)
+            while len(frontier) and n <= region:
+                size = begin[frontier + 1] - begin[frontier]
+                back = src[np.repeat(begin[frontier] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                nxt = np.unique(np.concatenate([base.nbrs[frontier].ravel(), back]))
+                nxt = nxt[(nxt >= 0) & ~seen[nxt]]
+                seen[nxt] = True
+                frontier = nxt[base.x[nxt] @ q[i] >= threshold - slack]
+                got.append(frontier)
+                n += len(frontier)
+            if n > region:
+                wide.append(i)
+            else:
+                rows.append(np.full(n, i))
+                points.append(np.concatenate(got))
+        return np.concatenate(rows), np.concatenate(points), np.array(wide, dtype=np.int64)
 
     def state(self) -> dict[str, np.ndarray]:
         return {"ids": self.ids, "raw": self.raw, "hubs": self.hubs, **{f"n{k}": lv.nbrs for k, lv in enumerate(self.levels)}}
@@ -257,8 +267,7 @@ class Graph:
     def restored(cls, state) -> Graph:
         g = cls.__new__(cls)
         g.ids, g.raw, g.hubs = state["ids"], state["raw"], state["hubs"]
-        g.norm = np.linalg.norm(g.raw, axis=1)
-        g.unit = (g.raw / g.norm[:, None]).astype(np.float32)
+        g._scaled()
         g.levels = []
         k = 0
         while f"n{k}" in state:

@@ -7,10 +7,14 @@ each place. Hashes are the same in all processes.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 WS = b" \t\n\x0b\x0c\r"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
+_GAP = re.compile(b"[ \t\n\x0b\x0c\r]")
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -33,7 +37,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        m = max(n, _CHUNK + (_CHUNK >> 2))
+        m = max(n, 2 * _CHUNK + 2)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(m, base, dtype=np.uint64)
             p[0] = 1
@@ -53,6 +57,44 @@ def _chunk_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
+def _pieces(buf: bytes) -> Iterator[tuple[int, int, bool]]:
+    """(from, to, one long word?) of parts of at most two chunks that split no word, and of words longer than a chunk."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = min(n, lo + _CHUNK)
+        gap = _GAP.search(buf, hi) if hi < n else None
+        end = gap.start() if gap else n
+        if end - hi > _CHUNK:
+            begin = max(buf.rfind(bytes([c]), lo, hi) for c in WS) + 1 or lo
+            if begin > lo:
+                yield lo, begin, False
+            yield begin, end, True
+        else:
+            yield lo, end, False
+        lo = end
+
+
+def _long_word(buf: bytes) -> np.ndarray:
+    """The hash of one word, chunk by chunk."""
+    total = 0
+    for lo in range(0, len(buf), _CHUNK):
+        part = np.frombuffer(buf, dtype=np.uint8, count=min(_CHUNK, len(buf) - lo), offset=lo)
+        up, _ = _powers(len(part))
+        total += int((_BYTE[part] * up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, lo, 1 << 64)
+    return mix64(np.array([(total + len(buf)) % (1 << 64)], dtype=np.uint64))
+
+
+def _text_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if len(buf) <= 2 * _CHUNK:
+        return _chunk_hashes(buf)
+    hashes, starts = [], []
+    for lo, hi, long in _pieces(buf):
+        h, at = (_long_word(buf[lo:hi]), np.zeros(1, dtype=np.int64)) if long else _chunk_hashes(buf[lo:hi])
+        hashes.append(h)
+        starts.append(at + lo)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, first): text i has the words first[i]:first[i + 1]."""
     hashes, counts, i = [], [], 0
@@ -61,7 +103,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while j < len(texts) and (j == i or size + len(texts[j]) < _CHUNK):
             size += len(texts[j]) + 1
             j += 1
-        h, starts = _chunk_hashes(b" ".join(texts[i:j]))
+        h, starts = _text_hashes(b" ".join(texts[i:j]))
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
         counts.append(np.diff(np.searchsorted(starts, bounds)))
         hashes.append(h)

@@ -156,8 +156,83 @@ def test_targets_share_the_excess():
 
 
 def test_splitting_tree_is_exact():
-    t = mixing.splitting_tree([1000, 7, 0, 333], 5)
-    assert t.sum(0).tolist() == [1000, 7, 0, 333] and max(t.sum(1)) - min(t.sum(1)) <= 2 and (t >= 0).all()
+    pools = [5, 0, 17, 200, 1, 64]
+    for quota in (0, 1, 100, 287):
+        got = mixing.split_quota(quota, pools, 3, "s")
+        assert sum(got) == quota and all(0 <= g <= p for g, p in zip(got, pools))
+    drawn = np.array([mixing.split_quota(60, pools, seed, 0) for seed in range(2000)])
+    mean, share = drawn.mean(0), np.array(pools) / 287
+    spread = np.sqrt(60 * share * (1 - share) * (287 - 60) / 286)  # of a multivariate hypergeometric draw
+    assert np.allclose(mean, 60 * share, atol=0.6) and np.allclose(drawn.std(0), spread, rtol=0.1, atol=0.03)
+
+
+def test_large_hypergeometric_draws_are_not_their_mean():
+    got = [mixing.hypergeometric(6 * 10**8, 6 * 10**8, 4 * 10**8, np.random.default_rng(i)) for i in range(300)]
+    assert abs(np.mean(got) - 2 * 10**8) < 3000 and 7000 < np.std(got) < 9500
+    assert mixing.hypergeometric(3, 2 * 10**9, 2 * 10**9, np.random.default_rng(1)) in (2, 3)
+
+
+def test_mix_matches_plain(spark, docs, rows):
+    """The mix again, from the rows' hashes alone: water level, buckets, blocks, tree, draws and cuts."""
+    from pyspark.sql import functions as F
+
+    block, seed, shards, bucket_words = 16, 5, 7, mixing.BUCKET_WORDS
+    got = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=block, seed=seed, shards=shards)[0].collect())
+    other = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=block, seed=seed + 1, shards=shards)[0].collect())
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text", "source"), F.lit(0)).alias("h")).collect()}
+    size = {r[0]: len(plain.words(r[1])) for r in rows}
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = [sum(size[r[0]] for r in rows if r[3] == n) for n in names]
+    want = mixing.targets(total, [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    spots, streams = [], {}
+    for sid, name in enumerate(names):
+        assert total[sid] <= bucket_words
+        at = 0
+        for i in sorted((r[0] for r in rows if r[3] == name and size[r[0]]), key=lambda i: h[i]):
+            streams.setdefault(sid, []).append((i, at, at + size[i]))
+            at += size[i]
+        n = -(-at // block)
+        spots += [(sid, 0, k, at * k // n, at * (k + 1) // n) for k in range(n)] if at else []
+    keyed = spark.createDataFrame([s[:3] for s in spots], "sid long, bucket int, block long")
+    of = lambda salt: F.xxhash64(F.lit(seed + salt), "sid", "bucket", "block")
+    keys = {(r[0], r[2]): (r[3] % shards, r[4]) for r in keyed.select("*", F.pmod(of(1), F.lit(shards)), of(2)).collect()}
+    taken = dict.fromkeys(size, 0)
+    for sid in streams:
+        blocks = [(s[2], s[3], s[4]) for s in spots if s[0] == sid]
+        quota = min(round(want[sid]), 2 * total[sid])
+        epochs, rest = divmod(quota, total[sid])
+        least = total[sid] // len(blocks)
+        drawn = min(len(blocks), -(-rest // least))
+        pools = {}
+        for k, a, b in blocks:
+            pools.setdefault(keys[sid, k][0], []).append((keys[sid, k][1], k, a, b))
+        order = sorted(pools)
+        mine = []
+        for shard, n in zip(order, mixing.split_quota(drawn, [len(pools[s]) for s in order], seed, sid)):
+            mine += [(a, b) for _, _, a, b in sorted(pools[shard])[:n]]
+        words, upto = sum(b - a for a, b in mine), 0
+        cover = [(a, b, epochs) for _, a, b in blocks]
+        for a, b in mine:
+            take = (upto + b - a) * rest // words - upto * rest // words
+            upto += b - a
+            cover.append((a, a + take, 1))
+        for i, lo, hi in streams[sid]:
+            taken[i] += sum(k * max(0, min(hi, b) - max(lo, a)) for a, b, k in cover)
+    assert got == sorted(taken.items()) and got != other
+
+
+def test_mixed_rows_come_in_their_shards_order(spark, docs):
+    per, pieces = mixing.mix(docs, block=16)
+    assert pieces.groupBy("shard", "order").agg({"rid": "count"}).count() > mixing.LEAST_SHARDS
+    assert pieces.select("shard").distinct().count() == mixing.LEAST_SHARDS
+    assert mixing.mixed_documents(docs, block=16).count() == pieces.select("rid", "epoch").distinct().count()
+
+
+def test_mix_of_repeated_rows_and_many_sources(spark):
+    rows = [(1, "a b c d e f", "en", "s", 0)] * 40 + [(i, "x y z w", "en", f"http://{i}", 0) for i in range(2, 400)]
+    got = mixing.mix(frame(spark, rows), block=2)[0].collect()
+    assert len(got) == 438 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert abs(sum(r["taken"] for r in got if r["doc_id"] == 1) - got[0]["target"]) <= 1 or got[0]["doc_id"] != 1
 
 
 def test_packing_takes_the_tightest_compatible_bin():
@@ -182,6 +257,22 @@ def test_packing_takes_the_tightest_compatible_bin():
         v[2].append(s)
 
 
+def test_packing_fills_bins_of_one_source_and_holds_large_clusters_apart():
+    rows = [(i, 5, "s", i) for i in range(20_000)]
+    got = packing.pack_rows(rows, 4096, limits=packing.source_limits(rows, 4096, packing.MAX_SAME_SOURCE))
+    assert len({b for *_, b, _ in got}) == -(-20_000 // (4096 // 5))
+    rows = [(i, 5, f"s{i % 4}", "hot" if i % 3 else i) for i in range(3_000)]
+    got = packing.pack_rows(rows, 100, limits=packing.source_limits(rows, 100, packing.MAX_SAME_SOURCE))
+    hot = [b for i, _, _, b, _ in got if i % 3]
+    assert len(set(hot)) == len(hot) == 2_000 and len({b for *_, b, _ in got}) == 2_000
+
+
+def test_repeated_rows_are_dealt_to_several_shards(spark):
+    got = packing.pack(frame(spark, [(1, "a b c", "en", "s", 0)] * 500), shard_words=100)
+    assert got.count() == 500 and got.select("shard").distinct().count() > 10
+    assert packing.fill(got).agg({"words": "sum"}).first()[0] == 1500
+
+
 def test_packed_pieces_cover_all_words(docs, rows):
     got = packing.pack(docs, shard_words=3000).collect()
     total = {}
@@ -245,9 +336,9 @@ def _losing(g, lost):
     near = g.near
 
     def beams(q, *a):
-        rows, points = near(q, *a)
+        rows, points, wide = near(q, *a)
         keep = [(int((g.unit @ q[r]).argmax()), int(p)) not in lost for r, p in zip(rows, points)]
-        return rows[keep], points[keep]
+        return rows[keep], points[keep], wide
 
     g.near = beams
     return g
@@ -272,6 +363,34 @@ def test_audit_counts_no_self_matches_and_no_group_for_others(group):
     assert links(embedding_dedup.search_shard(_losing(g, every), x, audit=4, ids=np.arange(900))) == truth
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_tight_group_and_many_pairs(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[:1500] = x[0] + 0.01 * rng.normal(size=(1500, 16))
+    x[3000:4000] = x[2000:3000] + 0.02 * rng.normal(size=(1000, 16))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    t = u @ u.T >= 0.95
+    np.fill_diagonal(t, False)
+    pairs = np.argwhere(t)
+    root = plain.roots(range(6000), pairs[pairs[:, 0] > pairs[:, 1]].tolist())
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_links(d).collect()}
+    found, n = sum(v[0] for v in got.values()), int(t.sum())
+    assert found <= n and found >= 0.995 * n
+    assert sum(got[i][1] == root[i] for i in got) >= 0.995 * 6000 and all(got[i][1] >= root[i] for i in got)
+    audit = embedding_dedup.embedding_audit(d).collect()
+    assert sum(r["queries"] for r in audit) == 6 * (d.select("embedding").distinct().count())
+    assert all(r["beam"] == 0 or r["recall"] >= embedding_dedup.RECALL or r["beam"] >= embedding_dedup.MAX_BEAM for r in audit)
+
+
+def test_vectors_of_repeated_and_null_ids_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (None, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1) for r in embedding_dedup.embedding_links(d).collect())
+    assert got == [(-1, 0, -1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4)]
+
+
 def test_embedding_links_match_plain(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(120, 8)).astype(np.float32)
@@ -355,6 +474,17 @@ def test_hashes_tell_words_apart(texts):
     assert len({(a, b) for a, b in zip(h.tolist(), w)}) == len(set(w)) == len(set(h.tolist()))
 
 
+def test_long_texts_and_long_words_hash_as_short_ones():
+    word, long = b"abc", b"xy" * (3 * textkit._CHUNK // 2)
+    text = b" ".join([word, long] + [b"w%d" % (i % 50) for i in range(300_000)] + [long, word])
+    h, first = textkit.word_hashes([b"abc w7", text, long])
+    want, _ = textkit.word_hashes([b"abc w7"])
+    w = text.split()
+    assert first.tolist() == [0, 2, 2 + len(w), 3 + len(w)]
+    assert h[2] == want[0] and h[1 + len(w)] == want[0] and h[3] == h[len(w)] == h[-1]
+    assert {x for x, y in zip(w, h[2:-1].tolist()) if y == want[1]} == {b"w7"}
+
+
 def test_components_match_plain(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 80)]
