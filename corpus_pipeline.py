@@ -3,7 +3,10 @@
 Each stage is written as Parquet to the shared folder and read again as the next one's documents. No SQL
 states it (hash-ordered draws and best fit); tests hold it against a plain version.
 
-Repeated rows of one document id count as one document and stay or go together until the mix.
+Defined results, in every stage: columns other than doc_id, text, source and lang go along, whatever their names, and null
+values in them stay; null and empty texts fail the quality rules and go there; very long texts are read whole; ties
+go to the smaller id; repeated rows of one document id count as one document and stay or go together until the mix,
+which takes each; rows with a null id link with nothing; an empty table gives empty stages and no bins.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialise, read
+from docketry.llm.common import discard, materialise, read
 from docketry.llm.mixing import mixed_documents
 from docketry.llm.ngram_join import ngram_join
 from docketry.llm.packing import pack
@@ -27,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest id stays."""
-    gone = ngram_join(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BLOCK_BYTES, RANGE_KEYS, LEAST = 3 << 20, 1 << 21, 64
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
@@ -41,6 +43,7 @@ def block_of(columns: list[str], blocks: int) -> Column:
 def dealt(docs: DataFrame, columns: list[str], blocks: int, block: Column | None = None) -> DataFrame:
     """blk int, payload binary: the rows' columns, packed (compressed Arrow) by block in each input partition."""
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -168,6 +171,7 @@ def distinct_with_many(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shared(cells: DataFrame) -> DataFrame:
     """rng, blk, payload: to each block those of its keys that two documents hold, with the (capped) number of holders' blocks."""
 
+    @tidy
     def answer(table: pa.Table) -> pa.Table:
         blks, parts, many = table.column("blk").to_pylist(), [], []
         for p in table.column("payload"):

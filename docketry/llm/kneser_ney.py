@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, materialise, read, release
+from .common import corpus_size, materialise, read, release, tidy
 from .textkit import mix64, word_hashes
 
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
@@ -145,16 +145,19 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     marked = materialise(marked.select("doc_id", (F.pmod("u", F.lit(10)) != 0).alias("train"), by_id(F.col("doc_id")).alias("blk")), "trusted")
     train = marked.where("train").select("doc_id")
 
+    @tidy
     def id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([B.pack_keys(np.unique(_id_keys(batch.column(0)) >> MAP_SHIFT))], pa.binary())], ["payload"])
 
     id_map = docs.sparkSession.sparkContext.broadcast(_bit_map(r["payload"] for r in train.mapInArrow(id_bits, "payload binary").collect()))
 
+    @tidy
     def may_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_in_map(id_map.value, _id_keys(batch.column(0)))))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
@@ -165,6 +168,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     mapped = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(may_train, "doc_id long, text string")
     counted = mapped.join(train, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
 
+    @tidy
     def add_up(table: pa.Table) -> pa.Table:
         runs = _read_runs(table.column("payload"), 1)
         keys, c = _sum_by(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
@@ -180,6 +184,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     model = materialise(counted.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
 
+    @tidy
     def add_words(table: pa.Table) -> pa.Table:
         runs = _read_runs(table.column("payload"), 5)
         ids, *sums = _sum_by(np.concatenate([r[0] for r in runs]), *[np.concatenate([r[k] for r in runs]) for k in range(1, 6)])
@@ -204,6 +209,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         """The sorted bigram and word keys that a block asks about."""
         return np.unique(key[_in_map(bit_map.value, key)] >> narrow), np.unique(np.concatenate([np.unique(left), np.unique(right)]))
 
+    @tidy
     def ask(table: pa.Table) -> pa.Table:
         docs = B.unpack_tables(table.column("payload"))
         left, right, key, _ = bigrams(B.texts_of(docs))
@@ -214,6 +220,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     ask_rows = held.groupBy("blk").applyInArrow(ask, ROW)
 
+    @tidy
     def answer(known: pa.Table, asking: pa.Table) -> pa.Table:
         """For each asking block a bit for each key asked and the counts of those known, in the order asked."""
         if not known.num_rows or not asking.num_rows:
@@ -252,6 +259,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
                     o[a:b][hit] = v
         return out
 
+    @tidy
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())], names)

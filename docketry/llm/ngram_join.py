@@ -5,16 +5,21 @@
    weakens the filter). The global order is (holders, hash): unshared shingles first. Two sets
    that reach 75 % share a shingle among the first n - ceil(0.75 n) + 1 of each, so a set whose prefix is all
    unshared links with nothing and is done.
-3. The others are bucketed by connected prefixes: sets that share a prefix shingle are in one bucket, so
-   every link lies in a bucket. A bucket is cut into chunks of bounded size, and chunk pairs are joined:
-   one chunk is stored as a trie of its ordered sets (most frequent shingle first, edges compressed), the
-   other's sets traverse it with the overlap so far; a subtree is left when its remaining length
+3. Every link lies in the posting of a shared prefix shingle. First each posting's smallest document, its head, meets the
+   others, where the lengths allow a link: most groups of near copies become one component by that. What is left are
+   postings whose other members are not yet in one component; postings with the same members count once, and
+   members are cut by length class (a link joins one class or two neighbours) and into chunks of bounded size.
+   Chunks of a posting, and pairs of them that are not in one component, are joined.
+4. A join stores one side as a trie of its sets in the global order (most frequent shingle first, edges compressed); the
+   other's sets traverse it with the overlap so far, a subtree is left when its remaining length
    cannot bring the overlap to the bound, and sets already in one component are not compared again.
-   Chunks join themselves first, then the bucket's first chunk, then what is still apart.
-4. Components of the found links, then of the copies.
+5. Components of the found links and of the copies.
+
+A hot prefix shingle costs a comparison with its head for each holder, in chunks; only its holders that stay apart
+meet each other. Chunks are of fixed size, so no task grows with a posting.
 
 Defined results: empty or null text has no shingles and links with nothing; rows of one id are one
-node; a null id is linked with nothing and its component is null; other columns are ignored.
+node; a null id is linked with nothing and its component is null; an empty table gives no rows; other columns are ignored.
 Shingle equality is equality of 64-bit hashes.
 """
 
@@ -26,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, materialise, read
+from .common import corpus_size, discard, materialise, read, tidy
 from .components import UnionFind, components
 from .textkit import shingle_sets
 
@@ -95,22 +100,17 @@ class PrefixTree:
             stack.extend((kid, overlap, depth) for kid in node.kids.values())
 
 
-def join_chunks(ids_a, sets_a, labels_a, ids_b=None, sets_b=None, labels_b=None) -> list[tuple[int, int]]:
+def join_sets(ids_a, sets_a, labels_a, ids_b=None, sets_b=None, labels_b=None) -> list[tuple[int, int]]:
     """Links that connect: pairs of similar sets, of one chunk (b is None) or between two, without those
-    whose ends are connected already (by label or by an earlier pair)."""
+    whose ends are connected already (by label or by an earlier pair). Sets come in the global order."""
     same = ids_b is None
     uf = UnionFind()
-    node = {}
-    for ids, labels in ((ids_a, labels_a),) if same else ((ids_a, labels_a), (ids_b, labels_b)):
-        for i, label in zip(ids, labels):
-            node[i] = label
+    node = dict(zip(ids_a, labels_a)) | ({} if same else dict(zip(ids_b, labels_b)))
     everything = sets_a if same else sets_a + sets_b
-    tokens, inverse, count = np.unique(np.concatenate(everything), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), dtype=np.int64)
-    rank[np.lexsort((np.arange(len(tokens)), -count))] = np.arange(len(tokens))
-    flat = rank[inverse]
+    # numbers for the tokens; sequences stay in the global order
+    tokens, flat = np.unique(np.concatenate(everything), return_inverse=True)
     bounds = np.cumsum([0] + [len(s) for s in everything])
-    seqs = [np.sort(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    seqs = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     mark = np.zeros(len(tokens), dtype=bool)
     links = []
     tree = PrefixTree(np.zeros(0, dtype=np.int64))
@@ -136,6 +136,7 @@ def join_chunks(ids_a, sets_a, labels_a, ids_b=None, sets_b=None, labels_b=None)
 def set_digests(docs: DataFrame, n_blocks: int) -> DataFrame:
     """doc_id, blk, n_shingles, digest (null without shingles) for each row of doc_id, text."""
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -151,7 +152,7 @@ def set_digests(docs: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, chosen: DataFrame, size: int, n_blocks: int) -> DataFrame:
-    """doc_id, n, prefix (shared prefix shingles), shingles (binary): the sets that can link with another.
+    """doc_id, n, prefix (shared prefix shingles), shingles (binary, most frequent first): the sets that can link with another.
 
     chosen: doc_id, blk of one document for each distinct set.
     """
@@ -167,6 +168,7 @@ def _survivors(docs: DataFrame, chosen: DataFrame, size: int, n_blocks: int) ->
         sets = shingle_sets([t.lower() for t in B.texts_of(docs.take(pa.array(pick, pa.int64())))], NGRAM)
         return [have[i] for i in pick], sets
 
+    @tidy
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return B.cells_table([])
@@ -180,6 +182,7 @@ def _survivors(docs: DataFrame, chosen: DataFrame, size: int, n_blocks: int) ->
     told = answers.select("blk", "rng", "payload", none("long").alias("doc_id")).unionByName(chosen.select("blk", none("int").alias("rng"), none("binary").alias("payload"), "doc_id"))
     names = ["doc_id", "n", "prefix", "shingles"]
 
+    @tidy
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
@@ -195,7 +198,7 @@ def _survivors(docs: DataFrame, chosen: DataFrame, size: int, n_blocks: int) ->
                     continue
                 weight = np.where(at < 0, 0, holders[at] if len(holders) else 0)
                 ordered = s[np.lexsort((s, weight))]
-                rows.append((i, n, ordered[alone:prefix].astype(np.int64), s.astype("<u8").tobytes()))
+                rows.append((i, n, ordered[alone:prefix].astype(np.int64), ordered[::-1].astype("<u8").tobytes()))
         cols = [[r[k] for r in rows] for k in range(4)]
         return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names)
 
@@ -210,49 +213,106 @@ def _links_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _within(table: pa.Table) -> pa.Table:
-    """Links inside each (bucket, chunk) of a group of them."""
+def _groups(table: pa.Table, names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The parts of a table with equal values in some columns: several small jobs share a task's call."""
+    table = table.sort_by([(n, "ascending") for n in names])
+    keys = [table.column(n).to_numpy() for n in names]
+    cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    for a, b in zip([0, *cut], [*cut, table.num_rows]):
+        yield table.slice(int(a), int(b - a))
+
+
+@tidy
+def _with_heads(table: pa.Table) -> pa.Table:
+    """Links of the heads of a group of (head, chunk) jobs with the chunks."""
+    out: list[tuple[int, int]] = []
+    for job in _groups(table, ("head", "chunk")):
+        ids, sets, head = job.column("doc_id").to_pylist(), _arrays(job.column("shingles")), job.column("head")[0].as_py()
+        others = [i for i, d in enumerate(ids) if d != head]
+        if head in ids and others:
+            mine = [ids[i] for i in others]
+            # the head itself is the one set that traverses; it may link with all
+            out += join_sets(mine, [sets[i] for i in others], mine, [head], [sets[ids.index(head)]], [head])
+    return _links_table(out)
+
+
+@tidy
+def _in_postings(table: pa.Table) -> pa.Table:
+    """Links of a group of (posting, x, y) jobs: inside a chunk (x = y), or between two."""
     out: list[tuple[int, int]] = []
-    ids, buckets, chunks, sets = table.column("doc_id").to_pylist(), table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), _arrays(table.column("shingles"))
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, key in enumerate(zip(buckets, chunks)):
-        groups.setdefault(key, []).append(i)
-    for rows in groups.values():
-        if len(rows) > 1:
-            mine = [ids[i] for i in rows]
-            out += join_chunks(mine, [sets[i] for i in rows], mine)
+    for job in _groups(table, ("posting", "x", "y")):
+        sides = [job.filter(pc.equal(job.column("side"), k)) for k in (0, 1)]
+        args = [(t.column("doc_id").to_pylist(), _arrays(t.column("shingles")), t.column("label").to_pylist()) for t in sides]
+        if job.column("x")[0].as_py() == job.column("y")[0].as_py():
+            if len(args[0][0]) > 1:
+                out += join_sets(*args[0])
+        elif args[0][0] and args[1][0]:
+            out += join_sets(*args[0], *args[1])
     return _links_table(out)
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Links between the two chunks of a job."""
-    a, b = (table.filter(pc.equal(table.column("side"), k)) for k in (0, 1))
-    if not a.num_rows or not b.num_rows:
-        return _links_table([])
-    args = [(t.column("doc_id").to_pylist(), _arrays(t.column("shingles")), t.column("label").to_pylist()) for t in (a, b)]
-    return _links_table(join_chunks(*args[0], *args[1]))
-
-
-def _cross_links(sets: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between chunks of buckets that have several: first with chunk 0, then whatever is not yet connected."""
-    for step in ("first", "rest"):
-        label = components(links)
-        rows = large.join(label, large["doc_id"] == label["node"], "left").select("doc_id", "bucket", "chunk", "chunks", F.coalesce("component", "doc_id").alias("label"))
-        spread = rows.groupBy("bucket", "chunk").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        x, y = spread.alias("x"), spread.alias("y")
-        pairs = F.col("x.chunk") == 0 if step == "first" else F.col("x.chunk") > 0
-        one = (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))
-        jobs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.chunk") < F.col("y.chunk"))).where(pairs & ~one)
-        jobs = materialise(jobs.select(F.col("x.bucket").alias("bucket"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")), "jobs")
-        if jobs.isEmpty():
-            continue
-        sides = jobs.select("bucket", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))).alias("x")).select("bucket", "i", "j", "x.*")
-        shipped = sides.join(rows.drop("chunks"), ["bucket", "chunk"]).join(sets.select("doc_id", "shingles"), "doc_id")
-        more = shipped.groupBy("bucket", "i", "j").applyInArrow(_across, "a long, b long")
-        links = materialise(links.unionByName(more), "links")
+def _bins(size: Column, total: int, *own: str) -> Column:
+    """A group number: small jobs share groups of about a chunk, a job of a chunk's size has one of its own."""
+    bins = max(24, -(-2 * total // CHUNK_BYTES))
+    return F.when(size * 4 < CHUNK_BYTES, F.pmod(F.xxhash64(*own), F.lit(bins))).otherwise(F.xxhash64(F.lit(5), *own)).alias("grp")
+
+
+def _near(n: Column, m: Column) -> Column:
+    """Sets of these sizes can link."""
+    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+
+
+def _head_links(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """a, b: links between the heads of postings and their other members."""
+    head = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.doc_id").alias("head"), F.col("h.n").alias("m"))
+    pairs = tokens.join(head, "token").where((F.col("doc_id") != F.col("head")) & _near(F.col("n"), F.col("m"))).select("head", "m", "doc_id", "n").distinct()
+    pairs = materialise(pairs, "head-pairs")
+    sizes = pairs.groupBy("head", "m").agg(F.sum(F.col("n") * 8).alias("bytes")).withColumn("chunks", F.ceil(F.col("bytes") / CHUNK_BYTES).cast("int"))
+    sizes = materialise(sizes, "head-sizes")
+    total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
+    grp = _bins(F.col("bytes") / F.col("chunks"), total, "head", "chunk")
+    members = pairs.select("head", "doc_id").join(sizes, "head").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    heads = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("doc_id", F.col("head"))
+    shipped = members.select("head", "chunk", "doc_id", grp).unionByName(heads.select("head", "chunk", "doc_id", grp)).join(sets.select("doc_id", "shingles"), "doc_id")
+    links = materialise(shipped.groupBy("grp").applyInArrow(_with_heads, "a long, b long"), "head-links")
+    discard(pairs, sizes)
     return links
 
 
+def _posting_links(sets: DataFrame, tokens: DataFrame, links: DataFrame) -> DataFrame | None:
+    """a, b: links between members of a posting that the links so far leave apart; None if there are no such postings."""
+    label = components(links)
+    labelled = tokens.join(label, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    head = labelled.groupBy("token").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 2").select("token", "head")
+    rest = labelled.join(head, "token").where("doc_id <> head")  # heads have met all
+    signed = rest.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "doc_id")).alias("t")).where("lo <> hi")
+    chosen = materialise(signed.groupBy("k", "s", "t").agg(F.min("token").alias("posting")).select("posting"), "postings")
+    if chosen.isEmpty():
+        discard(labelled, chosen)
+        return None
+    # sizes of linked sets differ by less than one class: a class is the next if sizes are DEN / NUM apart
+    size_class = F.floor(F.log("n") / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    member = rest.join(chosen, rest["token"] == chosen["posting"]).select("posting", "doc_id", "n", "label", size_class.alias("class"))
+    member = materialise(member, "members")
+    chunks = member.groupBy("posting", "class").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).cast("int").alias("chunks"))
+    cell = F.col("class") * 1_000_000 + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
+    member = materialise(member.join(chunks, ["posting", "class"]).withColumn("cell", cell.cast("long")), "cells")
+    spread = member.groupBy("posting", "class", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.col("n") * 8).alias("bytes"))
+    x, y = spread.alias("x"), spread.withColumn("near", F.explode(F.array(F.col("class"), F.col("class") - 1))).alias("y")
+    apart = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
+    # the jobs are pairs of chunks of one posting, in one class or two neighbours, that are not in one component
+    jobs = x.join(y, (F.col("x.posting") == F.col("y.posting")) & (F.col("x.class") == F.col("y.near")) & ((F.col("x.class") < F.col("y.class")) | (F.col("x.cell") <= F.col("y.cell"))) & apart)
+    jobs = materialise(jobs.select("x.posting", F.col("x.cell").alias("x"), F.col("y.cell").alias("y"), (F.col("x.bytes") + F.col("y.bytes")).alias("bytes")), "jobs")
+    total = int(jobs.agg(F.sum("bytes")).first()[0] or 0)
+    side = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cell"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("cell"), F.lit(0).alias("side")), F.struct(F.col("y").alias("cell"), F.lit(1).alias("side"))))
+    sides = jobs.select("posting", "x", "y", _bins(F.col("bytes"), total, "posting", "x", "y"), F.explode(side).alias("c")).select("posting", "x", "y", "grp", "c.*")
+    shipped = sides.join(member.select("posting", "cell", "doc_id", "label"), ["posting", "cell"]).join(sets.select("doc_id", "shingles"), "doc_id")
+    more = materialise(shipped.groupBy("grp").applyInArrow(_in_postings, "a long, b long"), "posting-links")
+    discard(labelled, chosen, member, jobs)
+    return more
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) for each input row; ids are long."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -262,27 +322,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linkable = digests.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "blk")).alias("r"), F.count(F.lit(1)).alias("copies")).select("digest", "r.doc_id", "r.blk", "copies"), "classes")
     sets = materialise(_survivors(docs, classes.select("doc_id", "blk"), size, n_blocks), "sets")
-
-    tokens = sets.select("doc_id", F.explode("prefix").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "head")
-    near = tokens.join(heads, "token").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    bucket = components(near)
-    placed = sets.select("doc_id", "n").join(bucket, sets["doc_id"] == bucket["node"]).select("doc_id", "n", F.col("component").alias("bucket"))
-    placed = materialise(placed, "buckets")
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    placed = materialise(placed, "chunks")
-    total = placed.agg(F.sum(F.col("n") * 8)).first()[0] or 0
-    bins = max(24, -(-2 * int(total) // CHUNK_BYTES))
-    group = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(bins))).otherwise(F.xxhash64("bucket", "chunk")).alias("grp")
-    ready = placed.select("doc_id", "bucket", "chunk", group).join(sets.select("doc_id", "shingles"), "doc_id")
-    links = materialise(ready.groupBy("grp").applyInArrow(_within, "a long, b long"), "links")
-    large = placed.where("chunks > 1")
-    if not large.isEmpty():
-        links = _cross_links(sets, large, links)
+    tokens = materialise(sets.select("doc_id", "n", F.explode("prefix").alias("token")), "prefixes")
+    links = _head_links(sets, tokens)
+    more = _posting_links(sets, tokens, links)
+    discard(sets, tokens)
 
     copies = linkable.join(classes.where("copies > 1").select("digest", F.col("doc_id").alias("rep")), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    label = components(links.unionByName(copies))
+    label = components(links.unionByName(copies) if more is None else links.unionByName(more).unionByName(copies))
     out = digests.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, read
+from .common import corpus_size, read, tidy
 from .textkit import windows_of, word_hashes
 
 WINDOW, PERIOD = 13, 7
@@ -66,6 +66,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits, ranges = B.key_bits(n_anchors), B.range_count(n_anchors)
     held = B.dealt(docs, ["doc_id", "text"], n_blocks).repartition(F.col("blk"))
 
+    @tidy
     def tell_anchors(table: pa.Table) -> pa.Table:
         _, has_id, ids, words, first = _block(table)
         h, at = anchors_of(words, first)
@@ -81,6 +82,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     anchors = B.shared(held.groupBy("blk").applyInArrow(tell_anchors, B.CELL))
 
+    @tidy
     def tell_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return B.cells_table([])
@@ -106,6 +108,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     windows = held.groupBy("blk").cogroup(anchors.groupBy("blk")).applyInArrow(tell_windows, B.CELL)
 
+    @tidy
     def smaller_elsewhere(table: pa.Table) -> pa.Table:
         blks, parts, mins = table.column("blk").to_pylist(), [], []
         for p in table.column("payload"):
@@ -130,6 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     elsewhere = windows.groupBy("rng").applyInArrow(smaller_elsewhere, B.CELL)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
+    @tidy
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
         if not left.num_rows:

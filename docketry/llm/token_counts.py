@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import find
-from .common import read
+from .common import read, tidy
 from .textkit import word_hashes
 
 MARK = "▁"
@@ -126,6 +126,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     """doc_id, n_words, n_tokens for each input row."""
     path = vocabulary or default_vocabulary()
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _TABLES.get(path) or _TABLES.setdefault(path, CountTable(TrieCounter(load_scores(path), max_nodes)))
         for batch in batches:

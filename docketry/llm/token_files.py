@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import find
-from .common import corpus_size, fresh_path, read
+from .common import corpus_size, fresh_path, read, tidy
 from .textkit import word_hashes
 
 END_ID, CACHE_WORDS, FILE_BYTES = 2, 1_500_000, 32 << 20
@@ -150,6 +150,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or default_vocabulary()
     files = files or max(8, -(-corpus_size(docs, text_col)[1] // FILE_BYTES))
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
         at = 0
@@ -195,6 +196,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def digest(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from rows read back."""
 
+    @tidy
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(2)

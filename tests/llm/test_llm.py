@@ -78,6 +78,25 @@ def test_chunked_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect())) == plain.ngram_join([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("chunk", [600, 6 << 20])
+def test_postings_whose_head_is_far_lose_no_link(spark, monkeypatch, chunk):
+    # chains of edits and lengths: members of a posting link with one another, not with its smallest document
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", chunk)
+    rng = random.Random(8)
+    rows, i = [], 0
+    for _ in range(4):
+        base = [f"t{rng.randrange(10**6)}" for _ in range(70)]
+        for step in range(14):
+            base = list(base)
+            for _ in range(rng.choice([0, 1, 2])):
+                base[rng.randrange(len(base))] = f"e{i}"
+            base += [f"x{i}.{k}" for k in range(rng.choice([0, 3, 9]))]
+            rows.append((rng.randrange(10**6), " ".join(base), "en", "s", 0))
+            i += 1
+    rows += [(10**7 + k, " ".join(["same"] * k), "en", "s", 0) for k in range(1, 9)]
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect())) == plain.ngram_join([(r[0], r[1]) for r in rows])
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"q{i}" for i in range(40))
     rows = [(1, t, "en", "s", 0), (1, t, "en", "s", 0), (2, t, "en", "s", 0), (None, t, "en", "s", 0), (None, None, None, None, None)]
@@ -494,6 +513,23 @@ def test_components_match_plain(spark):
     assert got == {i: want[i] for i in got} and {i for i in ids if want[i] != i} <= set(got)
 
 
+def test_pipeline_edge_cases(spark, sf_dir):
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, gone string, shard int, kept boolean, doc_id_2 long"
+    good = " ".join(f"the word{i} and of to in" for i in range(40)) + "."
+    rows = [(1, good, "en", "s", 5, "x", 1, True, 2), (1, good, "en", "s", 5, "x", 1, True, 2), (2, good, None, None, None, None, None, None, None), (None, good + " more", "en", "s", 1, None, None, None, None)]
+    rows += [(3, None, None, None, None, None, None, None, None), (4, "", "en", "s", 0, "x", 1, True, 2), (5, (good + "\n") * 2, "en", "t", 0, "", 0, False, 0), (6, " ".join(f"long{i} the of and to" for i in range(60_000)), "en", "t", 0, "", 0, False, 0)]
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        for k, (name, stage) in enumerate(p.STAGES):
+            before, docs = docs, spark.createDataFrame(stage(spark, docs, sf_dir).collect(), names if k < 4 else None) if not docs.isEmpty() else stage(spark, docs, sf_dir)
+            if k < 4:
+                assert docs.columns == before.columns
+            ids = [r["doc_id"] for r in docs.collect()]
+            if name == "ngram_join" and ids:
+                assert sorted(i or 0 for i in ids).count(1) == 2 and 2 not in ids
+
+
 def test_pipeline_matches_plain_steps(spark, sf_dir):
     import corpus_pipeline as p
 
