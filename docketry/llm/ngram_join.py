@@ -5,8 +5,9 @@
    weakens the filter). The global order is (holders, hash): unshared shingles first. Two sets
    that reach 75 % share a shingle among the first n - ceil(0.75 n) + 1 of each, so a set whose prefix is all
    unshared links with nothing and is done.
-3. Every link lies in the posting of a shared prefix shingle. First each posting's smallest document, its head, meets the
-   others, where the lengths allow a link: most groups of near copies become one component by that. What is left are
+3. Every link lies in the posting of a shared prefix shingle. Each posting's smallest document, its head, meets the
+   others, where the lengths allow a link: a document first meets the least of its heads, by which most groups of
+   near copies become one component, then the heads from which it is still apart. What is left are
    postings whose other members are not yet in one component; postings with the same members count once, and
    members are cut by length class (a link joins one class or two neighbours) and into chunks of bounded size.
    Chunks of a posting, and pairs of them that are not in one component, are joined.
@@ -262,12 +263,10 @@ def _near(n: Column, m: Column) -> Column:
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
-def _head_links(sets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """a, b: links between the heads of postings and their other members."""
-    head = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.doc_id").alias("head"), F.col("h.n").alias("m"))
-    pairs = tokens.join(head, "token").where((F.col("doc_id") != F.col("head")) & _near(F.col("n"), F.col("m"))).select("head", "m", "doc_id", "n").distinct()
+def _met(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b: the pairs (head, doc_id, n) that are links."""
     pairs = materialise(pairs, "head-pairs")
-    sizes = pairs.groupBy("head", "m").agg(F.sum(F.col("n") * 8).alias("bytes")).withColumn("chunks", F.ceil(F.col("bytes") / CHUNK_BYTES).cast("int"))
+    sizes = pairs.groupBy("head").agg(F.sum(F.col("n") * 8).alias("bytes")).withColumn("chunks", F.ceil(F.col("bytes") / CHUNK_BYTES).cast("int"))
     sizes = materialise(sizes, "head-sizes")
     total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
     grp = _bins(F.col("bytes") / F.col("chunks"), total, "head", "chunk")
@@ -279,6 +278,23 @@ def _head_links(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     return links
 
 
+def _head_links(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """a, b: links between the heads of postings and their other members that connect.
+
+    A set meets the least of its heads, and then those heads from which it is still apart."""
+    head = tokens.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.col("h.doc_id").alias("head"), F.col("h.n").alias("m"))
+    pairs = tokens.join(head, "token").where((F.col("doc_id") != F.col("head")) & _near(F.col("n"), F.col("m"))).select("head", "doc_id", "n").distinct()
+    pairs = materialise(pairs, "pairs")
+    first = _met(sets, pairs.groupBy("doc_id", "n").agg(F.min("head").alias("head")))
+    label = components(first)
+    of = lambda node, name: label.select(F.col("node").alias(node), F.col("component").alias(name))
+    apart = pairs.join(of("doc_id", "x"), "doc_id", "left").join(of("head", "y"), "head", "left").where(F.coalesce("x", "doc_id") != F.coalesce("y", "head"))
+    least = pairs.groupBy("doc_id").agg(F.min("head").alias("head"))
+    second = _met(sets, apart.select("head", "doc_id", "n").join(least, ["doc_id", "head"], "left_anti"))
+    discard(pairs)
+    return first.unionByName(second)
+
+
 def _posting_links(sets: DataFrame, tokens: DataFrame, links: DataFrame) -> DataFrame | None:
     """a, b: links between members of a posting that the links so far leave apart; None if there are no such postings."""
     label = components(links)
