@@ -8,9 +8,10 @@
 3. Every link lies in the posting of a shared prefix shingle. Each posting's smallest document, its head, meets the
    others, where the lengths allow a link: a document first meets the least of its heads, by which most groups of
    near copies become one component, then the heads from which it is still apart. What is left are
-   postings whose other members are not yet in one component; postings with the same members count once, and
-   members are cut by length class (a link joins one class or two neighbours) and into chunks of bounded size.
-   Chunks of a posting, and pairs of them that are not in one component, are joined.
+   postings whose other members are not yet in one component. Postings with the same members count once, and those
+   that hang together by their members are one job where all their sets fit into a chunk. In others
+   members are cut by length class (a link joins one class or two neighbours) and into chunks of bounded size;
+   chunks of a posting, and pairs of them that are not in one component, are joined.
 4. A join stores one side as a trie of its sets in the global order (most frequent shingle first, edges compressed); the
    other's sets traverse it with the overlap so far, a subtree is left when its remaining length
    cannot bring the overlap to the bound, and sets already in one component are not compared again.
@@ -295,6 +296,17 @@ def _head_links(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _hung_together(member: DataFrame) -> DataFrame:
+    """member (posting, doc_id, n, label, class) with postings that share documents made one, where all their sets fit into one chunk."""
+    first = member.groupBy("posting").agg(F.min("doc_id").alias("first"))
+    whole = components(member.join(first, "posting").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    placed = member.join(whole, F.col("doc_id") == F.col("node"), "left").withColumn("whole", F.xxhash64(F.lit(1), F.coalesce("component", "doc_id")))
+    once = placed.select("whole", "doc_id", "n", "label").distinct()
+    fits = once.groupBy("whole").agg(F.sum(F.col("n") * 8).alias("bytes")).where(F.col("bytes") <= CHUNK_BYTES).select("whole")
+    together = once.join(fits, "whole").select(F.col("whole").alias("posting"), "doc_id", "n", "label", F.lit(0).alias("class"))
+    return materialise(together.unionByName(placed.join(fits, "whole", "left_anti").select(*together.columns)), "members")
+
+
 def _posting_links(sets: DataFrame, tokens: DataFrame, links: DataFrame) -> DataFrame | None:
     """a, b: links between members of a posting that the links so far leave apart; None if there are no such postings."""
     label = components(links)
@@ -310,7 +322,7 @@ def _posting_links(sets: DataFrame, tokens: DataFrame, links: DataFrame) -> Data
     # sizes of linked sets differ by less than one class: a class is the next if sizes are DEN / NUM apart
     size_class = F.floor(F.log("n") / float(np.log(DEN / NUM)) + 1e-9).cast("int")
     member = rest.join(chosen, rest["token"] == chosen["posting"]).select("posting", "doc_id", "n", "label", size_class.alias("class"))
-    member = materialise(member, "members")
+    member = _hung_together(materialise(member, "members"))
     chunks = member.groupBy("posting", "class").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).cast("int").alias("chunks"))
     cell = F.col("class") * 1_000_000 + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     member = materialise(member.join(chunks, ["posting", "class"]).withColumn("cell", cell.cast("long")), "cells")
