@@ -1,35 +1,37 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted rows (labels: quality 1, toxic 0) are split by a hash of the id: nine tenths train, one tenth is held
-out. Counts stay sharded:
+out. Counts stay sharded, and are exact but for equal 64-bit hashes of different words or bigrams:
 
 1. texts that a 16 MB map of the training ids does not rule out meet the training ids in a join; the bigrams of
-   all training texts are counted and sent to shards by a mixed 64-bit key (a bijection of the two words' 32-bit
-   hashes, so a frequent word is spread over all);
+   all training texts are counted and sent to shards by a mixed 64-bit key of the two words' hashes, so a
+   frequent word is spread over all; the left word's hash goes along, and the right one's follows from both;
 2. a shard adds up its bigrams; sums per left word (tokens, followers seen once, twice, more) and per right
    word (distinct left words) go on as partial sums to word shards. Discounts come from counts of counts;
-3. blocks ask the shards about the distinct words of all their documents and about those bigrams that a
-   16 MB map of the model's bigrams does not rule out (count joins; a fuller map rules out less), and
+3. blocks ask the shards about those distinct bigrams and words of their documents that maps of the model's (16 MB and 2 MB)
+   do not rule out (count joins; a fuller map rules out less and changes no result), and
    score each document from the answers: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is the
    discounted share of distinct left words, interpolated with 1 / vocabulary.
 
+The maps are of fixed size; executors put their parts together, and the driver lays these end to end.
+
 A document is kept if its log perplexity is at most that of the QUANTILE of its language's held-out trusted
 texts, plus SLACK and SHORT / words (a few words say little). What is asked and answered grows with the corpus.
 
-Bigram queries use narrow keys: less than 0.5 % of unseen bigrams are taken for seen ones.
-
 Defined results: a text without words has perplexity null and is not kept; null language is one of its own; a
-language without held-out text keeps all its texts; repeated rows are scored each; other columns are ignored.
+language without held-out text keeps all its texts; repeated rows are scored each, and count once each if they train;
+a null id is scored and never trains; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -38,7 +40,6 @@ from .textkit import mix64, word_hashes
 
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
 START = np.uint64(0x51A27)
-_U32 = np.uint64(0xFFFFFFFF)
 
 
 def _unmix64(x: np.ndarray) -> np.ndarray:
@@ -51,12 +52,15 @@ def _unmix64(x: np.ndarray) -> np.ndarray:
 
 
 def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, key, first) of all words of lower-cased texts: 32-bit hashes; the left of a first word is START."""
-    words, first = word_hashes([t.lower() for t in texts])
-    right = words >> np.uint64(32)
+    """(left, right, key, first) of all words of lower-cased texts: 64-bit hashes; the left of a first word is START."""
+    right, first = word_hashes([t.lower() for t in texts])
     left = np.concatenate([[START], right[:-1]])[: len(right)].astype(np.uint64)
     left[first[:-1][np.diff(first) > 0]] = START
-    return left, right, mix64((left << np.uint64(32)) | right), first
+    return left, right, mix64(right + mix64(left)), first
+
+
+def right_of(key: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return _unmix64(key) - mix64(left)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -102,25 +106,45 @@ def _write_run(keys: np.ndarray, *values: np.ndarray) -> bytes:
 ROW = "kind int, rng int, blk int, payload binary, n1 long, n2 long, n3 long, n4 long, total long, size long"
 _NAMES = ["kind", "rng", "blk", "payload", "n1", "n2", "n3", "n4", "total", "size"]
 BIGRAMS, WORDS, BITS = 0, 1, 2
-#: A map of the model's bigrams: one bit for each value of their top 27 bits, 16 MB whatever the input.
-MAP_SHIFT = np.uint64(37)
+#: Maps have one bit for each value of a key's top bits: of bigrams and ids 16 MB, of words 2 MB, whatever the input.
+MAP_BITS, WORD_MAP_BITS = 27, 24
 BLOCK_BYTES = 8 << 20
 
 
-def _bit_map(payloads) -> np.ndarray:
-    bits = np.zeros(1 << (64 - int(MAP_SHIFT)), dtype=bool)
-    for p in payloads:
-        bits[B.unpack_keys(p)[0].astype(np.int64)] = True
-    return np.packbits(bits)
+def _slice(keys: np.ndarray, rng: int, ranges: int, bits: int) -> bytes:
+    """A key range's part of a map: its first byte's place, then the bytes, compressed."""
+    step = -(-(1 << 64) // ranges)
+    lo, hi = (rng * step) >> (64 - bits + 3), (min((rng + 1) * step, 1 << 64) - 1) >> (64 - bits + 3)
+    part = np.zeros(hi - lo + 1, dtype=np.uint8)
+    at = np.unique(keys >> np.uint64(64 - bits)).astype(np.int64) - 8 * lo
+    np.bitwise_or.at(part, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return lo.to_bytes(8, "little") + zlib.compress(part.tobytes(), 1)
+
+
+def _bit_map(slices, bits: int) -> np.ndarray:
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for s in slices:
+        lo, part = int.from_bytes(s[:8], "little"), np.frombuffer(zlib.decompress(s[8:]), dtype=np.uint8)
+        out[lo : lo + len(part)] |= part
+    return out
 
 
-def _in_map(bit_map: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> MAP_SHIFT).astype(np.int64)
+def _in_map(bit_map: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    at = slots.astype(np.int64)
     return ((bit_map[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _id_keys(ids) -> np.ndarray:
-    return mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+def _id_map(ids: DataFrame) -> np.ndarray:
+    """The map of doc_id, put together by 64 bits: at most 2**(MAP_BITS - 6) rows reach the driver, as Arrow."""
+    slots = ids.select(_slot().alias("s"))
+    got = slots.groupBy(F.expr("s div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, 63 - cast(s % 64 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), dtype=">u8")
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def _slot() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -145,69 +169,68 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     marked = materialise(marked.select("doc_id", (F.pmod("u", F.lit(10)) != 0).alias("train"), by_id(F.col("doc_id")).alias("blk")), "trusted")
     train = marked.where("train").select("doc_id")
 
-    @tidy
-    def id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([B.pack_keys(np.unique(_id_keys(batch.column(0)) >> MAP_SHIFT))], pa.binary())], ["payload"])
-
-    id_map = docs.sparkSession.sparkContext.broadcast(_bit_map(r["payload"] for r in train.mapInArrow(id_bits, "payload binary").collect()))
+    id_map = docs.sparkSession.sparkContext.broadcast(_id_map(train))
 
     @tidy
     def may_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_map(id_map.value, _id_keys(batch.column(0)))))
+            yield batch.filter(pa.array(_in_map(id_map.value, batch.column(2).to_numpy()))).select([0, 1])
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
-                _, _, key, _ = bigrams(B.texts_of(pa.Table.from_batches([batch.slice(lo, 1000)])))
-                keys, c = np.unique(key, return_counts=True)
-                yield from _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b])) for r, a, b in B.cuts(keys, ranges, 64)]).to_batches()
+                left, _, key, _ = bigrams(B.texts_of(pa.Table.from_batches([batch.slice(lo, 1000)])))
+                keys, at, c = np.unique(key, return_index=True, return_counts=True)
+                left = left[at].astype("<u8")
+                yield from _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b]) + left[a:b].tobytes()) for r, a, b in B.cuts(keys, ranges, 64)]).to_batches()
 
-    mapped = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(may_train, "doc_id long, text string")
+    mapped = docs.where("doc_id is not null").select("doc_id", "text", _slot()).mapInArrow(may_train, "doc_id long, text string")
     counted = mapped.join(train, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
 
     @tidy
     def add_up(table: pa.Table) -> pa.Table:
+        rng = table.column("rng")[0].as_py()
         runs = _read_runs(table.column("payload"), 1)
-        keys, c = _sum_by(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
-        rows = [(BIGRAMS, table.column("rng")[0].as_py(), None, _write_run(keys, c), *_of_counts(c), int(c.sum()), len(c))]
-        rows.append((BITS, table.column("rng")[0].as_py(), None, B.pack_keys(np.unique(keys >> MAP_SHIFT))))
-        pair = _unmix64(keys)
-        left, right = pair >> np.uint64(32), pair & _U32
+        lefts = [np.frombuffer(p.as_buffer().to_pybytes()[-8 * len(r[0]) :], dtype="<u8") for p, r in zip(table.column("payload"), runs)]
+        keys, left = np.concatenate([r[0] for r in runs]), np.concatenate(lefts)
+        keys, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        left = left[at].astype(np.uint64)
+        c = np.bincount(inverse, weights=np.concatenate([r[1] for r in runs]), minlength=len(keys)).astype(np.int64)
+        rows = [(BIGRAMS, rng, None, _write_run(keys, c), *_of_counts(c), int(c.sum()), len(c)), (BITS, rng, None, _slice(keys, rng, ranges, MAP_BITS))]
         z = np.zeros(len(c), dtype=np.int64)
-        ids = np.concatenate([left, right])
+        ids = np.concatenate([left, right_of(keys, left)])
         ids, *sums = _sum_by(ids, *[np.concatenate([a, b]) for a, b in ((c, z), ((c == 1) * 1, z), ((c == 2) * 1, z), ((c >= 3) * 1, z), (z, z + 1))])
-        rows += [(WORDS, r, None, _write_run(ids[a:b], *[s[a:b] for s in sums])) for r, a, b in B.cuts(ids, ranges, 32)]
+        rows += [(WORDS, r, None, _write_run(ids[a:b], *[s[a:b] for s in sums])) for r, a, b in B.cuts(ids, ranges, 64)]
         return _table(rows)
 
     model = materialise(counted.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
 
     @tidy
     def add_words(table: pa.Table) -> pa.Table:
+        rng = table.column("rng")[0].as_py()
         runs = _read_runs(table.column("payload"), 5)
         ids, *sums = _sum_by(np.concatenate([r[0] for r in runs]), *[np.concatenate([r[k] for r in runs]) for k in range(1, 6)])
-        return _table([(WORDS, table.column("rng")[0].as_py(), None, _write_run(ids, *sums), *_of_counts(sums[4]), int(sums[4].sum()), len(ids))])
+        return _table([(WORDS, rng, None, _write_run(ids, *sums), *_of_counts(sums[4]), int(sums[4].sum()), len(ids)), (BITS, rng, None, _slice(ids, rng, ranges, WORD_MAP_BITS))])
 
     words = materialise(model.where(F.col("kind") == WORDS).groupBy("rng").applyInArrow(add_words, ROW), "kn-words")
     id_map.unpersist()
     release(docs.sparkSession)
-    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(r["payload"] for r in model.where(F.col("kind") == BITS).select("payload").collect()))
-    model = model.where(F.col("kind") == BIGRAMS)
+    said = lambda df: (r["payload"] for r in df.where(F.col("kind") == BITS).select("payload").toLocalIterator())
+    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(said(model), MAP_BITS))
+    word_map = docs.sparkSession.sparkContext.broadcast(_bit_map(said(words), WORD_MAP_BITS))
+    model, words = model.where(F.col("kind") == BIGRAMS), words.where(F.col("kind") == WORDS)
     total = lambda df: [int(x or 0) for x in df.agg(*[F.sum(c) for c in _NAMES[4:]]).first()]
     n2, n1 = total(model), total(words)
     d2, d1 = discounts(n2[:4]), discounts(n1[:4])
     types, vocabulary = max(1, n1[4]), max(1, n1[5])
     rare = (d1[0] * n1[0] + d1[1] * n1[1] + d1[2] * max(0, vocabulary - n1[0] - n1[1])) / types
 
-    # narrow bigram keys: 256 values for each bigram of the model
-    bits = max(30, int(np.ceil(np.log2(max(2, n2[5])))) + 8)
-    narrow = np.uint64(64 - bits)
-
     def asked(left: np.ndarray, right: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sorted bigram and word keys that a block asks about."""
-        return np.unique(key[_in_map(bit_map.value, key)] >> narrow), np.unique(np.concatenate([np.unique(left), np.unique(right)]))
+        ids = np.unique(np.concatenate([np.unique(left), np.unique(right)]))
+        ids = ids[_in_map(word_map.value, ids >> np.uint64(64 - WORD_MAP_BITS))]
+        return np.unique(key[_in_map(bit_map.value, key >> np.uint64(64 - MAP_BITS))]), ids
 
     @tidy
     def ask(table: pa.Table) -> pa.Table:
@@ -215,8 +238,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         left, right, key, _ = bigrams(B.texts_of(docs))
         blk = table.column("blk")[0].as_py()
         keys, ids = asked(left, right, key)
-        rows = [(BIGRAMS, r, blk, B.pack_keys(keys[a:b])) for r, a, b in B.cuts(keys, ranges, bits)]
-        return _table(rows + [(WORDS, r, blk, B.pack_keys(ids[a:b])) for r, a, b in B.cuts(ids, ranges, 32)])
+        rows = [(BIGRAMS, r, blk, B.pack_keys(keys[a:b])) for r, a, b in B.cuts(keys, ranges, 64)]
+        return _table(rows + [(WORDS, r, blk, B.pack_keys(ids[a:b])) for r, a, b in B.cuts(ids, ranges, 64)])
 
     ask_rows = held.groupBy("blk").applyInArrow(ask, ROW)
 
@@ -227,8 +250,6 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
             return _table([])
         kind, rng = asking.column("kind")[0].as_py(), asking.column("rng")[0].as_py()
         (keys, *values), = _read_runs(known.column("payload"), 1 if kind == BIGRAMS else 5)
-        if kind == BIGRAMS:
-            keys, *values = _sum_by(keys >> narrow, *values)
         rows = []
         for blk, p in zip(asking.column("blk").to_pylist(), asking.column("payload")):
             want, _ = B.unpack_keys(p.as_buffer().to_pybytes())
@@ -244,12 +265,12 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         marked.where("not train").select("blk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("rng"), F.lit(None).cast("binary").alias("payload"), "doc_id"))
     names = ["doc_id", "lang", "n_words", "log_perplexity", "held_out"]
 
-    def gathered(table: pa.Table, kind: int, keys: np.ndarray, width: int, n_values: int) -> list[np.ndarray]:
+    def gathered(table: pa.Table, kind: int, keys: np.ndarray, n_values: int) -> list[np.ndarray]:
         """The counts of the asked keys, 0 where unknown."""
         out = [np.zeros(len(keys), dtype=np.int64) for _ in range(n_values)]
         part = table.filter(pc.equal(table.column("kind"), kind))
         said = dict(zip(part.column("rng").to_pylist(), part.column("payload")))
-        for r, a, b in B.cuts(keys, ranges, width):
+        for r, a, b in B.cuts(keys, ranges, 64):
             if r in said:
                 data = said[r].as_buffer().to_pybytes()
                 hit = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=(b - a + 7) // 8), count=b - a).astype(bool)
@@ -266,15 +287,15 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         docs = B.unpack_tables(left.column("payload"))
         lw, rw, key, first = bigrams(B.texts_of(docs))
         two, ids = asked(lw, rw, key)
-        c2, = gathered(right, BIGRAMS, two, bits, 1)
-        c, f1, f2, f3, cont = gathered(right, WORDS, ids, 32, 5)
+        c2, = gathered(right, BIGRAMS, two, 1)
+        c, f1, f2, f3, cont = gathered(right, WORDS, ids, 5)
         pick = lambda at, v: np.where(at >= 0, v[at] if len(v) else 0, 0)
         lo, ro = B.find(ids, lw), B.find(ids, rw)
         seen = pick(ro, cont)
         p1 = np.maximum(seen - discount_of(seen, d1), 0) / types + rare / (vocabulary + 1) + 1e-12
         total_left = pick(lo, c).astype(np.float64)
         gamma = np.where(total_left > 0, (d2[0] * pick(lo, f1) + d2[1] * pick(lo, f2) + d2[2] * pick(lo, f3)) / np.maximum(total_left, 1), 1.0)
-        cc = pick(B.find(two, key >> narrow), c2)
+        cc = pick(B.find(two, key), c2)
         p = np.where(total_left > 0, np.maximum(cc - discount_of(cc, d2), 0) / np.maximum(total_left, 1), 0) + gamma * p1
         sums = np.concatenate([[0.0], np.cumsum(-np.log(np.maximum(p, 1e-30)))])
         n = np.diff(first)

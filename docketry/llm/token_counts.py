@@ -3,15 +3,18 @@
 A word (with a leading word mark) is cut into pieces of a public vocabulary so that the sum of piece
 scores is highest; the forward score of a prefix depends on the prefix alone, so it is computed once
 per trie node and shared by all words that begin with it. A terminal node stores its token count.
-Each Python worker keeps one trie for all its tasks, dropped when it exceeds MAX_NODES, and a table of
+Only the first DEPTH characters of a word are in the trie: what follows them in longer words is scored with a window of the last
+scores, so a word of any length needs no more memory. Each Python worker keeps one trie for all its tasks, dropped when it exceeds MAX_NODES, and a table of
 the terminal counts by word hash (64 bits, MAX_WORDS); a document is counted where it is read, so
 nothing shuffles.
 
 Scores: a piece of rank r (its place in the vocabulary file) has log probability -log(r + 2); a single
 character that is no piece costs UNKNOWN and is one token. Ties go to fewer tokens.
 
-Defined results: null text has 0 words and 0 tokens; rows repeat as they come in; very long words are
-one trie path each; other columns are ignored.
+The pieces are those of a byte-pair vocabulary, as no unigram model is at hand, and so their scores are made from ranks.
+
+Defined results: null text has 0 words and 0 tokens; rows repeat as they come in, with any id or none; words of any
+length are counted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .textkit import word_hashes
 
 MARK = "▁"
 UNKNOWN = -30.0
-MAX_NODES, MAX_WORDS = 600_000, 2_000_000
+MAX_NODES, MAX_WORDS, DEPTH = 600_000, 2_000_000, 64
 
 
 def default_vocabulary() -> str:
@@ -63,31 +66,42 @@ class TrieCounter:
         got = self.terminal.get(word)
         return self.insert(word) if got is None else got
 
+    def _best(self, marked: str, i: int, before: list[tuple[float, int]], at: int) -> tuple[float, int]:
+        """The forward score behind character i; before[j - at] is the one in front of character j."""
+        scores = self.scores
+        s, t = before[i - at]
+        best = (s + scores.get(marked[i], UNKNOWN), t - 1)
+        for j in range(max(0, i + 1 - self.longest), i):
+            piece = scores.get(marked[j : i + 1])
+            if piece is not None:
+                s, t = before[j - at]
+                if (s + piece, t - 1) > best:
+                    best = (s + piece, t - 1)
+        return best
+
     def insert(self, word: str) -> int:
         if len(self.children) > self.max_nodes:
             self.clear()
         marked = MARK + word
-        node, path = 0, [0]
-        scores, forward, longest = self.scores, self.forward, self.longest
-        for i, ch in enumerate(marked):
+        node, along = 0, [self.forward[0]]
+        for i, ch in enumerate(marked[:DEPTH]):
             nxt = self.children[node].get(ch)
             if nxt is None:
-                s, t = forward[node]
-                best = (s + scores.get(ch, UNKNOWN), t - 1)
-                for j in range(max(0, i + 1 - longest), i):
-                    piece = scores.get(marked[j : i + 1])
-                    if piece is not None:
-                        s, t = forward[path[j]]
-                        if (s + piece, t - 1) > best:
-                            best = (s + piece, t - 1)
                 nxt = len(self.children)
+                self.forward.append(self._best(marked, i, along, 0))
                 self.children[node][ch] = nxt
                 self.children.append({})
-                forward.append(best)
             node = nxt
-            path.append(node)
-        count = -forward[node][1]
-        self.terminal[word] = count
+            along.append(self.forward[node])
+        at = 0
+        for i in range(DEPTH, len(marked)):
+            along.append(self._best(marked, i, along, at))
+            if len(along) > 2 * self.longest + DEPTH:  # scores further back than a piece is long are done with
+                at += len(along) - self.longest
+                along = along[-self.longest :]
+        count = -along[-1][1]
+        if len(marked) <= DEPTH:
+            self.terminal[word] = count
         return count
 
 
@@ -119,7 +133,7 @@ class CountTable:
         return np.diff(first), np.diff(upto[first])
 
 
-_TABLES: dict[str, CountTable] = {}
+_TABLES: dict[tuple[str, int], CountTable] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_nodes: int = MAX_NODES) -> DataFrame:
@@ -128,7 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES.get(path) or _TABLES.setdefault(path, CountTable(TrieCounter(load_scores(path), max_nodes)))
+        table = _TABLES.get((path, max_nodes)) or _TABLES.setdefault((path, max_nodes), CountTable(TrieCounter(load_scores(path), max_nodes)))
         for batch in batches:
             lo = 0
             while lo < batch.num_rows:  # a few MB of text at a time

@@ -333,6 +333,21 @@ def test_token_counts_match_plain():
         assert count(w) == best(w)
 
 
+def test_long_words_need_no_more_nodes():
+    scores = token_counts.load_scores(token_counts.default_vocabulary())
+    deep, flat = token_counts.TrieCounter(scores), token_counts.TrieCounter(scores)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoin shrdlu-é漢").strip() or "e" for _ in range(n)) for n in (62, 63, 64, 65, 130, 700, 5000)]
+    for w in words:
+        w = token_counts.MARK + w
+        f = [(0.0, 0)]
+        for i in range(1, len(w) + 1):
+            f.append(max((f[j][0] + scores.get(w[j:i], token_counts.UNKNOWN if i - j == 1 else -1e9), f[j][1] - 1) for j in range(max(0, i - deep.longest), i)))
+        assert deep(w[1:]) == -f[-1][1]
+    flat("".join(rng.choice("abc") for _ in range(300_000)))
+    assert len(flat.children) <= token_counts.DEPTH + 1 and not flat.terminal
+
+
 def test_token_counts_over_documents(docs, rows):
     count = token_counts.TrieCounter(token_counts.load_scores(token_counts.default_vocabulary()))
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(docs).collect()}
@@ -463,6 +478,42 @@ def test_perplexity_matches_plain(spark):
     assert not out[100] or not held
 
 
+def test_counts_are_exact_over_a_large_vocabulary(spark):
+    # 100,000 words, each bigram once: an unseen bigram of seen words must not meet the count of another
+    d = spark.range(5_000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 19), i -> concat('w', id * 20 + i)), ' ') AS text", "'en' AS lang")
+    odd = spark.range(5_000).selectExpr("id + 100000 AS doc_id", "array_join(transform(sequence(19, 0, -1), i -> concat('w', id * 20 + i)), ' ') AS text", "'en' AS lang")
+    p = {r["doc_id"]: r for r in kneser_ney.perplexity(d.unionByName(odd), d.select("doc_id")).select("doc_id", "log_perplexity", "held_out").collect()}
+    train = [i for i in range(5_000) if not p[i]["held_out"]]
+    # reversed texts hold no bigram of the model: all have the one perplexity of their words, but for the first
+    assert len({round(p[100_000 + i]["log_perplexity"], 9) for i in train}) == 1
+    assert len({round(p[i]["log_perplexity"], 9) for i in train}) == 1 and p[train[0]]["log_perplexity"] < p[100_000 + train[0]]["log_perplexity"]
+
+
+def test_classifier_keeps_by_language_quantile(spark):
+    rng = random.Random(12)
+    good = {"en": [f"e{i}" for i in range(40)], "de": [f"d{i}" for i in range(400)], None: [f"n{i}" for i in range(60)]}
+    rows, trusted = [], []
+    for k, (lang, vocab) in enumerate(good.items()):
+        for i in range(150):
+            rows.append((k * 1000 + i, " ".join(rng.choice(vocab) for _ in range(25)), lang, "s", 0))
+            trusted.append(k * 1000 + i)
+    rows += [(9000 + i, " ".join(f"junk{rng.randrange(10**6)}" for _ in range(25)), "en", "s", 0) for i in range(20)]
+    rows += [(9100, "free words", "fr", "s", 0), (9100, "free words", "fr", "s", 0), (None, rows[0][1], "en", "s", 0), (9101, None, "en", "s", 0)]
+    d = frame(spark, rows)
+    t = d.select("doc_id").where("doc_id < 9000")
+    scored = {r["doc_id"]: r for r in kneser_ney.perplexity(d, t).collect()}
+    out = kneser_ney.classify(d, t).collect()
+    for lang in good:
+        held = sorted(r["log_perplexity"] for r in scored.values() if r["held_out"] and r["lang"] == lang)
+        for r in out:
+            if r["lang"] == lang and r["log_perplexity"] is not None:
+                assert r["threshold"] == pytest.approx(held[max(0, int(np.ceil(kneser_ney.QUANTILE * len(held))) - 1)] + kneser_ney.SLACK)
+                assert r["kept"] == (r["log_perplexity"] <= r["threshold"] + kneser_ney.SHORT / r["n_words"])
+    kept = [r["doc_id"] for r in out if r["kept"]]
+    assert kept.count(9100) == 2 and 9101 not in kept and not any(9000 <= (i or 0) < 9020 for i in kept) and None in kept
+    assert sum(i is not None and i < 9000 for i in kept) >= 440
+
+
 def test_all_training_texts_are_counted(spark):
     # 24,000 trusted texts of three words, each with a word of its own: seen words are likelier than unseen ones
     d = spark.range(24_000).selectExpr("id AS doc_id", "concat('a w', id, ' b') AS text", "'en' AS lang")
