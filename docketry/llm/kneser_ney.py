@@ -1,20 +1,18 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted rows (labels: quality 1, toxic 0) are split by a hash of the id: nine tenths train, one tenth is held
-out. Counts stay sharded, and are exact but for equal 64-bit hashes of different words or bigrams:
-
-1. texts that a 16 MB map of the training ids does not rule out meet the training ids in a join; the bigrams of
-   all training texts are counted and sent to shards by a mixed 64-bit key of the two words' hashes, so a
-   frequent word is spread over all; the left word's hash goes along, and the right one's follows from both;
-2. a shard adds up its bigrams; sums per left word (tokens, followers seen once, twice, more) and per right
-   word (distinct left words) go on as partial sums to word shards. Discounts come from counts of counts;
-3. blocks ask the shards about those distinct bigrams and words of their documents that maps of the model's (16 MB and 2 MB)
-   do not rule out (count joins; a fuller map rules out less and changes no result), and
-   score each document from the answers: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is the
+out. Documents lie in blocks by a hash of the id; counts are sharded and exact but for equal 64-bit hashes of words:
+
+1. each block tells word shards its distinct words; a shard numbers its words and answers with the numbers, so a
+   bigram is a pair of short numbers;
+2. each block tells bigram shards its distinct bigrams, each with its count in the block's training texts. A shard adds
+   up the counts of all blocks, and answers each block with the sums of the bigrams it told: the join that counts is
+   also the one that asks. Keys are mixed, so that a frequent word is spread over all shards;
+3. sums per left word (tokens, followers seen once, twice, more) and per right word (distinct left words) go on as
+   partial sums to the word shards, which answer the blocks. Discounts come from counts of counts;
+4. each block scores its documents from the answers: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is the
    discounted share of distinct left words, interpolated with 1 / vocabulary.
 
-The maps are of fixed size; executors put their parts together, and the driver lays these end to end.
-
 A document is kept if its log perplexity is at most that of the QUANTILE of its language's held-out trusted
 texts, plus SLACK and SHORT / words (a few words say little). What is asked and answered grows with the corpus.
 
@@ -31,36 +29,47 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, materialise, read, release, tidy
-from .textkit import mix64, word_hashes
+from .common import corpus_size, materialise, read, tidy
+from .textkit import word_hashes
 
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
 START = np.uint64(0x51A27)
+BLOCK_BYTES = 12 << 20
+_ODD = 0x9E3779B97F4A7C15
+
 
+class Mixer:
+    """A bijection of numbers below 2**bits (even, at most 64) that spreads them, and its inverse."""
 
-def _unmix64(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix64."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    def __init__(self, bits: int) -> None:
+        self.mask, self.half, self.back = np.uint64((1 << bits) - 1), np.uint64(bits // 2), np.uint64(pow(_ODD, -1, 1 << bits))
 
+    def there(self, x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = (x * np.uint64(_ODD)) & self.mask
+            x = x ^ (x >> self.half)
+        return x
 
-def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, key, first) of all words of lower-cased texts: 64-bit hashes; the left of a first word is START."""
-    right, first = word_hashes([t.lower() for t in texts])
-    left = np.concatenate([[START], right[:-1]])[: len(right)].astype(np.uint64)
-    left[first[:-1][np.diff(first) > 0]] = START
-    return left, right, mix64(right + mix64(left)), first
+    def again(self, x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = x ^ (x >> self.half)
+            x = (x * self.back) & self.mask
+        return x
 
 
-def right_of(key: np.ndarray, left: np.ndarray) -> np.ndarray:
-    return _unmix64(key) - mix64(left)
+def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, left, right, first) of lower-cased texts: 64-bit hashes, START among them, and for each word the
+    places of it and of the one before; the left of a first word is START."""
+    words, first = word_hashes([t.lower() for t in texts])
+    every, right = np.unique(np.concatenate([[START], words]).astype(np.uint64), return_inverse=True)
+    start, right = right[0], right[1:]
+    left = np.concatenate([[start], right[:-1]])[: len(right)]
+    left[first[:-1][np.diff(first) > 0]] = start
+    return every, left, right, first
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -86,74 +95,40 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[begin], *[np.add.reduceat(v[order], begin) if len(k) else v for v in values]
 
 
-def _read_runs(payloads, n_values: int) -> list[tuple[np.ndarray, ...]]:
-    out = []
-    for p in payloads:
-        data = p.as_buffer().to_pybytes()
-        keys, at = B.unpack_keys(data)
-        values = []
-        for _ in range(n_values):
-            v, at = B.unpack_counts(data, at)
-            values.append(v)
-        out.append((keys, *values))
-    return out
-
-
-def _write_run(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    return B.pack_keys(keys) + b"".join(B.pack_counts(v) for v in values)
-
-
 ROW = "kind int, rng int, blk int, payload binary, n1 long, n2 long, n3 long, n4 long, total long, size long"
 _NAMES = ["kind", "rng", "blk", "payload", "n1", "n2", "n3", "n4", "total", "size"]
-BIGRAMS, WORDS, BITS = 0, 1, 2
-#: Maps have one bit for each value of a key's top bits: of bigrams and ids 16 MB, of words 2 MB, whatever the input.
-MAP_BITS, WORD_MAP_BITS = 27, 24
-BLOCK_BYTES = 8 << 20
-
-
-def _slice(keys: np.ndarray, rng: int, ranges: int, bits: int) -> bytes:
-    """A key range's part of a map: its first byte's place, then the bytes, compressed."""
-    step = -(-(1 << 64) // ranges)
-    lo, hi = (rng * step) >> (64 - bits + 3), (min((rng + 1) * step, 1 << 64) - 1) >> (64 - bits + 3)
-    part = np.zeros(hi - lo + 1, dtype=np.uint8)
-    at = np.unique(keys >> np.uint64(64 - bits)).astype(np.int64) - 8 * lo
-    np.bitwise_or.at(part, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-    return lo.to_bytes(8, "little") + zlib.compress(part.tobytes(), 1)
-
-
-def _bit_map(slices, bits: int) -> np.ndarray:
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for s in slices:
-        lo, part = int.from_bytes(s[:8], "little"), np.frombuffer(zlib.decompress(s[8:]), dtype=np.uint8)
-        out[lo : lo + len(part)] |= part
-    return out
+BIGRAMS, WORDS, IDS = 0, 1, 2
 
 
-def _in_map(bit_map: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    at = slots.astype(np.int64)
-    return ((bit_map[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6]
+    return pa.Table.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], kinds[i]) for i in range(10)], _NAMES)
 
 
-def _id_map(ids: DataFrame) -> np.ndarray:
-    """The map of doc_id, put together by 64 bits: at most 2**(MAP_BITS - 6) rows reach the driver, as Arrow."""
-    slots = ids.select(_slot().alias("s"))
-    got = slots.groupBy(F.expr("s div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, 63 - cast(s % 64 AS int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), dtype=">u8")
-    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out.view(np.uint8)
+def _of_counts(c: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _slot() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
+def _counts(*values: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(B.pack_counts(v) for v in values), 1)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 6]
-    return pa.Table.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], kinds[i]) for i in range(10)], _NAMES)
+def _read_counts(data: bytes, n_values: int) -> list[np.ndarray]:
+    data, at, out = zlib.decompress(data), 0, []
+    for _ in range(n_values):
+        v, at = B.unpack_counts(data, at)
+        out.append(v)
+    return out
 
 
-def _of_counts(c: np.ndarray) -> list[int]:
-    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+def _bytes(payload) -> list[bytes]:
+    return [p.as_buffer().to_pybytes() for p in payload]
+
+
+def _of_kind(table: pa.Table, kind: int) -> dict[int, bytes]:
+    """The payloads of a block's rows of a kind, by range."""
+    part = table.filter(pc.equal(table.column("kind"), kind))
+    return dict(zip(part.column("rng").to_pylist(), _bytes(part.column("payload"))))
 
 
 def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -164,148 +139,136 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ranges = B.range_count(n_keys)
     by_id = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     held = B.dealt(docs, ["doc_id", "text", "lang"], n_blocks, by_id(F.coalesce("doc_id", F.xxhash64("text")))).repartition(F.col("blk"))
-
     marked = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("u", F.xxhash64(F.lit(11), "doc_id"))
     marked = materialise(marked.select("doc_id", (F.pmod("u", F.lit(10)) != 0).alias("train"), by_id(F.col("doc_id")).alias("blk")), "trusted")
-    train = marked.where("train").select("doc_id")
-
-    id_map = docs.sparkSession.sparkContext.broadcast(_id_map(train))
 
+    # 1. words to numbers
     @tidy
-    def may_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_map(id_map.value, batch.column(2).to_numpy()))).select([0, 1])
+    def tell_words(table: pa.Table) -> pa.Table:
+        every, *_ = block_words(B.texts_of(B.unpack_tables(table.column("payload"))))
+        blk = table.column("blk")[0].as_py()
+        return _table([(IDS, r, blk, B.pack_keys(every[a:b])) for r, a, b in B.cuts(every, ranges, 64)])
 
     @tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                left, _, key, _ = bigrams(B.texts_of(pa.Table.from_batches([batch.slice(lo, 1000)])))
-                keys, at, c = np.unique(key, return_index=True, return_counts=True)
-                left = left[at].astype("<u8")
-                yield from _table([(BIGRAMS, r, None, _write_run(keys[a:b], c[a:b]) + left[a:b].tobytes()) for r, a, b in B.cuts(keys, ranges, 64)]).to_batches()
+    def number(table: pa.Table) -> pa.Table:
+        told = [B.unpack_keys(p)[0] for p in _bytes(table.column("payload"))]
+        known = np.unique(np.concatenate(told))
+        rng = table.column("rng")[0].as_py()
+        return _table([(IDS, rng, blk, B.pack_keys(np.searchsorted(known, t).astype(np.uint64)), *[None] * 5, len(known)) for blk, t in zip(table.column("blk").to_pylist(), told)])
+
+    numbers = materialise(held.groupBy("blk").applyInArrow(tell_words, ROW).groupBy("rng").applyInArrow(number, ROW), "kn-numbers")
+    most = numbers.agg(F.max("size")).first()[0] or 1
+    low = max(1, int(most - 1).bit_length())
+    width = low + max(1, (ranges - 1).bit_length())
+    if width > 32:
+        raise ValueError("more words than 32-bit numbers")
+    bits = max(10, 2 * width)
+    mixer = Mixer(bits)
+
+    def block(held: pa.Table, told: pa.Table):
+        """(documents, distinct words, first, their numbers, left and right places, distinct bigrams, place of each word's bigram)."""
+        docs = B.unpack_tables(held.column("payload"))
+        every, left, right, first = block_words(B.texts_of(docs))
+        ids, said = np.zeros(len(every), dtype=np.uint64), _of_kind(told, IDS)
+        for r, a, b in B.cuts(every, ranges, 64):
+            ids[a:b] = B.unpack_keys(said[r])[0] | np.uint64(r << low)
+        keys, place = np.unique(mixer.there((ids[left] << np.uint64(width)) | ids[right]), return_inverse=True)
+        return docs, every, first, ids, left, right, keys, place
+
+    # 2. bigrams and their training counts
+    flags = lambda rows: rows.select("blk", *[F.lit(None).cast(k).alias(n) for n, k in (("kind", "int"), ("rng", "int"), ("payload", "binary"))], "doc_id")
+    with_ids = numbers.select("blk", "kind", "rng", "payload", F.lit(None).cast("long").alias("doc_id"))
 
-    mapped = docs.where("doc_id is not null").select("doc_id", "text", _slot()).mapInArrow(may_train, "doc_id long, text string")
-    counted = mapped.join(train, "doc_id", "left_semi").select("text").mapInArrow(count, ROW)
+    @tidy
+    def tell_bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([])
+        docs, _, first, _, _, _, keys, place = block(left, right)
+        train = set(right.column("doc_id").drop_null().to_pylist())
+        mine = np.repeat([d in train for d in docs.column("doc_id").to_pylist()], np.diff(first))
+        c = np.bincount(place[mine], minlength=len(keys)).astype(np.int64)
+        blk = left.column("blk")[0].as_py()
+        return _table([(BIGRAMS, r, blk, B.pack_keys(keys[a:b]) + _counts(c[a:b])) for r, a, b in B.cuts(keys, ranges, bits)])
 
     @tidy
     def add_up(table: pa.Table) -> pa.Table:
-        rng = table.column("rng")[0].as_py()
-        runs = _read_runs(table.column("payload"), 1)
-        lefts = [np.frombuffer(p.as_buffer().to_pybytes()[-8 * len(r[0]) :], dtype="<u8") for p, r in zip(table.column("payload"), runs)]
-        keys, left = np.concatenate([r[0] for r in runs]), np.concatenate(lefts)
-        keys, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        left = left[at].astype(np.uint64)
-        c = np.bincount(inverse, weights=np.concatenate([r[1] for r in runs]), minlength=len(keys)).astype(np.int64)
-        rows = [(BIGRAMS, rng, None, _write_run(keys, c), *_of_counts(c), int(c.sum()), len(c)), (BITS, rng, None, _slice(keys, rng, ranges, MAP_BITS))]
-        z = np.zeros(len(c), dtype=np.int64)
-        ids = np.concatenate([left, right_of(keys, left)])
+        rng, blks, told, counts = table.column("rng")[0].as_py(), table.column("blk").to_pylist(), [], []
+        for data in _bytes(table.column("payload")):
+            keys, at = B.unpack_keys(data)
+            told.append(keys)
+            counts += _read_counts(data[at:], 1)
+        keys, place = np.unique(np.concatenate(told), return_inverse=True)
+        c = np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+        rows, lo = [], 0
+        for blk, t in zip(blks, told):
+            rows.append((BIGRAMS, rng, blk, _counts(c[place[lo : lo + len(t)]])))
+            lo += len(t)
+        keys, c = keys[c > 0], c[c > 0]
+        pair, z = mixer.again(keys), np.zeros(len(c), dtype=np.int64)
+        ids = np.concatenate([pair >> np.uint64(width), pair & np.uint64((1 << width) - 1)])
         ids, *sums = _sum_by(ids, *[np.concatenate([a, b]) for a, b in ((c, z), ((c == 1) * 1, z), ((c == 2) * 1, z), ((c >= 3) * 1, z), (z, z + 1))])
-        rows += [(WORDS, r, None, _write_run(ids[a:b], *[s[a:b] for s in sums])) for r, a, b in B.cuts(ids, ranges, 64)]
-        return _table(rows)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(ids >> np.uint64(low))) + 1, [len(ids)]]) if len(ids) else np.zeros(1, dtype=np.int64)
+        rows += [(WORDS, int(ids[a] >> np.uint64(low)), None, B.pack_keys(ids[a:b]) + _counts(*[s[a:b] for s in sums])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        return _table([*rows, (None, None, None, None, *_of_counts(c), int(c.sum()), len(c))])
 
-    model = materialise(counted.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
+    with_train = with_ids.unionByName(flags(marked.where("train")))
+    told = held.groupBy("blk").cogroup(with_train.groupBy("blk")).applyInArrow(tell_bigrams, ROW)
+    counted = materialise(told.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
 
+    # 3. sums of words
     @tidy
-    def add_words(table: pa.Table) -> pa.Table:
-        rng = table.column("rng")[0].as_py()
-        runs = _read_runs(table.column("payload"), 5)
-        ids, *sums = _sum_by(np.concatenate([r[0] for r in runs]), *[np.concatenate([r[k] for r in runs]) for k in range(1, 6)])
-        return _table([(WORDS, rng, None, _write_run(ids, *sums), *_of_counts(sums[4]), int(sums[4].sum()), len(ids)), (BITS, rng, None, _slice(ids, rng, ranges, WORD_MAP_BITS))])
-
-    words = materialise(model.where(F.col("kind") == WORDS).groupBy("rng").applyInArrow(add_words, ROW), "kn-words")
-    id_map.unpersist()
-    release(docs.sparkSession)
-    said = lambda df: (r["payload"] for r in df.where(F.col("kind") == BITS).select("payload").toLocalIterator())
-    bit_map = docs.sparkSession.sparkContext.broadcast(_bit_map(said(model), MAP_BITS))
-    word_map = docs.sparkSession.sparkContext.broadcast(_bit_map(said(words), WORD_MAP_BITS))
-    model, words = model.where(F.col("kind") == BIGRAMS), words.where(F.col("kind") == WORDS)
-    total = lambda df: [int(x or 0) for x in df.agg(*[F.sum(c) for c in _NAMES[4:]]).first()]
-    n2, n1 = total(model), total(words)
+    def add_words(known: pa.Table, asking: pa.Table) -> pa.Table:
+        """For each asking block the five sums of the words that it told, in order, 0 where unknown; and counts of counts."""
+        if not asking.num_rows:
+            return _table([])
+        rng, runs = asking.column("rng")[0].as_py(), []
+        for data in _bytes(known.column("payload")):
+            ids, at = B.unpack_keys(data)
+            runs.append((ids, *_read_counts(data[at:], 5)))
+        none = np.zeros(0, dtype=np.int64)
+        ids, *sums = _sum_by(*[np.concatenate([r[k] for r in runs]) for k in range(6)]) if runs else (none.astype(np.uint64), *[none] * 5)
+        rows = []
+        for blk, data in zip(asking.column("blk").to_pylist(), _bytes(asking.column("payload"))):
+            at = B.find(ids, B.unpack_keys(data)[0] | np.uint64(rng << low))
+            rows.append((WORDS, rng, blk, _counts(*[np.where(at >= 0, s[at] if len(s) else 0, 0) for s in sums])))
+        return _table([*rows, (None, None, None, None, *_of_counts(sums[4]), int(sums[4].sum()), len(ids))])
+
+    stats = materialise(counted.where(F.col("kind") == WORDS).groupBy("rng").cogroup(numbers.groupBy("rng")).applyInArrow(add_words, ROW), "kn-words")
+    total = lambda df: [int(x or 0) for x in df.where("kind IS NULL").agg(*[F.sum(c) for c in _NAMES[4:]]).first()]
+    n2, n1 = total(counted), total(stats)
     d2, d1 = discounts(n2[:4]), discounts(n1[:4])
     types, vocabulary = max(1, n1[4]), max(1, n1[5])
     rare = (d1[0] * n1[0] + d1[1] * n1[1] + d1[2] * max(0, vocabulary - n1[0] - n1[1])) / types
-
-    def asked(left: np.ndarray, right: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted bigram and word keys that a block asks about."""
-        ids = np.unique(np.concatenate([np.unique(left), np.unique(right)]))
-        ids = ids[_in_map(word_map.value, ids >> np.uint64(64 - WORD_MAP_BITS))]
-        return np.unique(key[_in_map(bit_map.value, key >> np.uint64(64 - MAP_BITS))]), ids
-
-    @tidy
-    def ask(table: pa.Table) -> pa.Table:
-        docs = B.unpack_tables(table.column("payload"))
-        left, right, key, _ = bigrams(B.texts_of(docs))
-        blk = table.column("blk")[0].as_py()
-        keys, ids = asked(left, right, key)
-        rows = [(BIGRAMS, r, blk, B.pack_keys(keys[a:b])) for r, a, b in B.cuts(keys, ranges, 64)]
-        return _table(rows + [(WORDS, r, blk, B.pack_keys(ids[a:b])) for r, a, b in B.cuts(ids, ranges, 64)])
-
-    ask_rows = held.groupBy("blk").applyInArrow(ask, ROW)
-
-    @tidy
-    def answer(known: pa.Table, asking: pa.Table) -> pa.Table:
-        """For each asking block a bit for each key asked and the counts of those known, in the order asked."""
-        if not known.num_rows or not asking.num_rows:
-            return _table([])
-        kind, rng = asking.column("kind")[0].as_py(), asking.column("rng")[0].as_py()
-        (keys, *values), = _read_runs(known.column("payload"), 1 if kind == BIGRAMS else 5)
-        rows = []
-        for blk, p in zip(asking.column("blk").to_pylist(), asking.column("payload")):
-            want, _ = B.unpack_keys(p.as_buffer().to_pybytes())
-            at = B.find(keys, want)
-            hit = at >= 0
-            if hit.any():
-                rows.append((kind, rng, blk, np.packbits(hit).tobytes() + b"".join(B.pack_counts(v[at[hit]]) for v in values)))
-        return _table(rows)
-
-    known = model.unionByName(words)
-    answers = known.groupBy("kind", "rng").cogroup(ask_rows.groupBy("kind", "rng")).applyInArrow(answer, ROW)
-    told = answers.select("blk", "kind", "rng", "payload", F.lit(None).cast("long").alias("doc_id")).unionByName(
-        marked.where("not train").select("blk", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("rng"), F.lit(None).cast("binary").alias("payload"), "doc_id"))
     names = ["doc_id", "lang", "n_words", "log_perplexity", "held_out"]
 
-    def gathered(table: pa.Table, kind: int, keys: np.ndarray, n_values: int) -> list[np.ndarray]:
-        """The counts of the asked keys, 0 where unknown."""
-        out = [np.zeros(len(keys), dtype=np.int64) for _ in range(n_values)]
-        part = table.filter(pc.equal(table.column("kind"), kind))
-        said = dict(zip(part.column("rng").to_pylist(), part.column("payload")))
-        for r, a, b in B.cuts(keys, ranges, 64):
-            if r in said:
-                data = said[r].as_buffer().to_pybytes()
-                hit = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=(b - a + 7) // 8), count=b - a).astype(bool)
-                at = (b - a + 7) // 8
-                for o in out:
-                    v, at = B.unpack_counts(data, at)
-                    o[a:b][hit] = v
-        return out
-
+    # 4. scores
     @tidy
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())], names)
-        docs = B.unpack_tables(left.column("payload"))
-        lw, rw, key, first = bigrams(B.texts_of(docs))
-        two, ids = asked(lw, rw, key)
-        c2, = gathered(right, BIGRAMS, two, 1)
-        c, f1, f2, f3, cont = gathered(right, WORDS, ids, 5)
-        pick = lambda at, v: np.where(at >= 0, v[at] if len(v) else 0, 0)
-        lo, ro = B.find(ids, lw), B.find(ids, rw)
-        seen = pick(ro, cont)
-        p1 = np.maximum(seen - discount_of(seen, d1), 0) / types + rare / (vocabulary + 1) + 1e-12
-        total_left = pick(lo, c).astype(np.float64)
-        gamma = np.where(total_left > 0, (d2[0] * pick(lo, f1) + d2[1] * pick(lo, f2) + d2[2] * pick(lo, f3)) / np.maximum(total_left, 1), 1.0)
-        cc = pick(B.find(two, key), c2)
-        p = np.where(total_left > 0, np.maximum(cc - discount_of(cc, d2), 0) / np.maximum(total_left, 1), 0) + gamma * p1
-        sums = np.concatenate([[0.0], np.cumsum(-np.log(np.maximum(p, 1e-30)))])
+        docs, every, first, _, lw, rw, keys, place = block(left, right)
+        c2, said = np.zeros(len(keys), dtype=np.int64), _of_kind(right, BIGRAMS)
+        for r, a, b in B.cuts(keys, ranges, bits):
+            c2[a:b], = _read_counts(said[r], 1)
+        sums, said = np.zeros((5, len(every)), dtype=np.int64), _of_kind(right, WORDS)
+        for r, a, b in B.cuts(every, ranges, 64):
+            sums[:, a:b] = _read_counts(said[r], 5)
+        c, f1, f2, f3, cont = sums
+        p1 = np.maximum(cont - discount_of(cont, d1), 0) / types + rare / (vocabulary + 1) + 1e-12
+        gamma = np.where(c > 0, (d2[0] * f1 + d2[1] * f2 + d2[2] * f3) / np.maximum(c, 1), 1.0)
+        cc, total_left = c2[place], c[lw].astype(np.float64)
+        p = np.where(total_left > 0, np.maximum(cc - discount_of(cc, d2), 0) / np.maximum(total_left, 1), 0) + gamma[lw] * p1[rw]
+        upto = np.concatenate([[0.0], np.cumsum(-np.log(np.maximum(p, 1e-30)))])
         n = np.diff(first)
         with np.errstate(invalid="ignore", divide="ignore"):
-            lp = (sums[first[1:]] - sums[first[:-1]]) / n
-        out = set(right.filter(pc.is_valid(right.column("doc_id"))).column("doc_id").to_pylist())
+            lp = (upto[first[1:]] - upto[first[:-1]]) / n
+        out = set(right.column("doc_id").drop_null().to_pylist())
         held_out = [d in out for d in docs.column("doc_id").to_pylist()]
         return pa.Table.from_arrays([docs.column("doc_id"), docs.column("lang"), pa.array(n), pa.array(lp, mask=n == 0), pa.array(held_out)], names)
 
-    return held.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(score, "doc_id long, lang string, n_words long, log_perplexity double, held_out boolean")
+    answers = counted.where(F.col("kind") == BIGRAMS).unionByName(stats.where(F.col("kind") == WORDS)).select("blk", "kind", "rng", "payload", F.lit(None).cast("long").alias("doc_id"))
+    answers = answers.unionByName(with_ids).unionByName(flags(marked.where("not train")))
+    return held.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, "doc_id long, lang string, n_words long, log_perplexity double, held_out boolean")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, **columns) -> DataFrame:
