@@ -96,30 +96,36 @@ def unpack_tables(payloads: pa.ChunkedArray) -> pa.Table | None:
     return pa.concat_tables(tables) if tables else None
 
 
+_POWERS_OF_2 = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct unsigned 64-bit keys: gaps in byte planes, with exceptions for wide gaps."""
+    """Sorted distinct unsigned 64-bit keys: gaps in the number of bits that costs least, with exceptions for wider gaps."""
     n = len(keys)
     gaps = np.diff(keys, prepend=np.uint64(0))
-    cost = {w: w * n + 12 * int(np.count_nonzero(gaps >> np.uint64(8 * w))) if w < 8 else 8 * n for w in range(1, 9)}
-    w = min(cost, key=cost.get)
-    wide = np.flatnonzero(gaps >> np.uint64(8 * w)) if w < 8 else np.zeros(0, dtype=np.int64)
-    planes = gaps.astype("<u8").view(np.uint8).reshape(n, 8)[:, :w].T.tobytes()
-    high = (gaps[wide] >> np.uint64(8 * w)) if w < 8 else gaps[wide]
-    return b"".join([np.array([n, w, len(wide)], dtype="<u4").tobytes(), planes, wide.astype("<u4").tobytes(), high.astype("<u8").tobytes()])
+    size = np.bincount(np.searchsorted(_POWERS_OF_2, gaps, side="right"), minlength=65)  # gaps by bit length
+    wider = n - np.cumsum(size)
+    w = int(np.argmin(np.arange(65) * n + 96 * wider))
+    low = gaps if w == 64 else gaps & np.uint64((1 << w) - 1)
+    bits = np.unpackbits(low.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - w :]
+    wide = np.zeros(0, dtype=np.int64) if w == 64 else np.flatnonzero(gaps >> np.uint64(w))
+    high = gaps[wide] >> np.uint64(min(w, 63))
+    return b"".join([np.array([n, w, len(wide)], dtype="<u4").tobytes(), np.packbits(bits).tobytes(), wide.astype("<u4").tobytes(), high.astype("<u8").tobytes()])
 
 
 def unpack_keys(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     """(keys, end of what was read)."""
     n, w, m = (int(x) for x in np.frombuffer(data, dtype="<u4", count=3, offset=at))
     at += 12
-    gaps = np.zeros((n, 8), dtype=np.uint8)
-    gaps[:, :w] = np.frombuffer(data, dtype=np.uint8, count=n * w, offset=at).reshape(w, n).T
-    gaps = gaps.reshape(-1).view("<u8")
-    at += n * w
+    packed = (n * w + 7) // 8
+    bits = np.zeros((n, 64), dtype=np.uint8)
+    bits[:, 64 - w :] = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=packed, offset=at), count=n * w).reshape(n, w)
+    gaps = np.packbits(bits, axis=1).reshape(-1).view(">u8").astype(np.uint64)
+    at += packed
     wide = np.frombuffer(data, dtype="<u4", count=m, offset=at)
     at += 4 * m
     if m:
-        gaps[wide] |= np.frombuffer(data, dtype="<u8", count=m, offset=at) << np.uint64(8 * w)
+        gaps[wide] |= np.frombuffer(data, dtype="<u8", count=m, offset=at) << np.uint64(w)
     return np.cumsum(gaps, dtype=np.uint64), at + 8 * m
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import tempfile
 import uuid
@@ -127,6 +128,12 @@ def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFra
     return placed.join(F.broadcast(base.select("__p", "__b")), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__b", "__i")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import corpus_size, materialise, read, tidy
+from .common import corpus_size, materialise, read, release, tidy
 from .textkit import word_hashes
 
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
@@ -158,11 +158,11 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     numbers = materialise(held.groupBy("blk").applyInArrow(tell_words, ROW).groupBy("rng").applyInArrow(number, ROW), "kn-numbers")
     most = numbers.agg(F.max("size")).first()[0] or 1
-    low = max(1, int(most - 1).bit_length())
-    width = low + max(1, (ranges - 1).bit_length())
-    if width > 32:
+    vast = most * ranges  # numbers are below this: those of range r are r * most + i
+    if vast >= 1 << 32:
         raise ValueError("more words than 32-bit numbers")
-    bits = max(10, 2 * width)
+    bits = max(10, (vast * vast - 1).bit_length() + 1 & ~1)
+    release(docs.sparkSession)
     mixer = Mixer(bits)
 
     def block(held: pa.Table, told: pa.Table):
@@ -171,8 +171,8 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         every, left, right, first = block_words(B.texts_of(docs))
         ids, said = np.zeros(len(every), dtype=np.uint64), _of_kind(told, IDS)
         for r, a, b in B.cuts(every, ranges, 64):
-            ids[a:b] = B.unpack_keys(said[r])[0] | np.uint64(r << low)
-        keys, place = np.unique(mixer.there((ids[left] << np.uint64(width)) | ids[right]), return_inverse=True)
+            ids[a:b] = B.unpack_keys(said[r])[0] + np.uint64(r * most)
+        keys, place = np.unique(mixer.there(ids[left] * np.uint64(vast) + ids[right]), return_inverse=True)
         return docs, every, first, ids, left, right, keys, place
 
     # 2. bigrams and their training counts
@@ -205,15 +205,16 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
             lo += len(t)
         keys, c = keys[c > 0], c[c > 0]
         pair, z = mixer.again(keys), np.zeros(len(c), dtype=np.int64)
-        ids = np.concatenate([pair >> np.uint64(width), pair & np.uint64((1 << width) - 1)])
+        ids = np.concatenate(np.divmod(pair, np.uint64(vast)))
         ids, *sums = _sum_by(ids, *[np.concatenate([a, b]) for a, b in ((c, z), ((c == 1) * 1, z), ((c == 2) * 1, z), ((c >= 3) * 1, z), (z, z + 1))])
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(ids >> np.uint64(low))) + 1, [len(ids)]]) if len(ids) else np.zeros(1, dtype=np.int64)
-        rows += [(WORDS, int(ids[a] >> np.uint64(low)), None, B.pack_keys(ids[a:b]) + _counts(*[s[a:b] for s in sums])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(ids // np.uint64(most))) + 1, [len(ids)]]) if len(ids) else np.zeros(1, dtype=np.int64)
+        rows += [(WORDS, int(ids[a]) // most, None, B.pack_keys(ids[a:b]) + _counts(*[s[a:b] for s in sums])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         return _table([*rows, (None, None, None, None, *_of_counts(c), int(c.sum()), len(c))])
 
     with_train = with_ids.unionByName(flags(marked.where("train")))
     told = held.groupBy("blk").cogroup(with_train.groupBy("blk")).applyInArrow(tell_bigrams, ROW)
     counted = materialise(told.groupBy("rng").applyInArrow(add_up, ROW), "kn-bigrams")
+    release(docs.sparkSession)
 
     # 3. sums of words
     @tidy
@@ -229,7 +230,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
         ids, *sums = _sum_by(*[np.concatenate([r[k] for r in runs]) for k in range(6)]) if runs else (none.astype(np.uint64), *[none] * 5)
         rows = []
         for blk, data in zip(asking.column("blk").to_pylist(), _bytes(asking.column("payload"))):
-            at = B.find(ids, B.unpack_keys(data)[0] | np.uint64(rng << low))
+            at = B.find(ids, B.unpack_keys(data)[0] + np.uint64(rng * most))
             rows.append((WORDS, rng, blk, _counts(*[np.where(at >= 0, s[at] if len(s) else 0, 0) for s in sums])))
         return _table([*rows, (None, None, None, None, *_of_counts(sums[4]), int(sums[4].sum()), len(ids))])
 
