@@ -6,6 +6,7 @@ import ctypes
 import gc
 import inspect
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -129,9 +130,11 @@ def numbered(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFra
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more (its cleaner works on its own thread)."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
