@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 BLOCK_BYTES, RANGE_KEYS, LEAST = 3 << 20, 1 << 21, 64
-_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
 
 
 def block_count(total_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:

@@ -38,7 +38,7 @@ from .textkit import word_hashes
 
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
 START = np.uint64(0x51A27)
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
