@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -53,10 +55,43 @@ def test_damaged_amounts_are_repaired(spark):
     assert got[2]["cgst"] is not None and got[2]["arithmetic_ok"]
 
 
-def test_impossible_sets_are_resolved():
-    o = {"total": [(28300, 0.9), (117400, 0.5)], "cgst": [(14150, 0.8)], "sgst": [(14150, 0.8)], "subtotal": [(99500, 0.8)]}
-    assert extract.resolve_amounts(o)["total"] == 117400
-    assert extract.resolve_amounts({"total": [(100, 0.9)]})["total"] == 100
+def test_impossible_sets_are_resolved(spark):
+    from itertools import product
+
+    kind = "key long, options array<struct<field:string,rn:int,value:bigint,score:double>>, round_off long, expected long"
+    known = {"total": [(28300, 0.9), (117400, 0.5)], "cgst": [(14150, 0.8)], "sgst": [(14150, 0.8)], "subtotal": [(99500, 0.8)]}
+    rng = random.Random(7)
+    cases = [(known, None, None), ({"total": [(100, 0.9)]}, None, None)]
+    for _ in range(60):
+        o = {n: [(rng.choice([100, 900, 5000, 5900, 10000, 11800, 59000]), round(rng.random(), 3)) for _ in range(rng.randrange(0, 6))] for n in extract.RESOLVED}
+        cases.append((o, rng.choice([None, 10]), rng.choice([None, 11800])))
+    rows = [(i, [(n, k + 1, v, s) for n, xs in o.items() for k, (v, s) in enumerate(xs)], r, e) for i, (o, r, e) in enumerate(cases)]
+    got = {r["key"]: r["v"] for r in extract.plausible_sets(spark.createDataFrame(rows, kind)).collect()}
+    assert got[0]["total"] == 117400 and got[1]["total"] == 100
+
+    def rules(v):
+        tax = [v[n] for n in ("cgst", "sgst", "igst") if v[n] is not None]
+        most = max([sum(tax) if tax else v["tax_total"] or 0, v["tax_total"] or 0, *tax])
+        return (v["total"] is not None and 0 < most >= v["total"]) + (None not in (v["total"], v["subtotal"]) and v["subtotal"] > v["total"] + 100) + (None not in (v["cgst"], v["sgst"]) and abs(v["cgst"] - v["sgst"]) > 2)
+
+    for i, (o, r, e) in enumerate(cases):
+        seen = {n: sorted({v: (k, v, s) for k, (v, s) in reversed(list(enumerate(o.get(n, []))))}.values()) for n in extract.RESOLVED}
+        most = next((m for m in (4, 3) if math.prod(min(m, len(x)) + 1 for x in seen.values()) <= 6000), 2)
+        near = lambda v: e is not None and v is not None and abs(v - e) <= max(100, e * 0.005)
+        lists = [[(v, s + (0.6 if n == "total" and near(v) else 0)) for _, v, s in seen[n][:most]] + [(None, 0.0)] for n in extract.RESOLVED]
+        every = []
+        for combo in product(*lists):
+            v = dict(zip(extract.RESOLVED, (x[0] for x in combo)))
+            lost = sum(max(0.0, x[0][1] - c[1]) + 0.05 for x, c in zip(lists, combo) if c[0] != x[0][0])
+            tax = [v[n] for n in ("cgst", "sgst", "igst") if v[n] is not None]
+            tax = sum(tax) if tax else v["tax_total"] or 0
+            if None not in (v["total"], v["subtotal"]):
+                adds = 0 if abs(v["total"] - v["subtotal"] - tax - (r or 0)) <= max(2, v["total"] * 0.005) else 2
+            else:
+                adds = 1 if v["total"] is None or e is None else 0 if near(v["total"]) else 2
+            every.append(((rules(v), round(lost, 6), adds, -round(sum(c[1] for c in combo), 6)), v))
+        best = min(every, key=lambda x: x[0])
+        assert got[i] == (best[1] if best[0][0] < every[0][0][0] else every[0][1]), i
 
 
 def test_vendor_registry(spark):
@@ -72,7 +107,14 @@ def test_brands_and_rate_times_quantity(spark):
     got, _ = run(spark, SLIP, two.replace("SHLL", "HINDUSTAN PEROLEUM"), hello)
     assert [got[i]["vendor"] for i in range(3)] == ["Indian Oil", "Hindustan Petroleum", "NILGIRI ENERGY"]
     assert got[1]["total"] == D("589.95") and got[1]["arithmetic_ok"]
-    assert extract.brand_of("IOCL") == "Indian Oil" and extract.brand_of("Corner Shop") is None
+    lines = spark.createDataFrame([("IOCL",), ("Corner Shop",), ("Nayara  Energy Ltd",)], "line string")
+    assert [r[0] for r in lines.select(extract.named_brand(extract.brand_letters(F.col("line")))).collect()] == ["Indian Oil", None, "Nayara Energy"]
+
+
+def test_brands_of_a_registry_go_by_their_words(spark):
+    reg = spark.createDataFrame([("V007", "Indian Oil Pump", None), ("V003", "Oil Depot Indian Road", None)], "vendor_canonical string, vendor_name string, gstin string")
+    f = extract.fields(docs(spark, SLIP, "NILGIRI ENERGY\nWelcome\nSHYAMBAZAR FUEL POINT\nTotal: 100.00"), AS_OF, reg)
+    assert {r["receipt_id"]: r["vendor"] for r in extract.documents(f).collect()} == {0: "V003", 1: "NILGIRI ENERGY"}
 
 
 def test_learned_tax_numbers_serve_later_receipts(spark):
