@@ -20,9 +20,9 @@ CURRENCIES = {
     "SEK": (("SEK", "kr"), "Swedish Krona", "DMY", 2),
 }
 SYMBOLS = sorted({s for c in CURRENCIES.values() for s in c[0]}, key=lambda s: (-len(s), s))
-#: Symbols that several currencies share, most common first.
+# Symbols that several currencies share, most common first.
 SHARED_SYMBOLS = {"$": ("USD", "CAD", "AUD", "SGD", "NZD"), "kr": ("SEK",), "R": ("ZAR",)}
-#: Locale markers and the currency that they hint at, in order.
+# Locale markers and the currency that they hint at, in order.
 LOCALE_HINTS = (
     (r"(?i)\b(?:GSTIN|CGST|SGST|IGST)\b", "INR"),
     (r"(?i)\b(?:USt-IdNr|MwSt|Mehrwertsteuer|Rechnung|Gesamtbetrag)\b", "EUR"),
@@ -80,6 +80,12 @@ PATTERN_TIERS = {
 }
 LINE_ROLES = ("VENDOR", "ADDRESS", "GSTIN", "DATE", "INVOICE", "ITEM", "SUBTOTAL", "TAX", "TOTAL", "FOOTER", "OTHER")
 
+# The role that the line of a field should have.
+EXPECTED_ROLES = {
+    "vendor": "VENDOR", "date": "DATE", "invoice_no": "INVOICE", "gstin": "GSTIN", "subtotal": "SUBTOTAL", "total": "TOTAL",
+    "cgst": "TAX", "sgst": "TAX", "igst": "TAX", "cess": "TAX", "tax_total": "TAX", "round_off": "TAX",
+}
+
 # Fixed values of the duplicate engine.
 SIGNAL_WEIGHTS = {"invoice": 0.2233, "amount": 0.0827, "vendor": 0.1946, "date": 0.2232, "image": 0.0265, "text": 0.2497}
 BANDS = (("EXACT", 0.92), ("HIGH", 0.78), ("MEDIUM", 0.62), ("LOW", 0.45))
@@ -87,6 +93,7 @@ BAND_ORDER = ("NONE", "LOW", "MEDIUM", "HIGH", "EXACT")
 KEEP_SCORE, CROSS_EMPLOYEE = 0.45, 0.88
 WINDOW_DAYS, MAX_BLOCK, MAX_TOKEN_DF, RARE_TOKENS, AMOUNT_BUCKET = 180, 40, 5, 3, 50
 TOKEN_STOP_WORDS = ("invoice", "total", "amount", "receipt", "gstin", "date", "bill", "thank", "visit", "again", "customer", "copy", "original", "tax")
+MAX_TERMS = 50_000
 PHASH_SAME, IMAGE_FLOOR, VENDOR_SAME = 2, 0.90, 90
 INVOICE_STOP_WORDS = ("GST", "TAX", "ORIGINAL", "DUPLICATE", "TRIPLICATE", "INVOICE", "RECEIPT", "BILL", "MEMO", "NO", "DATE", "COPY")
 # Which characters a scanner confuses.

@@ -42,8 +42,8 @@ def document_frequency(claims: DataFrame) -> DataFrame:
 
 def rare_tokens(claims: DataFrame, k: int = R.RARE_TOKENS, max_df: int = R.MAX_TOKEN_DF) -> DataFrame:
     """claim_id, token: the k rarest tokens of a claim with a document frequency of at most max_df."""
-    each = claims.select("claim_id", F.explode(tokens(F.col("text"))).alias("token"))
-    rare = document_frequency(claims).where(F.col("df") <= max_df)
+    each = settled(claims.select("claim_id", F.explode(tokens(F.col("text"))).alias("token")))
+    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df)
     order = Window.partitionBy("claim_id").orderBy("df", "token")
     return each.join(rare, "token").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("claim_id", "token")
 
@@ -287,10 +287,13 @@ def pattern_pairs(pairs: DataFrame, score: float, band: str, name: str) -> DataF
 
 
 def checkpoint_folder(df: DataFrame) -> None:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The cluster's spark.checkpoint.dir; on a local master only, a temporary folder where that is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketry-"))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -299,12 +302,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """node, component (least member) of edges a, b: least labels spread and jump until nothing changes."""
     checkpoint_folder(edges)
     e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         near = e.join(label, e["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m"))
         nxt = label.join(near, label["node"] == near["a"]).select("node", F.least("label", "m").alias("l"), F.col("label").alias("old"))
         jump = label.select(F.col("node").alias("n"), F.col("label").alias("up"))
@@ -313,16 +316,33 @@ def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         label = nxt.select("node", "label")
         if not changed:
             return label.select("node", F.col("label").alias("component"))
-    raise RuntimeError("clusters did not settle")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """claim_id, duplicate_group: dense numbers of the components of EXACT and HIGH pairs, by least member."""
+    from .evaluation import ranked
+
     c = connected(pairs.where(F.col("band").isin("EXACT", "HIGH")))
-    number = c.select("component").distinct().withColumn("duplicate_group", F.row_number().over(Window.orderBy("component")))
+    number = ranked(c.select("component").distinct(), [F.col("component")]).select("component", F.col("rn").cast("int").alias("duplicate_group"))
     return c.join(number, "component").select(F.col("node").alias("claim_id"), "duplicate_group")
 
 
+def recomputed_groups(claims: DataFrame, flags: DataFrame) -> DataFrame:
+    """claim_id, duplicate_group of every claim after a review: components of the flags not dismissed; others have none.
+
+    flags: claim_id, matched_id, band, status."""
+    kept = flags.where("status <> 'DISMISSED'").select(F.col("claim_id").alias("a"), F.col("matched_id").alias("b"), "band")
+    return claims.select("claim_id").join(clusters(kept), "claim_id", "left")
+
+
+def reasons(pairs: DataFrame, strong: float = 0.75) -> DataFrame:
+    """a, b, reasons: the rules that fired, then the signals of at least `strong`, highest first, as `name=value`."""
+    high = F.filter(F.map_entries("signals"), lambda e: e["value"] >= strong)
+    sorted_ = F.array_sort(F.transform(high, lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("name"))))
+    said = F.transform(sorted_, lambda e: F.concat(e["name"], F.lit("="), F.format_string("%.2f", -e["minus"])))
+    return pairs.select("a", "b", F.concat("rules_fired", said).alias("reasons"))
+
+
 def transitive_closure(truth: DataFrame) -> DataFrame:
     """a, b, dup_type: all pairs inside the components of labelled pairs; pairs not labelled are TRANSITIVE."""
     c = connected(truth)
@@ -402,8 +422,9 @@ def term_counts(texts: DataFrame, id_col: str, text_col: str, low: int = 3, high
     return texts.select(id_col, F.explode(F.flatten(F.transform(padded, grams))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5, copies: str | None = None) -> DataFrame:
-    """a, b, text: cosine of L2-normalised character n-gram TF-IDF (words padded by a space, smooth idf + 1).
+def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5, copies: str | None = None, max_terms: int = R.MAX_TERMS) -> DataFrame:
+    """a, b, text: cosine of L2-normalised character n-gram TF-IDF (words padded by a space, smooth idf + 1) over the max_terms
+    most frequent terms.
 
     copies: how many texts a row stands for (default 1).
     """
@@ -411,7 +432,9 @@ def tfidf_scores(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
     ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
     terms = term_counts(texts, id_col, text_col, low, high)
     n = many.agg(F.sum("copies").alias("n"))
-    idf = terms.join(many, id_col).groupBy("term").agg(F.sum("copies").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    counts = terms.join(many, id_col).groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("copies") * F.col("tf")).alias("total"))
+    counts = counts.orderBy(F.desc("total"), "term").limit(max_terms)
+    idf = counts.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = terms.join(ids, id_col, "left_semi").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weights.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = weights.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("w"))

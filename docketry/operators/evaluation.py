@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fuzzy
 from ..functions import registry as R
 from ..functions import text as T
 from . import dedup
@@ -76,10 +77,36 @@ def grouped_prf(df: DataFrame, keys: list[str], predicted: Column, actual: Colum
     return out.select(*keys, "n", "tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def error_classes(df: DataFrame, value: str, truth: str) -> DataFrame:
-    """OK, MISSED, WRONG_VALUE or SPURIOUS for each row; a missing value for a zero truth is OK."""
-    v, t = F.col(value), F.col(truth)
-    return df.withColumn("error", F.when(v.isNull() & (t.isNull() | (t == 0)), "OK").when(v.isNull(), "MISSED").when(t.isNull(), "SPURIOUS").when(v == t, "OK").otherwise("WRONG_VALUE"))
+def canonical(field: Column, value: Column) -> Column:
+    """The form of a field's value that is compared: amounts to two places, dates as they are, ids and vendor names normalised."""
+    vendor = F.when(value.startswith("V") & (F.length(value) == 4), value).otherwise(T.norm_vendor(value))
+    out = F.when(field == "vendor", vendor).when(field.isin("gstin", "invoice_no"), F.nullif(T.norm_invoice_no(value), F.lit(""))).when(field == "date", value).otherwise(value.try_cast(T.MONEY).cast("string"))
+    return F.when(F.coalesce(value, F.lit("")) != "", out)
+
+
+def judged_fields(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Each field of each receipt that has truth: truth's columns, said, correct, lenient, error. found: receipt_id, field, value;
+    truth: receipt_id, field, truth and more. A tax that is truly zero is not judged."""
+    rows = truth.join(found.select("receipt_id", "field", F.col("value").alias("said")), ["receipt_id", "field"], "left")
+    rows = T.barrier(rows.withColumns({"t": canonical(F.col("field"), F.col("truth")), "p": canonical(F.col("field"), F.col("said"))}))
+    rows = rows.where(~(F.col("field").isin("cgst", "sgst", "igst") & F.coalesce(F.col("t") == "0.00", F.lit(False))))
+    near = fuzzy.token_set(F.when(F.col("field") == "vendor", F.col("p")), F.when(F.col("field") == "vendor", F.col("t"))) >= 90
+    error = F.when(F.col("t").isNull() & F.col("p").isNotNull(), "SPURIOUS").when(F.col("t").isNotNull() & F.col("p").isNull(), "MISSED").when(F.col("t") != F.col("p"), "WRONG_VALUE")
+    correct = F.coalesce(F.col("t") == F.col("p"), F.lit(False))
+    return rows.select(*truth.columns, "said", correct.alias("correct"), (correct | F.coalesce(near, F.lit(False))).alias("lenient"), error.alias("error"), F.col("t").isNotNull().alias("known"), F.col("p").isNotNull().alias("extracted"))
+
+
+def extraction_report(judged: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and lenient accuracy by field, by field and tier, and by field and template."""
+    rows = judged.where("known").select("field", "tier", "template", F.col("extracted").cast("long").alias("e"), F.col("correct").cast("long").alias("c"), F.col("lenient").cast("long").alias("l"))
+    g = rows.groupingSets([["field"], ["field", "tier"], ["field", "template"]], "field", "tier", "template").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("extracted"), F.sum("c").alias("correct"), F.sum("l").alias("lenient"))
+    p, r = F.when(F.col("extracted") > 0, F.col("correct") / F.col("extracted")).otherwise(0.0), F.col("correct") / F.col("n")
+    return g.select("field", "tier", "template", "n", "extracted", "correct", "lenient", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def extraction_errors(judged: DataFrame) -> DataFrame:
+    """Rows that are MISSED, WRONG_VALUE or SPURIOUS."""
+    return judged.where("error IS NOT NULL")
 
 
 def band_prf(pairs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -163,5 +190,19 @@ def best_weights(scores: DataFrame) -> DataFrame:
     return scores.agg(F.max_by("vec", F.struct("f1", -F.col("vec"))).alias("vec"), F.max("f1").alias("f1"))
 
 
-def lenient_match(a: Column, b: Column) -> Column:
-    return T.norm_invoice_no(a) == T.norm_invoice_no(b)
+def tuned_weights(signals: DataFrame, truth: DataFrame, claims: DataFrame, vectors: DataFrame, dev: float = 0.6) -> DataFrame:
+    """One row: the vector of the highest F1 on a share `dev` of the claims (by a hash of the id), its F1 there and on the others,
+    and those of the standing weights (vector 0). Pairs with an end on either side belong to neither."""
+    side = ranked(claims.select("claim_id"), [F.xxhash64(F.lit(5), "claim_id"), F.col("claim_id")]).select("claim_id", (F.col("rn") <= F.floor(F.col("n") * dev)).alias("dev"))
+    side = dedup.settled(side)
+
+    def scores(part: bool) -> DataFrame:
+        ids = side.where(F.col("dev") == F.lit(part)).select("claim_id")
+        inside = lambda df: df.join(ids.withColumnRenamed("claim_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("claim_id", "b"), "b", "left_semi")
+        return f1_by_weights(inside(signals), inside(truth), vectors)
+
+    seen, unseen = dedup.settled(scores(True)), dedup.settled(scores(False))
+    first = lambda df, name: df.where("vec = 0").select(F.col("f1").alias(name))
+    best = best_weights(seen).select("vec", F.col("f1").alias("dev_f1"))
+    out = best.join(unseen.select("vec", F.col("f1").alias("test_f1")), "vec")
+    return out.crossJoin(first(seen, "dev_f1_default")).crossJoin(first(unseen, "test_f1_default"))  # one row each

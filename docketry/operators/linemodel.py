@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans import adapter as A
 
 
 def featured(lines: DataFrame) -> DataFrame:
@@ -38,11 +37,11 @@ def train(lines: DataFrame, vocabulary: int = 30_000, c: float = 4.0, rounds: in
 
 
 def load(path: str) -> PipelineModel | None:
-    """A stored model; None where there is none (scores then stay neutral)."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:
-        return None
+    """A stored model; None where there is nothing at the path (scores then stay neutral)."""
+    spark = SparkSession.getActiveSession()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return PipelineModel.load(path) if found else None
 
 
 def predict(model: PipelineModel | None, lines: DataFrame) -> DataFrame:
@@ -53,17 +52,22 @@ def predict(model: PipelineModel | None, lines: DataFrame) -> DataFrame:
     return model.transform(featured(lines)).select("receipt_id", "line_no", F.map_from_arrays(labels, vector_to_array("probability")).alias("roles"))
 
 
-def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = A.receipts(spark, sf_dir).withColumn("lines", F.split("text", "\n"))
-    x = r.select("receipt_id", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "text"))
+def lines_of(receipts: DataFrame) -> DataFrame:
+    """receipt_id, n, line_no, text of each line of receipts (receipt_id, text)."""
+    r = receipts.withColumn("lines", F.split("text", "\n"))
+    return r.select("receipt_id", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "text"))
+
+
+def labelled_lines(receipts: DataFrame) -> DataFrame:
+    x = lines_of(receipts)
     role = F.when(F.col("line_no") == 0, "VENDOR").when(F.col("line_no") == 1, "ADDRESS").when(F.col("text").startswith("GSTIN"), "GSTIN").when(F.col("text").startswith("Invoice No"), "INVOICE").when(F.col("text").startswith("Date"), "DATE")
     role = role.when(F.col("text").startswith("Item"), "ITEM").when(F.col("text").startswith("Sub Total"), "SUBTOTAL").when(F.col("text").rlike("^[CS]GST"), "TAX").when(F.col("text").startswith("Grand"), "TOTAL").when(F.col("text").startswith("Thank"), "FOOTER").otherwise("OTHER")
     return x.withColumn("role", role)
 
 
-def trained(spark: SparkSession, sf_dir: str, bound: int = 20_000) -> tuple[PipelineModel, DataFrame]:
+def trained(receipts: DataFrame, bound: int = 20_000) -> tuple[PipelineModel, DataFrame]:
     """A model of at most `bound` lines (by hash), and all lines with roles."""
-    lines = labelled_lines(spark, sf_dir)
+    lines = labelled_lines(receipts)
     sample = lines.orderBy(F.xxhash64("receipt_id", "line_no")).limit(bound)
     return train(sample), lines
 

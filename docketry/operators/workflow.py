@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("DRAFT", "SUBMITTED", "UNDER_REVIEW", "NEEDS_INFO", "APPROVED", "REJECTED")
-#: status -> statuses that an action may lead to.
+# Status -> statuses that an action may lead to.
 ALLOWED = {
     "DRAFT": ("SUBMITTED",),
     "SUBMITTED": ("UNDER_REVIEW", "NEEDS_INFO", "APPROVED", "REJECTED"),
@@ -59,9 +59,11 @@ def approvable(claims: DataFrame, flags: DataFrame) -> DataFrame:
     return claims.join(flags.where("status = 'OPEN' AND band IN ('EXACT', 'HIGH')").select("claim_id").distinct(), "claim_id", "left_anti")
 
 
-def orient(pairs: DataFrame, claims: DataFrame) -> DataFrame:
-    """claim_id (the newer side), matched_id and the pair's other columns; a null submission counts as now."""
-    at = claims.select("claim_id", F.coalesce("submitted_at", F.current_timestamp()).alias("at"))
+def orient(pairs: DataFrame, claims: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """claim_id (the newer side), matched_id and the pair's other columns; a null submission counts as as_of (default: later than
+    all). Pairs with an unknown side are dropped."""
+    never = F.lit("9999-12-31").cast("timestamp")
+    at = claims.select("claim_id", F.coalesce("submitted_at", never if as_of is None else as_of).alias("at"))
     x, y = at.select(F.col("claim_id").alias("a"), F.col("at").alias("at_a")), at.select(F.col("claim_id").alias("b"), F.col("at").alias("at_b"))
     rows = pairs.join(x, "a").join(y, "b")
     newer = F.col("at_a") >= F.col("at_b")
@@ -124,3 +126,71 @@ def review_queue(claims: DataFrame, flags: DataFrame, sort: str = "risk", top: i
 def foreign_currency(code: Column, confidence: Column, home: str = "INR") -> Column:
     """Clear evidence of another currency."""
     return (code != home) & (confidence >= 0.85)
+
+
+def persist_flags(old: DataFrame, pairs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Flags after a scoring: found pairs replace flags of the same orientation, resolved ones keep their status."""
+    new = keep_resolutions(orient(pairs, claims), old)
+    return upsert(old, new, ["claim_id", "matched_id"])
+
+
+def reject_confirmed(claims: DataFrame, confirmed: DataFrame, at: Column) -> DataFrame:
+    """claims, undecided ones among `confirmed` (claim_id) rejected."""
+    hit = claims.join(confirmed.select("claim_id").distinct().withColumn("__hit", F.lit(True)), "claim_id", "left")
+    now = F.coalesce("__hit", F.lit(False)) & ~F.col("status").isin(*DECIDED)
+    return hit.withColumns({"status": F.when(now, "REJECTED").otherwise(F.col("status")), "decided_at": F.when(now, at).otherwise(F.col("decided_at"))}).drop("__hit")
+
+
+def submit(drafts: DataFrame, at: Column, least: float = 0.60) -> tuple[DataFrame, DataFrame]:
+    """(claims after submission, audit rows): a draft is submitted, and asked about where its document was read with less confidence."""
+    unsure = F.coalesce("doc_confidence", F.lit(0.0)) < least
+    claims = drafts.withColumn("status", F.when(F.col("status") != "DRAFT", F.col("status")).when(unsure, "NEEDS_INFO").otherwise("SUBMITTED")).withColumn("submitted_at", F.when(F.col("status") == "DRAFT", F.col("submitted_at")).otherwise(F.coalesce("submitted_at", at)))
+    step = lambda a, b: F.struct(F.lit(a).alias("from_status"), F.lit(b).alias("to_status"))
+    steps = F.when(unsure, F.array(step("DRAFT", "SUBMITTED"), step("SUBMITTED", "NEEDS_INFO"))).otherwise(F.array(step("DRAFT", "SUBMITTED")))
+    audit = drafts.where("status = 'DRAFT'").select("claim_id", F.explode(steps).alias("x")).select("claim_id", "x.*", at.alias("at"))
+    return claims, audit
+
+
+AMOUNTS = ("subtotal", "cgst", "sgst", "igst", "total")
+RESCORED = ("vendor", "gstin", "invoice_no", "date", "total")
+
+
+def correct_fields(fields: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields after review, refused corrections with a reason). fields: receipt_id, field, value, needs_review; corrections:
+    receipt_id, field, value. Values are trimmed and have to read as their field's type; `rescore` marks
+    receipts whose claims have to be compared again."""
+    v = F.trim("value")
+    amount = F.replace(v, F.lit(","), F.lit("")).try_cast("decimal(12,2)")
+    day = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(v, "yyyy-MM-dd"))
+    clean = F.when(F.col("field").isin(*AMOUNTS), amount.cast("string")).when(F.col("field") == "date", day.cast("string")).otherwise(v)
+    reason = F.when(F.coalesce(v, F.lit("")) == "", "blank").when(F.length(v) > 200, "too long").when(clean.isNull(), "invalid")
+    judged = corrections.select("receipt_id", "field", "value", clean.alias("corrected"), reason.alias("reason"))
+    good = judged.where("reason IS NULL").select("receipt_id", "field", "corrected", F.col("field").isin(*RESCORED).alias("rescore"))
+    rows = fields.join(good, ["receipt_id", "field"], "left")
+    out = rows.withColumns({"value": F.coalesce("corrected", "value"), "needs_review": F.col("needs_review") & F.col("corrected").isNull(), "rescore": F.coalesce("rescore", F.lit(False))}).drop("corrected")
+    return out, judged.where("reason IS NOT NULL").drop("corrected")
+
+
+def corrected_claims(claims: DataFrame, fields: DataFrame) -> DataFrame:
+    """claims (receipt_id, total) with the corrected total of their receipt."""
+    total = fields.where("field = 'total' AND rescore").select("receipt_id", F.col("value").cast("decimal(12,2)").alias("__t"))
+    return claims.join(total, "receipt_id", "left").withColumn("total", F.coalesce("__t", "total")).drop("__t")
+
+
+def visible_claims(claims: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id and the claims that each user may see: their own; reviewers all. users: user_id, reviewer."""
+    own = claims.join(users.where("NOT reviewer").select("user_id"), F.col("employee_id") == F.col("user_id"))
+    every = claims.crossJoin(users.where("reviewer").select("user_id"))  # every row, for each reviewer: that is the result
+    return own.select("user_id", *claims.columns).unionByName(every.select("user_id", *claims.columns))
+
+
+def next_id(rows: DataFrame, column: str, prefix: str, width: int = 5) -> DataFrame:
+    """One row: the id behind the largest of a prefix."""
+    number = F.when(F.col(column).startswith(prefix), F.substring(column, len(prefix) + 1, 18).try_cast("long"))
+    return rows.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("n")).select(F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), width, "0")).alias("next_id"))
+
+
+def with_flags(claims: DataFrame, flags: DataFrame) -> DataFrame:
+    """claims with `flags`: matched_id and band of each flag on it, by matched_id; empty where there are none."""
+    per = flags.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("matched_id", "band"))).alias("flags"))
+    return claims.join(per, "claim_id", "left").withColumn("flags", F.coalesce("flags", F.array().cast(dict(per.dtypes)["flags"])))

@@ -130,6 +130,33 @@ def receipt_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def varied_receipts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(receipt_id and text, long truth) of the receipts in five templates: as they are; without an invoice number; a day late on
+    paper; with integrated tax in one line; without tax number and taxable amount."""
+    t = receipt_truth(spark, sf_dir).withColumn("template", (F.col("receipt_id") % 5).cast("int"))
+    money = lambda c: F.format_string("%.2f", c.cast("double"))
+    is_ = lambda *k: F.col("template").isin(*k)
+    day = F.when(is_(2), F.date_add("date", 1)).otherwise(F.col("date"))
+    text = F.concat_ws(
+        "\n", F.concat(F.col("vendor"), F.lit(" Traders")), F.lit("12 Market Road"), F.when(~is_(4), F.concat(F.lit("GSTIN: "), F.col("gstin"))), F.lit("TAX INVOICE"),
+        F.when(~is_(1), F.concat(F.lit("Invoice No: "), F.col("invoice_no"))), F.concat(F.lit("Date: "), F.date_format(day, "dd-MM-yyyy")), "items", F.concat(F.lit("Total Qty: "), F.col("qty").cast("string")),
+        F.when(~is_(4), F.concat(F.lit("Sub Total: ₹"), money(F.col("subtotal")))), F.when(is_(3), F.concat(F.lit("IGST @ 18%: "), money(2 * F.col("tax")))),
+        F.when(~is_(3), F.concat(F.lit("CGST @ 9%: "), money(F.col("tax")))), F.when(~is_(3), F.concat(F.lit("SGST @ 9%: "), money(F.col("tax")))), F.concat(F.lit("Grand Total: ₹"), money(F.col("total"))), F.lit("Thank you, visit again"),
+    )
+    zero = F.lit(0).cast("decimal(12,2)")
+    half, whole = F.when(is_(3), zero).otherwise(F.col("tax")), F.when(is_(3), (2 * F.col("tax")).cast("decimal(12,2)")).otherwise(zero)
+    values = {"vendor": F.col("vendor"), "gstin": F.col("gstin"), "invoice_no": F.col("invoice_no"), "date": F.col("date"), "subtotal": F.col("subtotal"), "cgst": half, "sgst": half, "igst": whole, "total": F.col("total")}
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.cast("string").alias("truth")) for n, v in values.items()])
+    tier = F.when(is_(0, 3), 0).otherwise(1).alias("tier")
+    return t.select("receipt_id", text.alias("text")), t.select("receipt_id", "template", tier, F.explode(each).alias("x")).select("receipt_id", "template", "tier", "x.*")
+
+
+#: judged: what the templates of varied_receipts make of each field.
+JUDGED_SQL = """fld AS (SELECT unnest(['vendor', 'gstin', 'invoice_no', 'date', 'subtotal', 'cgst', 'sgst', 'igst', 'total']) AS field),
+rcp AS (SELECT DISTINCT l_orderkey AS receipt_id, (l_orderkey % 5)::INT AS template, CASE WHEN l_orderkey % 5 IN (0, 3) THEN 0 ELSE 1 END AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+judged AS (SELECT *, CASE WHEN template = 1 AND field = 'invoice_no' OR template = 4 AND field = 'gstin' THEN 'MISSED' WHEN template = 2 AND field = 'date' THEN 'WRONG_VALUE' END AS error
+  FROM rcp, fld WHERE CASE WHEN field IN ('cgst', 'sgst') THEN template <> 3 WHEN field = 'igst' THEN template = 3 ELSE TRUE END)"""
+
 RECEIPTS_SQL = """SELECT l_orderkey AS receipt_id, 'INV' || '-' || strftime(o_orderdate, '%Y') || '-' || lpad(l_orderkey::VARCHAR, 8, '0') AS invoice_no, o_orderdate::DATE AS date,
   (sub / 100.0)::DECIMAL(12,2) AS subtotal, (((sub * 9 + 50) // 100) / 100.0)::DECIMAL(12,2) AS cgst, (((sub * 9 + 50) // 100) / 100.0)::DECIMAL(12,2) AS sgst,
   ((sub + 2 * ((sub * 9 + 50) // 100)) / 100.0)::DECIMAL(12,2) AS total, TRUE AS arithmetic_ok

@@ -37,15 +37,15 @@ ENGINE = (A.CLAIMS_SQL, A.KEYS_SQL, A.PAIRS_SQL, A.SCORED_SQL)
 
 def _pairs(spark, d, full: bool = False):
     """Claims and candidate pairs; full: with the rare-token keys, which the SQL leaves out."""
-    c = A.claims(spark, d)
+    c = dedup.settled(A.claims(spark, d))
     return c, dedup.candidate_pairs(c, None if full else dedup.fixed_keys(c).distinct())
 
 
 def _found(spark: SparkSession, d: str, full: bool = False):
     """Claims and scored pairs; full: with rare-token keys, fuzzy matching and text, which the SQL leaves out."""
     c, p = _pairs(spark, d, full)
+    p = dedup.settled(p)
     if full:
-        p = dedup.settled(p)
         return c, dedup.tag_resubmissions(dedup.scored_pairs(p, c, dedup.text_signal(p, c)), c)
     return c, dedup.tag_resubmissions(dedup.scored_pairs(p, c, fuzzy_match=False), c)
 
@@ -72,14 +72,14 @@ def pair_signals(spark, d, full=False):
 
 @query("duplicates_fuzzy")
 def duplicates_fuzzy(spark, d):
-    c = A.claims(spark, d)
+    c = dedup.settled(A.claims(spark, d))
     out = dedup.find_duplicates(c, policy_limit=150_000)
     return out.select("a", "b", "score", "band", F.array_join("rules_fired", ",").alias("rules"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("duplicates_incremental")
 def duplicates_incremental(spark, d):
-    c = A.claims(spark, d)
+    c = dedup.settled(A.claims(spark, d))
     new, old = c.where(F.col("claim_id") >= A.COPY), c.where(F.col("claim_id") < A.COPY)
     return dedup.find_duplicates_for(new, old).select("a", "b", "score", "band")
 
@@ -178,7 +178,7 @@ def _signals(spark, d):
 
 def _all_signals(spark, d):
     """All six signals of every candidate pair, those below KEEP_SCORE too: another weight vector may lift them."""
-    c = A.claims(spark, d)
+    c = dedup.settled(A.claims(spark, d))
     p = dedup.settled(dedup.candidate_pairs(c))
     return dedup.signal_rows(p, c, dedup.text_signal(p, c)).select("a", "b", dedup.signal_map().alias("signals"), "cross")
 
@@ -203,6 +203,19 @@ def weight_search(spark, d):
     return evaluation.best_weights(evaluation.f1_by_weights(_all_signals(spark, d), A.truth(spark, d), evaluation.weight_vectors(spark)))
 
 
+@query("weight_tuning")
+def weight_tuning(spark, d):
+    return evaluation.tuned_weights(_all_signals(spark, d), A.truth(spark, d), A.claims(spark, d), evaluation.weight_vectors(spark))
+
+
+_REASONS = "list_transform(list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'n': '{k}'}}" for k in R.SIGNAL_WEIGHTS if k != "text") + "], lambda x: x.m <= -0.75)), lambda x: x.n || '=' || printf('%.2f', -x.m))"
+
+
+@query("pair_reasons", _with(*ENGINE) + f"SELECT a, b, array_to_string(list_concat(CASE WHEN rules = '' THEN []::VARCHAR[] ELSE string_split(rules, ',') END, {_REASONS}), '; ') AS reasons FROM found")
+def pair_reasons(spark, d, full=False):
+    return dedup.reasons(_found(spark, d, full)[1]).select("a", "b", F.array_join("reasons", "; ").alias("reasons"))
+
+
 # A confidence that is a plain function of the row, and a verdict from the labels.
 _CONF = "conf AS (SELECT l.doc_id, (((l.doc_id * 7919) % 1000) / 1000.0)::DOUBLE AS conf, quality = 1 AS ok, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars > 1000 AS said FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 
@@ -258,7 +271,7 @@ def rare_tokens(spark, d):
 
 _GRAMS = """w AS (SELECT item_id, ' ' || unnest(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) || ' ' AS w FROM benchmark),
 g AS (SELECT item_id, substr(w, i, k) AS term FROM (SELECT item_id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM w, (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k)),
-tf AS (SELECT item_id, term, count(*) AS tf FROM g GROUP BY ALL), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+tf0 AS (SELECT item_id, term, count(*) AS tf FROM g GROUP BY ALL), top AS (SELECT term FROM tf0 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50000), tf AS (SELECT tf0.* FROM tf0 JOIN top USING (term)), idf AS (SELECT term, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
 v AS (SELECT item_id, term, tf * idf AS w FROM tf JOIN idf USING (term)), n AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY item_id), u AS (SELECT item_id, term, w / norm AS w FROM v JOIN n USING (item_id))
 SELECT x.item_id AS a, y.item_id AS b, round(sum(x.w * y.w), 8) AS text FROM u x JOIN u y ON x.term = y.term AND x.item_id + 1 = y.item_id GROUP BY ALL"""
 
@@ -318,18 +331,115 @@ def keep_resolutions(spark, d, full=False):
     return workflow.keep_resolutions(fl.drop("status"), fl).select("claim_id", "matched_id", "status")
 
 
+@query("regrouped", "WITH RECURSIVE " + ", ".join(ENGINE) + _FLAGS + ", strong AS (SELECT claim_id AS a, matched_id AS b FROM flags WHERE status <> 'DISMISSED' AND band IN ('EXACT', 'HIGH')), " + _REACH.format(t="strong") + "SELECT claim_id, duplicate_group FROM claims LEFT JOIN (SELECT node, dense_rank() OVER (ORDER BY component)::INT AS duplicate_group FROM comp) ON claim_id = node")
+def regrouped(spark, d, full=False):
+    return dedup.recomputed_groups(*_flags(spark, d, full))
+
+
+@query("claims_with_flags", _with(*ENGINE).rstrip() + _FLAGS + "SELECT c.claim_id, coalesce(string_agg(matched_id || ':' || band, ',' ORDER BY matched_id, band), '') AS flags FROM claims c LEFT JOIN flags f ON c.claim_id = f.claim_id GROUP BY c.claim_id")
+def claims_with_flags(spark, d, full=False):
+    c, fl = _flags(spark, d, full)
+    said = F.array_join(F.transform("flags", lambda x: F.concat_ws(":", x["matched_id"].cast("string"), x["band"])), ",")
+    return workflow.with_flags(c.select("claim_id"), fl).select("claim_id", said.alias("flags"))
+
+
+@query("flags_after_rescore", _with(*ENGINE).rstrip() + _FLAGS + "SELECT claim_id, matched_id, band, score, CASE WHEN (claim_id + matched_id) % 5 = 0 AND claim_id % 2 = 0 THEN 'DISMISSED' ELSE 'OPEN' END AS status FROM flags")
+def flags_after_rescore(spark, d, full=False):
+    """Flags of claims with even ids were there before, some of them dismissed; all pairs are scored again."""
+    c, found = _found(spark, d, full)
+    pairs = dedup.settled(found.select("a", "b", "band", "score"))
+    old = workflow.orient(pairs, c).where("claim_id % 2 = 0")
+    old = old.withColumn("status", F.when((F.col("claim_id") + F.col("matched_id")) % 5 == 0, "DISMISSED").otherwise("OPEN"))
+    return workflow.persist_flags(old, pairs, c).select("claim_id", "matched_id", "band", "score", "status")
+
+
+@query("rejected_by_confirmation", _with(*ENGINE).rstrip() + _FLAGS + """, yes AS (SELECT DISTINCT claim_id FROM flags WHERE status = 'OPEN' AND band = 'EXACT' AND (claim_id + matched_id) % 3 = 0)
+SELECT c.claim_id, CASE WHEN y.claim_id IS NOT NULL AND status NOT IN ('APPROVED', 'REJECTED') THEN 'REJECTED' ELSE status END AS status FROM claims c LEFT JOIN yes y ON c.claim_id = y.claim_id""")
+def rejected_by_confirmation(spark, d, full=False):
+    c, fl = _flags(spark, d, full)
+    verdicts = fl.where("status = 'OPEN' AND band = 'EXACT' AND (claim_id + matched_id) % 3 = 0").select("claim_id", "matched_id", F.lit("CONFIRMED").alias("verdict"))
+    confirmed = workflow.resolve_flags(fl, verdicts)[1]
+    return workflow.reject_confirmed(c, confirmed, F.lit("2030-01-01").cast("timestamp")).select("claim_id", "status")
+
+
+_DRAFTS = "drafts AS (SELECT claim_id, ((claim_id * 7919) % 1000) / 1000.0 AS doc_confidence, CASE WHEN claim_id % 7 = 0 THEN status ELSE 'DRAFT' END AS status FROM claims)"
+
+
+def _drafts(spark, d):
+    c = A.claims(spark, d)
+    return c.withColumns({"doc_confidence": ((F.col("claim_id") * 7919) % 1000) / 1000.0, "status": F.when(F.col("claim_id") % 7 == 0, F.col("status")).otherwise("DRAFT")})
+
+
+@query("submitted_claims", _with(A.CLAIMS_SQL, _DRAFTS) + "SELECT claim_id, CASE WHEN status <> 'DRAFT' THEN status WHEN doc_confidence < 0.6 THEN 'NEEDS_INFO' ELSE 'SUBMITTED' END AS status FROM drafts")
+def submitted_claims(spark, d):
+    return workflow.submit(_drafts(spark, d), F.lit("2030-01-01").cast("timestamp"))[0].select("claim_id", "status")
+
+
+@query("submission_audit", _with(A.CLAIMS_SQL, _DRAFTS) + "SELECT claim_id, 'DRAFT' AS from_status, 'SUBMITTED' AS to_status FROM drafts WHERE status = 'DRAFT' UNION ALL SELECT claim_id, 'SUBMITTED', 'NEEDS_INFO' FROM drafts WHERE status = 'DRAFT' AND doc_confidence < 0.6")
+def submission_audit(spark, d):
+    return workflow.submit(_drafts(spark, d), F.lit("2030-01-01").cast("timestamp"))[1].select("claim_id", "from_status", "to_status")
+
+
+_REVIEWED = """f AS (SELECT o_orderkey AS receipt_id, unnest(['total', 'date', 'invoice_no']) AS field, unnest([o_totalprice::DECIMAL(12,2)::VARCHAR, o_orderdate::DATE::VARCHAR, 'INV-' || o_orderkey]) AS value, TRUE AS needs_review FROM orders),
+k AS (SELECT o_orderkey AS receipt_id, CASE o_orderkey % 5 WHEN 1 THEN 'date' WHEN 2 THEN 'invoice_no' WHEN 3 THEN 'date' ELSE 'total' END AS field, CASE o_orderkey % 5 WHEN 0 THEN '1,234.5' WHEN 1 THEN '2020-13-01' WHEN 2 THEN '  X-9 ' WHEN 3 THEN '2020-02-29' ELSE ' ' END AS value FROM orders)"""
+
+
+def _reviewed(spark, d):
+    o = A.load(spark, d, "orders")
+    each = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in (("total", F.col("o_totalprice").cast("decimal(12,2)").cast("string")), ("date", F.col("o_orderdate").cast("date").cast("string")), ("invoice_no", F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string"))))])
+    fields = o.select(F.col("o_orderkey").alias("receipt_id"), F.explode(each).alias("x")).select("receipt_id", "x.*", F.lit(True).alias("needs_review"))
+    k = (F.col("o_orderkey") % 5).cast("int")
+    of = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), k)
+    new = o.select(F.col("o_orderkey").alias("receipt_id"), of("total", "date", "invoice_no", "date", "total").alias("field"), of("1,234.5", "2020-13-01", "  X-9 ", "2020-02-29", " ").alias("value"))
+    return workflow.correct_fields(fields, new)
+
+
+@query("corrected_fields", _with(_REVIEWED) + "SELECT f.receipt_id, f.field, CASE WHEN k.receipt_id IS NULL OR f.receipt_id % 5 IN (1, 4) THEN f.value WHEN f.receipt_id % 5 = 0 THEN '1234.50' ELSE trim(k.value) END AS value, k.receipt_id IS NULL OR f.receipt_id % 5 IN (1, 4) AS needs_review, k.receipt_id IS NOT NULL AND f.receipt_id % 5 NOT IN (1, 4) AS rescore FROM f LEFT JOIN k USING (receipt_id, field)")
+def corrected_fields(spark, d):
+    return _reviewed(spark, d)[0].select("receipt_id", "field", "value", "needs_review", "rescore")
+
+
+@query("refused_corrections", _with(_REVIEWED) + "SELECT receipt_id, field, value, CASE WHEN receipt_id % 5 = 1 THEN 'invalid' ELSE 'blank' END AS reason FROM k WHERE receipt_id % 5 IN (1, 4)")
+def refused_corrections(spark, d):
+    return _reviewed(spark, d)[1].select("receipt_id", "field", "value", "reason")
+
+
+@query("corrected_claims", _with(A.CLAIMS_SQL) + "SELECT claim_id, CASE WHEN claim_id % 1000000000 % 5 = 0 THEN 1234.50 ELSE total END::DECIMAL(12,2) AS total FROM claims")
+def corrected_claims(spark, d):
+    c = A.claims(spark, d).withColumn("receipt_id", F.col("claim_id") % A.COPY)
+    return workflow.corrected_claims(c, _reviewed(spark, d)[0]).select("claim_id", "total")
+
+
+@query("visible_claims", _with(A.CLAIMS_SQL, "u AS (SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, FALSE), (4, FALSE)) v(user_id, reviewer))") + "SELECT user_id::BIGINT AS user_id, count(*) AS n, sum(total)::DECIMAL(22,2) AS total FROM u JOIN claims ON reviewer OR employee_id = user_id GROUP BY user_id")
+def visible_claims(spark, d):
+    users = spark.createDataFrame([(0, True), (1, False), (2, False), (4, False)], "user_id long, reviewer boolean")
+    return workflow.visible_claims(A.claims(spark, d), users).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
+
+
+@query("next_claim_id", "SELECT 'U' || lpad((max(c_custkey) + 1)::VARCHAR, 7, '0') AS next_id FROM customer")
+def next_claim_id(spark, d):
+    ids = A.load(spark, d, "customer").select(F.explode(F.array(F.concat(F.lit("U"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")), F.concat(F.lit("C9"), F.col("c_custkey").cast("string")))).alias("id"))
+    return workflow.next_id(ids, "id", "U", 7)
+
+
 def _actions(spark, d):
     e = A.load(spark, d, "events")
     kinds = F.array(*[F.lit(s) for s in workflow.STATUSES[1:]])
     return e.select(F.col("user_id").alias("claim_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("to_status"))
 
 
-@query("workflow_log")
+_OK = " ".join(["CASE {f}", *[f"WHEN '{x}' THEN {{t}} IN ({', '.join(repr(y) for y in to)})" for x, to in workflow.ALLOWED.items() if to], "ELSE FALSE END"])
+_LOG = f"""RECURSIVE act AS (SELECT *, (row_number() OVER (PARTITION BY claim_id ORDER BY ts, seq) - 1)::INT AS step FROM (SELECT user_id AS claim_id, ts, event_id AS seq, {list(workflow.STATUSES[1:])}[(event_id % 5 + 1)::INT] AS to_status FROM events)),
+log AS (SELECT claim_id, step, ts, seq, to_status, 'DRAFT' AS from_status, {_OK.format(f="'DRAFT'", t="to_status")} AS accepted FROM act WHERE step = 0
+  UNION ALL SELECT claim_id, step, ts, seq, to_status, from_status, {_OK.format(f="from_status", t="to_status")} FROM (SELECT x.claim_id, x.step, x.ts, x.seq, x.to_status, CASE WHEN r.accepted THEN r.to_status ELSE r.from_status END AS from_status FROM log r JOIN act x ON x.claim_id = r.claim_id AND x.step = r.step + 1))"""
+
+
+@query("workflow_log", f"WITH {_LOG} SELECT claim_id, step, ts AS \"at\", seq, to_status, from_status, accepted FROM log")
 def workflow_log(spark, d):
     return workflow.apply_actions(_actions(spark, d))
 
 
-@query("workflow_state")
+@query("workflow_state", f"WITH {_LOG} SELECT claim_id, arg_max(to_status, step) AS status, max(ts) FILTER (WHERE to_status IN ('APPROVED', 'REJECTED')) AS decided_at FROM log WHERE accepted GROUP BY claim_id")
 def workflow_state(spark, d):
     return workflow.current_state(workflow.apply_actions(_actions(spark, d)))
 
@@ -366,10 +476,16 @@ def normalised_names(spark, d):
     return A.load(spark, d, "customer").select("c_custkey", T.norm_invoice_no(F.col("c_name")).alias("invoice_form"), T.norm_vendor(F.col("c_name")).alias("vendor_form"))
 
 
-@query("gstin_checks")
+_CHECK = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', ((36 - list_sum(list_transform(range(1, 15), lambda i: (((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(p, i, 1)) - 1) * (2 - i % 2)) // 36) + (((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(p, i, 1)) - 1) * (2 - i % 2)) % 36)))::BIGINT % 36) % 36 + 1)::BIGINT, 1)"
+
+
+@query("gstin_checks", f"""WITH p AS (SELECT DISTINCT '29AAGCB' || lpad((k % 10000)::VARCHAR, 4, '0') || 'J1Z' AS p FROM (SELECT arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey)), c AS (SELECT p, {_CHECK} AS c FROM p)
+SELECT p || c AS gstin, TRUE AS ok FROM c UNION SELECT p || 'A', c = 'A' FROM c UNION SELECT '39' || substr(p, 3) || c, FALSE FROM c UNION SELECT p, FALSE FROM c""")
 def gstin_checks(spark, d):
     t = A.receipt_truth(spark, d).select("gstin").distinct()
-    return t.select("gstin", T.gstin_checksum_ok(F.col("gstin")).alias("ok"))
+    head = F.substring("gstin", 1, 14)
+    forms = F.explode(F.array("gstin", F.concat(head, F.lit("A")), F.concat(F.lit("39"), F.substring("gstin", 3, 13)), head))
+    return t.select(forms.alias("gstin")).distinct().select("gstin", T.gstin_checksum_ok(F.col("gstin")).alias("ok"))
 
 
 @query("detected_currency", "SELECT c_custkey, CASE n_regionkey WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'GBP' ELSE 'JPY' END AS code, CASE WHEN n_regionkey = 1 THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -391,6 +507,60 @@ def _as_of(spark, d):
     return F.lit(last)
 
 
+def _judged(spark, d):
+    receipts, truth = A.varied_receipts(spark, d)
+    f = extract.fields(receipts, _as_of(spark, d), years_back=20)
+    found = f.select("receipt_id", "field", F.coalesce("norm_str", F.col("norm_dec").cast("string"), F.col("norm_date").cast("string")).alias("value"))
+    return evaluation.judged_fields(found, truth)
+
+
+@query("extraction_report", "WITH " + A.JUDGED_SQL + """, k AS (SELECT field, tier, template, count(*) AS n, (count(*) - count(*) FILTER (WHERE error = 'MISSED'))::BIGINT AS extracted, (count(*) - count(error))::BIGINT AS correct FROM judged GROUP BY GROUPING SETS ((field), (field, tier), (field, template)))
+SELECT field, tier, template, n, extracted, correct, correct AS lenient, CASE WHEN extracted > 0 THEN correct / extracted ELSE 0.0::DOUBLE END AS precision, correct / n AS recall, CASE WHEN correct > 0 THEN 2 * (correct / extracted) * (correct / n) / (correct / extracted + correct / n) ELSE 0.0::DOUBLE END AS f1 FROM k""")
+def extraction_report(spark, d):
+    return evaluation.extraction_report(_judged(spark, d))
+
+
+@query("extraction_errors", "WITH " + A.JUDGED_SQL + " SELECT receipt_id, template, tier, field, error FROM judged WHERE error IS NOT NULL")
+def extraction_errors(spark, d):
+    return evaluation.extraction_errors(_judged(spark, d)).select("receipt_id", "template", "tier", "field", "error")
+
+
+@query("claims_with_receipts", _with(A.CLAIMS_SQL, f"x AS ({A.RECEIPTS_SQL})") + "SELECT claim_id, x.invoice_no AS read_invoice, x.total AS read_total, claims.total = x.total AS same_total FROM claims LEFT JOIN x ON claim_id % 1000000000 = receipt_id")
+def claims_with_receipts(spark, d):
+    """Claims and what was read on their receipts; copies share a receipt."""
+    read = extract.documents(extract.fields(A.receipts(spark, d), _as_of(spark, d), years_back=20)).select("receipt_id", F.col("invoice_no").alias("read_invoice"), F.col("total").alias("read_total"))
+    c = A.claims(spark, d).withColumn("receipt_id", F.col("claim_id") % A.COPY)
+    return c.join(read, "receipt_id", "left").select("claim_id", "read_invoice", "read_total", (F.col("total") == F.col("read_total")).alias("same_total"))
+
+
+_SLIPS = "w AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 4 <> 3 THEN l_quantity::DECIMAL(12,2) END AS subtotal, CASE WHEN l_linenumber % 2 = 0 THEN 1.25 END::DECIMAL(12,2) AS cgst, CASE WHEN l_linenumber % 2 = 0 THEN 1.25 END::DECIMAL(12,2) AS sgst, 2.5::DECIMAL(12,2) AS tax_total, (l_quantity + 2.5 + (l_partkey % 5) * 0.3)::DECIMAL(12,2) AS total FROM lineitem)"
+
+
+@query("amounts_check", _with(_SLIPS) + """SELECT id, CASE WHEN known THEN expected END AS expected, CASE WHEN known THEN total - expected END::DECIMAL(12,2) AS gap, CASE WHEN NOT known THEN NULL WHEN abs(total - expected) <= greatest(0.02, round_even(total * 0.005, 2)) THEN 'ok' WHEN abs(total - expected) <= 1 THEN 'rounded' ELSE 'gap' END AS verdict
+FROM (SELECT *, (coalesce(subtotal, 0) + CASE WHEN cgst IS NOT NULL THEN cgst + sgst ELSE tax_total END)::DECIMAL(12,2) AS expected, (subtotal IS NOT NULL)::INT + CASE WHEN cgst IS NOT NULL THEN 2 ELSE 1 END >= 2 AS known FROM w)""")
+def amounts_check(spark, d):
+    line = A.load(spark, d, "lineitem")
+    dec, no = (lambda c: c.cast("decimal(12,2)")), F.col("l_linenumber")
+    part = F.when(no % 2 == 0, F.lit("1.25").cast("decimal(12,2)"))
+    w = line.select((F.col("l_orderkey") * 10 + no).alias("id"), F.when(no % 4 != 3, dec(F.col("l_quantity"))).alias("subtotal"), part.alias("cgst"), part.alias("sgst"), F.lit(None).cast("decimal(12,2)").alias("igst"), F.lit("2.50").cast("decimal(12,2)").alias("tax_total"), dec(dec(F.col("l_quantity")) + F.lit("2.5").cast("decimal(3,1)") + (F.col("l_partkey") % 5).cast("int") * F.lit("0.3").cast("decimal(2,1)")).alias("total"))
+    return extract.amounts_check(w).select("id", "expected", "gap", "verdict")
+
+
+_READ = ("vendor", "date", "total", "subtotal", "cgst", "sgst", "gstin", "invoice_no")
+
+
+@query("reading_scores", f"""WITH f AS (SELECT l_orderkey AS receipt_id, l_linenumber AS attempt, i, field, ((l_partkey * 31 + i * 17) % 100)::INT AS conf, (l_suppkey + i) % 9 <> 0 AS found, CASE l_partkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS ok FROM lineitem, (SELECT unnest(range({len(_READ)})) AS i, unnest({list(_READ)}) AS field)),
+g AS (SELECT receipt_id, attempt, coalesce(sum(conf) FILTER (WHERE found), 0) AS s, count(*) FILTER (WHERE found) AS n, count(*) FILTER (WHERE found AND field IN ('total', 'subtotal', 'cgst', 'sgst')) AS amounts, bool_and(ok) AS ok FROM f GROUP BY ALL)
+SELECT receipt_id, attempt, round(s / 1000 + CASE WHEN ok THEN CASE WHEN amounts >= 3 THEN 0.3 ELSE 0.05 END WHEN ok IS NULL THEN 0 ELSE -0.1 END, 6)::DOUBLE AS score, coalesce(ok, FALSE) AND n >= 6 AND s >= 70 * n AS good FROM g""")
+def reading_scores(spark, d):
+    each = F.posexplode(F.array(*[F.lit(x) for x in _READ])).alias("i", "field")
+    r = A.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("receipt_id"), F.col("l_linenumber").alias("attempt"), "l_partkey", "l_suppkey", each)
+    r = r.withColumns({"confidence": ((F.col("l_partkey") * 31 + F.col("i") * 17) % 100) / 100, "value": F.when((F.col("l_suppkey") + F.col("i")) % 9 != 0, "x"), "arithmetic_ok": F.when(F.col("l_partkey") % 3 == 0, True).when(F.col("l_partkey") % 3 == 1, False)})
+    # hundredths: sums of confidences are then exact in any order
+    r = r.withColumn("confidence", F.col("confidence").cast("decimal(6,2)"))
+    return extract.reading_scores(r).select("receipt_id", "attempt", F.round(F.col("score").cast("double"), 6).alias("score"), "good")
+
+
 @query("field_confidence")
 def field_confidence(spark, d):
     f = extract.fields(A.receipts(spark, d), _as_of(spark, d), years_back=20)
@@ -399,7 +569,7 @@ def field_confidence(spark, d):
 
 @query("line_roles")
 def line_roles(spark, d):
-    return linemodel.confusion(*linemodel.trained(spark, d))
+    return linemodel.confusion(*linemodel.trained(A.receipts(spark, d)))
 
 
 @query("noisy_receipts")
@@ -420,6 +590,6 @@ def sniffed_kinds(spark, d):
 #: The same queries by the whole engine (rare-token keys, fuzzy matching, text), for which there is no SQL.
 WHOLE_ENGINE = (
     "duplicate_claims", "candidate_pairs", "pair_signals", "blocking_stats", "duplicate_groups", "prf_by_band", "recall_by_type", "precision_curve",
-    "average_precision", "workload", "ablation", "flags", "review_queue", "approvable", "flags_of_either_side", "keep_resolutions",
+    "average_precision", "workload", "ablation", "flags", "review_queue", "approvable", "flags_of_either_side", "keep_resolutions", "pair_reasons",
 )
 QUERIES |= {f"{name}_full": partial(QUERIES[name], full=True) for name in WHOLE_ENGINE}

@@ -91,3 +91,20 @@ def degrade(receipts: DataFrame, tier: Column, seed: int = 42) -> DataFrame:
     """receipt_id, text, char_conf as a scanner of a noise tier would read them."""
     key = F.concat_ws(":", F.lit(str(seed)), F.col("receipt_id").cast("string"))
     return receipts.select("receipt_id", _noisy_udf(key, F.col("text"), tier).alias("x")).select("receipt_id", "x.text", "x.char_conf")
+
+
+def retype_vendor(name: Column, salt: Column) -> Column:
+    """A vendor name as a hurried hand types it again: a legal form written out or left out, a word less, capitals, two
+    letters swapped, or another "and"; the same name where nothing applies."""
+    words = F.split(name, " ")
+    n = F.size(words)
+    word = F.get(words, F.pmod(F.xxhash64(salt, F.lit("w")), n).cast("int"))
+    at = F.pmod(F.xxhash64(salt, F.lit("c")), F.greatest(F.length(word) - 1, F.lit(1))).cast("int") + 1
+    swapped = F.concat(F.substring(word, F.lit(1), at - 1), F.substring(word, at + 1, F.lit(1)), F.substring(word, at, F.lit(1)), F.substring(word, at + 2, F.lit(10_000)))
+    variants = F.array(
+        F.when(name.contains(" Pvt Ltd"), F.replace(name, F.lit(" Pvt Ltd"), F.lit(" Private Limited"))), F.when(name.contains(" Pvt Ltd"), F.replace(name, F.lit(" Pvt Ltd"), F.lit(""))),
+        F.when(name.contains(" Ltd"), F.replace(name, F.lit(" Ltd"), F.lit(" Limited"))), F.when(n > 1, F.array_join(F.slice(words, F.lit(1), n - 1), " ")), F.when(n > 1, F.upper(name)),
+        F.when((n > 1) & (F.length(word) > 3), F.replace(name, word, swapped)), F.replace(name, F.lit(" & "), F.lit(" and ")), F.replace(name, F.lit(" and "), F.lit(" & ")),
+    )
+    fit = F.array_distinct(F.filter(variants, lambda v: v.isNotNull() & (v != "") & (v != name)))
+    return F.coalesce(F.get(fit, F.pmod(F.xxhash64(salt, F.lit("v")), F.greatest(F.size(fit), F.lit(1))).cast("int")), name)

@@ -19,8 +19,10 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """One row per receipt; of repeated ids the one with the latest position stays."""
-    rows = spark.read.schema(TRUTH).csv(path, header=True).withColumn("__at", F.monotonically_increasing_id())
+    """One row per receipt; of repeated ids the one with the latest position stays: the last file by name, and in it the last row."""
+    raw = spark.read.schema(TRUTH).csv(path, header=True)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = raw.select(*raw.columns, place.alias("__at"))
     cols = [c for c in rows.columns if c not in ("receipt_id", "__at")]
     last = rows.groupBy("receipt_id").agg(F.max_by(F.struct(*cols), "__at").alias("x"))
     return last.select("receipt_id", "x.*")
@@ -33,17 +35,21 @@ def read_vendors(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(first("vendor_canonical", "canonical_id").alias("vendor_canonical"), first("vendor_name", "name").alias("vendor_name"), F.nullif(first("gstin"), F.lit("")).alias("gstin"))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+#: Confidence of characters by how a text came about; `simulated` texts get theirs from generators.degrade.
+TEXT_MODES = {"clean": 0.97, "sidecar": 0.95}
+
+
+def read_texts(spark: SparkSession, path: str, mode: str = "sidecar") -> DataFrame:
     """receipt_id (file name without its ending), text, char_conf of one text file per receipt."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("receipt_id"), F.col("value").alias("text"))
-    return raw.withColumn("char_conf", T.constant_confidence(F.col("text")))
+    return raw.withColumn("char_conf", T.constant_confidence(F.col("text"), TEXT_MODES[mode]))
 
 
 def prefer_sidecar(ids: DataFrame, sidecar: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Text of each id: its sidecar, else its scan, else null."""
+    """Text of each id: its sidecar, else its scan, else null with the source `missing`."""
     s = sidecar.select("receipt_id", F.col("text").alias("t1"), F.lit("sidecar").alias("s1"))
     o = scanned.select("receipt_id", F.col("text").alias("t2"), F.lit("ocr").alias("s2"))
-    return ids.join(s, "receipt_id", "left").join(o, "receipt_id", "left").select("receipt_id", F.coalesce("t1", "t2").alias("text"), F.coalesce("s1", "s2").alias("source"))
+    return ids.join(s, "receipt_id", "left").join(o, "receipt_id", "left").select("receipt_id", F.coalesce("t1", "t2").alias("text"), F.coalesce("s1", "s2", F.lit("missing")).alias("source"))
 
 
 def lines_of_words(words: DataFrame) -> DataFrame:
@@ -84,14 +90,17 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 
 def insert_if_absent(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace a table by rows, one for each key."""
-    rows.dropDuplicates(keys).write.mode("overwrite").parquet(path)
+    """Replace a table by rows, one for each key: the least by its other columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__x")).select(*keys, *[F.col(f"__x.{c}").alias(c) for c in rest]).select(*rows.columns) if rest else rows.distinct()
+    one.write.mode("overwrite").parquet(path)
 
 
 def render_markdown(sections: dict[str, DataFrame], rows: int = 100) -> str:
-    """A report of small tables; each is cut at `rows` rows."""
+    """A report of small tables; one of more than `rows` rows says how many it leaves out."""
     out = []
     for title, df in sections.items():
         data = df.limit(rows).collect()
+        title += f" (first {rows} of {df.count()} rows)" if len(data) == rows else ""
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *["| " + " | ".join(str(v) for v in r) + " |" for r in data], ""]
     return "\n".join(out)

@@ -147,3 +147,29 @@ def test_files_round_trip(spark, tmp_path):
     assert r["receipt_id"] == "R1" and r["text"] == BILL
     receipts_io.write_csv(generators.dataset(spark, 50), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() >= 50
+
+
+def test_line_roles_enter_the_confidence(spark):
+    lines = BILL.split("\n")
+    roles = [(0, i, {"TOTAL": 1.0 if x.startswith("Grand") else 0.0, "DATE": 0.25}) for i, x in enumerate(lines)]
+    given = spark.createDataFrame(roles, "receipt_id long, line_no int, roles map<string,double>")
+    f = {r["field"]: r["components"]["ml"] for r in extract.fields(docs(spark, BILL), AS_OF, roles=given).collect() if r["pattern_id"] != "x"}
+    assert f["total"] == 1.0 and f["date"] == 0.25 and f["cgst"] == 0.0
+    assert {r["components"]["ml"] for r in extract.fields(docs(spark, BILL), AS_OF).collect()} == {0.60}
+
+
+def test_an_invoice_number_is_not_the_tax_number(spark):
+    got, _ = run(spark, BILL.replace("INV-2025-00123", "29AAGCB7383J1Z4"))
+    assert got[0]["invoice_no"] is None and got[0]["gstin"] == "29AAGCB7383J1Z4"
+
+
+def test_tables_are_written_whole(spark, tmp_path):
+    receipts_io.insert_if_absent(spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string"), str(tmp_path / "t"), ["k"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, "c")]
+    said = receipts_io.render_markdown({"Numbers": spark.range(5)}, rows=3)
+    assert "first 3 of 5 rows" in said
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "receipt_id string")
+    text = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "receipt_id string, text string")
+    assert [r["source"] for r in receipts_io.prefer_sidecar(ids, text("a"), text("a", "b")).orderBy("receipt_id").collect()] == ["sidecar", "ocr", "missing"]
+    receipts_io.write_errors(spark.createDataFrame([(2, "x"), (1, "y")], "receipt_id int, field string"), str(tmp_path / "e"), cap=1)
+    assert spark.read.csv(str(tmp_path / "e"), header=True).first()["receipt_id"] == "1"

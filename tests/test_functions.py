@@ -88,3 +88,33 @@ def test_lcs_matches_plain(a, b):
 def test_one_changed_character_is_ninety():
     assert fuzzy.indel_ratio("INV2025001", "INV2025007") == 90.0
     assert fuzzy.token_set_ratio("SHARMA TRADERS", "TRADERS SHARMA DELHI") == 100.0
+
+
+def test_perceptual_hashes_survive_scaling_and_noise(spark):
+    import numpy as np
+
+    from docketry.functions import image
+
+    rng = np.random.default_rng(2)
+    soft = lambda a: sum(np.roll(np.roll(a, i, 0), j, 1) for i in range(-6, 7) for j in range(-6, 7)) / 169
+    pictures = [np.clip(soft(rng.random((96, 64))) * 900 - 330, 0, 255).astype(np.uint8) for _ in range(2)]
+    same = np.kron(pictures[0], np.ones((2, 2), dtype=np.uint8))
+    noisy = np.clip(pictures[0].astype(int) + rng.integers(-6, 7, pictures[0].shape), 0, 255).astype(np.uint8)
+    color = np.repeat(pictures[0][:, :, None], 3, axis=2)
+    rows = [(i, x.shape[0], x.shape[1], 1 if x.ndim == 2 else 3, bytearray(x.tobytes())) for i, x in enumerate([*pictures, same, noisy, color])] + [(9, 4, 4, 1, bytearray(b"xx")), (10, None, None, None, None)]
+    d = spark.createDataFrame(rows, "id int, height int, width int, nChannels int, data binary")
+    h = {r["id"]: r["h"] for r in d.select("id", image.phash_udf("height", "width", "nChannels", "data").alias("h")).collect()}
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert apart(h[0], h[2]) <= 2 and apart(h[0], h[3]) <= 6 and apart(h[0], h[4]) <= 1 and apart(h[0], h[1]) > 10 and h[9] is None and h[10] is None
+
+
+def test_retyped_vendors_differ_and_repeat(spark):
+    from docketry.sources import generators
+
+    names = ["Sharma Traders Pvt Ltd", "Verma & Sons", "Shell", "Om", "Lal and Co Ltd"]
+    d = spark.createDataFrame([(n, i) for n in names for i in range(20)], "name string, salt int")
+    got = [tuple(r) for r in d.select("name", "salt", generators.retype_vendor(F.col("name"), F.col("salt")).alias("typed")).collect()]
+    assert got == [tuple(r) for r in d.select("name", "salt", generators.retype_vendor(F.col("name"), F.col("salt")).alias("typed")).collect()]
+    typed = {n: {t for m, _, t in got if m == n} for n in names}
+    assert typed["Om"] == {"Om"} and "Sharma Traders Private Limited" in typed["Sharma Traders Pvt Ltd"] and "Verma and Sons" in typed["Verma & Sons"]
+    assert all(n not in typed[n] for n in names if n not in ("Om", "Shell"))

@@ -4,6 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 NAMES = ["duplicate_claims", "blocking_stats", "duplicate_groups", "prf_by_band", "calibration", "risk_coverage", "review_queue", "tfidf_cosine"]
+NAMES += ["pair_reasons", "regrouped", "flags_after_rescore", "workflow_state", "gstin_checks", "corrected_fields", "extraction_report", "amounts_check", "reading_scores"]
 
 
 def test_entry_and_names(spark):
