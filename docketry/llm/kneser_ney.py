@@ -39,6 +39,7 @@ from .textkit import word_hashes
 QUANTILE, SLACK, SHORT = 0.99, 0.25, 8.0
 START = np.uint64(0x51A27)
 BLOCK_BYTES = 16 << 20
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -64,7 +65,7 @@ class Mixer:
 def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct words, left, right, first) of lower-cased texts: 64-bit hashes, START among them, and for each word the
     places of it and of the one before; the left of a first word is START."""
-    words, first = word_hashes([t.lower() for t in texts])
+    words, first = word_hashes(texts)
     every, right = np.unique(np.concatenate([[START], words]).astype(np.uint64), return_inverse=True)
     start, right = right[0], right[1:]
     left = np.concatenate([[start], right[:-1]])[: len(right)]
@@ -133,7 +134,7 @@ def _of_kind(table: pa.Table, kind: int) -> dict[int, bytes]:
 
 def perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, held_out for each row; trusted: doc_id of the trusted texts; ids are long."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.translate(F.col(text_col).cast("string"), UPPER, UPPER.lower()).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     _, size = corpus_size(docs)
     n_blocks, n_keys = B.block_count(size, BLOCK_BYTES), size // 6 + 1
     ranges = B.range_count(n_keys)

@@ -76,17 +76,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
-    """The candidates with `copied`: many owners hold the value. Base ones all stay, added ones only if not copied."""
-    copied = ownership(found).where(F.col("n_owners") >= many_owners).select("hash", F.lit(True).alias("copied"))
-    out = found.join(copied, "hash", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    """The candidates with n_repos, n_owners and `copied`: many owners hold the value. Base ones all stay, added ones only if not copied."""
+    out = found.join(ownership(found), "hash", "left").withColumn("copied", F.col("n_owners") >= many_owners)
     return out.where((F.col("kind_no") < len(BASE)) | ~F.col("copied"))
 
 
 def secret_scan(docs: DataFrame, many_owners: int = MANY_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, span list `found` (start, kind_no, kind, end, copied; sorted)."""
+    """One row per input row: doc_id, span list `found` (start, kind_no, kind, end, copied, and documents and owners of its value; sorted)."""
     scanned = scan(docs, id_col, text_col, owner_col)
-    by_doc = judged(spans(scanned), many_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end", "copied"))).alias("found"))
-    none = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,copied:boolean>>")
+    by_doc = judged(spans(scanned), many_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "kind", "end", "copied", "n_repos", "n_owners"))).alias("found"))
+    none = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint,copied:boolean,n_repos:bigint,n_owners:bigint>>")
     return scanned.select("rid", "doc_id").join(by_doc, "rid", "left").select("doc_id", F.coalesce("found", none).alias("found"))
 
 
@@ -97,11 +96,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", many_owners: int = MANY_OWNE
     by_doc = judged(spans(scanned), many_owners).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__found"))
     # repeated rows are alike, so one of them speaks for all
     by_doc = scanned.join(by_doc, "rid").groupBy("doc_id").agg(F.any_value("__found").alias("__found")).select(F.col("doc_id.i").alias("__i"), F.col("doc_id.h").alias("__h"), "__found")
+    # the kept parts between spans that do not overlap, joined once by the mark
+    part = lambda a, n: F.substring(F.col(text_col), a.cast("int") + 1, n.cast("int"))
     step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
+        F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["kept"]).otherwise(F.array_append(acc["kept"], part(acc["at"], x["start"] - acc["at"]))).alias("kept"),
     )
-    done = F.aggregate("__found", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
+    done = F.aggregate("__found", start, step, lambda acc: F.array_join(F.array_append(acc["kept"], part(acc["at"], F.lit(2**31 - 1))), mark))
     rows = docs.withColumn("__k", key).join(by_doc, (F.col("__k") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__i")), "left")
     text = F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(done)
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -10,7 +10,7 @@ Words are encoded once per Python worker and kept in a cache of at most about CA
 drops white space and no token spans it, so a text's ids are those of its words in turn.
 
 Defined results: null text is an empty text (the end id alone); null document ids come first; rows of
-one id are ordered by text; other columns are ignored.
+one id are ordered by text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import find
-from .common import corpus_size, fresh_path, read, tidy
+from .common import corpus_size, fresh_path, read, small, tidy
 from .textkit import word_hashes
 
 END_ID, CACHE_WORDS, FILE_BYTES = 2, 1_500_000, 32 << 20
@@ -179,18 +179,23 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(8 << 20)).option("compression", "lz4").orc(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def rows_of(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
+    """The rows of the files (none where an empty table was written); kind: type of the document ids."""
+    return spark.read.schema(f"doc_id {kind}, part int, at long, n_tokens long, ids array<int>").orc(path)
+
+
+def read_token_files(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """The rows with `start`: ids of all documents before."""
-    rows = spark.read.orc(path)
+    rows = rows_of(spark, path, kind)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     parts = rows.groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("n"))
-    # one row per file
-    base = {r["part"]: r["n"] for r in parts.collect()}
-    total, table = 0, []
-    for part in sorted(base):
-        table.append((part, total))
-        total += base[part]
-    base = spark.createDataFrame(table, "part int, base long")
-    return rows.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("at"))
+    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(small(base), "part").withColumn("start", F.col("base") + F.col("at"))
+
+
+def lookup(spark: SparkSession, path: str, ids: list) -> DataFrame:
+    """The rows of some document ids: files, stripes and row groups without them are left out by statistics and Bloom filters."""
+    return rows_of(spark, path).where(F.col("doc_id").isin(ids))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -145,6 +145,31 @@ def test_secrets_match_plain_and_are_redacted(spark):
     assert clean[0] == "[secret]" and clean[3] == "[secret] é [secret]" and clean[5] is None and clean[7] == texts[7]
 
 
+def test_ownership_tells_copied_examples_from_live_values(spark):
+    """Brute force over the added kinds: a value stays if fewer than MANY_OWNERS sources hold it, in however many documents."""
+    import re
+
+    rng = random.Random(4)
+    pool = ["ghp_" + "".join(rng.choice("aZ0bY1cX2") for _ in range(30)) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        k = rng.randrange(len(pool))
+        owner = f"s{rng.randrange(k + 1)}"  # value k has up to k + 1 owners
+        rows.append((i, f"x {pool[k]} y" + (f" token={pool[k]}" if i % 9 == 0 else ""), "en", None if owner == "s0" else owner, 0))
+    pattern = re.compile(r"gh[opsru]_[A-Za-z0-9_-]{16,}")
+    owners, repos = {}, {}
+    for i, t, _, s, _ in rows:
+        for v in set(pattern.findall(t)):
+            owners.setdefault(v, set()).add(s)
+            repos.setdefault(v, set()).add(i)
+    got = {r["doc_id"]: r["found"] for r in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    assert {len(o) >= secret_scan.MANY_OWNERS for o in owners.values()} == {True, False}
+    for i, t, _, s, _ in rows:
+        want = [(m.start(), m.end()) for m in pattern.finditer(t) if len(owners[m[0]]) < secret_scan.MANY_OWNERS]
+        assert [(x["start"], x["end"]) for x in got[i] if x["kind"] == "provider"] == want
+        assert all((x["n_owners"], x["n_repos"]) == (len(owners[t[x["start"] : x["end"]]]), len(repos[t[x["start"] : x["end"]]])) for x in got[i] if x["kind"] == "provider")
+
+
 def test_copied_tokens_are_examples(spark):
     t = "key ghp_" + "a1B2" * 9
     rows = [(i, t, "en", f"s{i}", 0) for i in range(secret_scan.MANY_OWNERS)]
@@ -316,6 +341,50 @@ def test_token_files_round_trip(spark, docs, rows, tmp_path):
         at += len(ids)
 
 
+def test_token_files_of_repeated_null_and_no_rows(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.default_vocabulary())
+    rows = [(5, "b a", "en", "s", 0), (5, "a", "en", "s", 0), (None, "x", "en", "s", 0), (None, None, None, None, None), (2, "", "en", "s", 0), (5, "a", "en", "s", 0)]
+    path = str(tmp_path / "a")
+    token_files.write_token_files(frame(spark, rows), path, files=2)
+    got = token_files.digest(token_files.read_token_files(spark, path)).orderBy("start").collect()
+    order = [(None, None), (None, "x"), (2, ""), (5, "a"), (5, "a"), (5, "b a")]
+    at = 0
+    for r, (i, t) in zip(got, order, strict=True):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+    token_files.write_token_files(frame(spark, rows).where("false"), str(tmp_path / "b"))
+    assert token_files.digest(token_files.read_token_files(spark, str(tmp_path / "b"))).count() == 0
+
+
+def test_token_files_hold_indexes_and_bloom_filters_that_prune(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    d = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    token_files.write_token_files(d, path, files=4)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f for f in (tmp_path / "ids").iterdir() if f.suffix == ".orc"]
+    assert len(files) == 4
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        kinds = {s.getKind().toString() for stripe in reader.getStripes() for s in reader.rows().readStripeFooter(stripe).getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+    def rows_read(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    assert rows_read(spark.read.orc(path).select("doc_id")) == 20_000
+    hit, miss = token_files.lookup(spark, path, [30_000]), token_files.lookup(spark, path, [30_001])
+    assert [r["doc_id"] for r in hit.collect()] == [30_000] and miss.count() == 0
+    assert rows_read(hit) <= 1000 and rows_read(miss) == 0  # 30,001 lies between ids: only the Bloom filter can tell
+
+
 def test_token_counts_match_plain():
     scores = {"▁": -3.0, "▁ab": -1.0, "a": -2.0, "b": -2.0, "abc": -1.5, "c": -2.5, "▁a": -1.2}
     count = token_counts.TrieCounter(scores, max_nodes=20)
