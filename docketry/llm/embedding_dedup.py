@@ -3,7 +3,7 @@
 Equal vectors collapse to one point with a count. Points are dealt by a hash to shards of at most about SHARD
 points; each shard builds its graph once and stores it. Every point queries every shard, in blocks of
 queries: a task gets one shard's graph and one block. The task draws queries by a fixed permutation and finds their
-links by brute force, until AUDIT of them have one to MANY - 1 neighbours other than themselves and AUDIT have more;
+links by brute force (the distance along a few axes rules most pairs out), until AUDIT of them have one to MANY - 1 neighbours other than themselves and AUDIT have more;
 a block with too few of either is drawn whole, and so exact. Beams for the rest are audited on those probes: beam and
 slack double until each of the two classes has a mean recall per probe of at least RECALL (where a beam of MAX_BEAM
 still fails the audit, the rest meets the whole shard). `embedding_audit` reports the recall and beam of each task.
@@ -37,7 +37,7 @@ from .common import discard, materialise, read, tidy
 from .components import components
 from .hnsw import Graph
 
-THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL, MAX_BEAM, MANY, REGION, PART = 0.95, 40_000, 20_000, 6, 256, 0.995, 512, 10, 1000, 128
+THRESHOLD, SHARD, QUERIES, LEAST_SHARDS, AUDIT, RECALL, MAX_BEAM, MANY, REGION, PART, AXES = 0.95, 40_000, 20_000, 6, 256, 0.995, 512, 10, 1000, 128, 14
 
 Hits = tuple[np.ndarray, np.ndarray]
 
@@ -74,6 +74,12 @@ class Search:
             at = order[np.minimum(np.searchsorted(graph.ids, ids, sorter=order), len(order) - 1)]
             self.itself = np.where(graph.ids[at] == ids, at, -1)
         self.audited, self.beam, self.probes = 1.0, 0, 0
+        # the distance along some axes is at most the whole one: AXES of them rule most pairs out. With two more columns the
+        # product of two rows is (|difference|**2 along the axes) / -2
+        axes = np.argsort(-graph.unit.var(axis=0), kind="stable")[:AXES]
+        short = lambda x, y, flip: np.concatenate([x[:, axes], *[c[:, None] for c in (y, np.full(len(x), -1, dtype=np.float32))[::flip]]], axis=1)
+        half = lambda x: (x[:, axes] ** 2).sum(axis=1) / 2
+        self.short_q, self.short_p = short(self.unit, half(self.unit), 1), short(graph.unit, half(graph.unit), -1)
 
     def verified(self, rows: np.ndarray, points: np.ndarray, sims: np.ndarray) -> Hits:
         ok = sims >= self.threshold
@@ -87,9 +93,16 @@ class Search:
         """All links of the picked queries, a part of them at a time."""
         for lo in range(0, len(pick), PART):
             part = pick[lo : lo + PART]
-            sims = self.unit[part] @ self.graph.unit.T
-            r, p = np.nonzero(sims >= self.threshold - self.margin)
-            yield self.verified(part[r], p, sims[r, p])
+            near = self.short_q[part] @ self.short_p.T >= self.threshold - 1 - 2 * self.margin
+            if np.count_nonzero(near) * 20 < near.size:
+                r, p = np.divmod(np.flatnonzero(near), near.shape[1])
+                sims = np.concatenate([np.zeros(0, dtype=np.float32), *[np.einsum("nd,nd->n", self.unit[part[r[k : k + 4096]]], self.graph.unit[p[k : k + 4096]]) for k in range(0, len(r), 4096)]])
+                r, p, sims = (x[sims >= self.threshold - self.margin] for x in (r, p, sims))
+            else:
+                every = self.unit[part] @ self.graph.unit.T
+                r, p = np.nonzero(every >= self.threshold - self.margin)
+                sims = every[r, p]
+            yield self.verified(part[r], p, sims)
 
     def beams(self, pick: np.ndarray, ef: int, slack: float) -> Iterator[Hits]:
         for lo in range(0, len(pick), PART):
