@@ -105,8 +105,8 @@ class Search:
             yield self.verified(part[r], p, sims)
 
     def beams(self, pick: np.ndarray, ef: int, slack: float) -> Iterator[Hits]:
-        for lo in range(0, len(pick), PART):
-            part = pick[lo : lo + PART]
+        for lo in range(0, len(pick), 4 * PART):
+            part = pick[lo : lo + 4 * PART]
             r, p, wide = self.graph.near(self.unit[part], self.threshold, ef, slack, REGION)
             yield self.verified(part[r], p, np.einsum("nd,nd->n", self.unit[part[r]], self.graph.unit[p]))
             yield from self.whole(part[wide])
