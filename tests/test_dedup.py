@@ -1,9 +1,11 @@
 import datetime as dt
 import math
+import random
 from collections import Counter
 from decimal import Decimal as D
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import dedup, evaluation, workflow
@@ -195,3 +197,140 @@ def test_approval_guard_looks_at_the_newer_side(spark):
 def test_empty_claims(spark, sf_dir):
     none = A.claims(spark, sf_dir).where("false")
     assert dedup.candidate_pairs(none).count() == 0
+
+
+def plain_engine(claims):
+    """The whole engine over a few claims, pair by pair: (a, b) -> (score, band, rules, signals)."""
+    import re
+
+    from docketry.functions import fuzzy
+    from docketry.functions import registry as R
+
+    inv = lambda c: re.sub("[^A-Z0-9]", "", (c["invoice_no"] or "").upper())
+    words = lambda c: {w.lower() for w in re.findall("[A-Za-z]{4,}", c["text"] or "")} - set(R.TOKEN_STOP_WORDS)
+    df = {}
+    for c in claims:
+        for w in words(c):
+            df[w] = df.get(w, 0) + 1
+    blocks = {}
+    for c in claims:
+        keys = set()
+        if len(inv(c)) >= 4:
+            keys.add(("B1", inv(c)))
+        vendor = c["vendor_canonical"] or (c["vendor_raw"] or "").upper()
+        if vendor and c["total"] is not None:
+            keys.add(("B2", vendor, c["currency"] or "", int(c["total"])))
+        if c["date"]:
+            keys |= {("B3", c["employee_id"], c["date"].toordinal() + d) for d in range(-3, 4)}
+            if c["total"] is not None:
+                keys |= {("B4", c["employee_id"], c["currency"] or "", int(c["total"] / 50) + d, c["date"].isocalendar()[:2]) for d in (-1, 0, 1)}
+        if c["phash"] is not None:
+            keys |= {("B5", b, (c["phash"] >> (21 * b)) & (2**21 - 1)) for b in range(3)}
+        keys |= {("B6", w) for w in sorted((w for w in words(c) if df[w] <= 5), key=lambda w: (df[w], w))[:3]}
+        for k in keys:
+            blocks.setdefault(k, []).append(c["claim_id"])
+    by = {c["claim_id"]: c for c in claims}
+    pairs = {p for m in blocks.values() if 2 <= len(m) <= 40 for p in combinations(sorted(m), 2)}
+    pairs = {(a, b) for a, b in pairs if None in (by[a]["date"], by[b]["date"]) or abs((by[a]["date"] - by[b]["date"]).days) <= 180}
+    grams = {}
+    for c in claims:
+        if (c["text"] or "").strip():
+            g = grams[c["claim_id"]] = {}
+            for w in c["text"].lower().split():
+                w = f" {w} "
+                for k in (3, 4, 5):
+                    for i in range(len(w) - k + 1):
+                        g[w[i : i + k]] = g.get(w[i : i + k], 0) + 1
+    n, dfs = len(grams), {}
+    for g in grams.values():
+        for t in g:
+            dfs[t] = dfs.get(t, 0) + 1
+    vec = {}
+    for i, g in grams.items():
+        v = {t: k * (math.log((1 + n) / (1 + dfs[t])) + 1) for t, k in g.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vec[i] = {t: x / norm for t, x in v.items()}
+    out = {}
+    for a, b in pairs:
+        x, y = by[a], by[b]
+        s, ia, ib = {}, inv(x), inv(y)
+        if len(ia) >= 4 and len(ib) >= 4:
+            s["invoice"] = 1.0 if ia == ib else 0.8 if fuzzy.indel_ratio(ia, ib) >= 90 else 0.0
+        if None not in (x["total"], y["total"]):
+            d, big = abs(x["total"] - y["total"]), max(x["total"], y["total"])
+            if x["currency"] and y["currency"] and x["currency"] != y["currency"]:
+                s["amount"] = 0.0
+            elif d <= D("0.01"):
+                s["amount"] = 1.0
+            elif d <= 1 or d * 1000 <= big * 5:
+                s["amount"] = 0.95
+            else:
+                s["amount"] = 0.0 if d * 100 >= big * 5 else 0.95 * (0.05 - float(d) / float(big)) / 0.045
+        va, vb = (x["vendor_raw"] or "").upper(), (y["vendor_raw"] or "").upper()
+        gst = bool(x["gstin"]) and x["gstin"] == y["gstin"]
+        close = fuzzy.token_set_ratio(va, vb)
+        if gst:
+            s["vendor"] = 1.0
+        elif x["vendor_canonical"] and y["vendor_canonical"]:
+            s["vendor"] = float(x["vendor_canonical"] == y["vendor_canonical"])
+        elif va and vb:
+            s["vendor"] = close / 100
+        if x["date"] and y["date"]:
+            days = abs((x["date"] - y["date"]).days)
+            s["date"] = next((v for most, v in ((0, 1.0), (1, 0.9), (3, 0.75), (7, 0.5), (30, 0.2)) if days <= most), 0.0)
+        dist = None if None in (x["phash"], y["phash"]) else (x["phash"] ^ y["phash"]).bit_count()
+        if dist is not None:
+            s["image"] = 1 - dist / 64 if 1 - dist / 64 >= 0.9 else 0.0
+        if a in vec and b in vec:
+            s["text"] = sum(w * vec[b].get(t, 0.0) for t, w in vec[a].items())
+        den = sum(R.SIGNAL_WEIGHTS[k] for k in s)
+        score = sum(R.SIGNAL_WEIGHTS[k] * v for k, v in s.items()) / den if den else 0.0
+        same = x["employee_id"] == y["employee_id"]
+        score = round(min(max(score * (1 if same else 0.88), 0), 1), 4)
+        vendor = gst or (x["vendor_canonical"] == y["vendor_canonical"] if x["vendor_canonical"] and y["vendor_canonical"] else bool(va and vb and close >= 90))
+        money = None not in (x["total"], y["total"]) and abs(x["total"] - y["total"]) <= D("0.01") and (not x["currency"] or not y["currency"] or x["currency"] == y["currency"])
+        day = x["date"] is not None and x["date"] == y["date"]
+        rules = ["SAME_INVOICE_SAME_VENDOR"] * (len(ia) >= 4 and ia == ib and vendor)
+        twin = same and vendor and day and money
+        rules += ["SAME_EMP_VENDOR_DATE_AMOUNT"] * twin + [f"SAME_IMAGE d={dist}"] * (dist is not None and dist <= 2 and same and (vendor or money))
+        forced = bool(rules)
+        rules += ["SUSPECT_ALTERED_INVOICE_NO"] * (twin and bool(ia) and bool(ib) and ia != ib)
+        band = "EXACT" if forced else next((name for name, least in R.BANDS if score >= least), "NONE")
+        score = max(score, 0.92) if forced else score
+        if score >= 0.45 or rules:
+            out[a, b] = (score, band, rules, s)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_whole_engine_matches_plain(spark, seed):
+    rng = random.Random(seed)
+    shops = [("Sharma Sweets Corner", "V001", "29AAA"), ("Verma Book House", None, None), ("Lakeside Cafe", "V003", None), ("Corner Sharma Sweets", None, "29AAA"), ("", None, None)]
+    stuff = "masala chai samosa notebook pencil petrol diesel taxi airport lodging breakfast stapler printer cartridge".split()
+    claims = []
+    for i in range(70):
+        if claims and rng.random() < 0.45:  # a claim typed again
+            c = dict(rng.choice(claims))
+            for k, change in (("invoice_no", lambda v: v and v[:-1] + "9"), ("date", lambda v: v and v + dt.timedelta(rng.choice([0, 1, 5, 40, 300]))), ("total", lambda v: v and v + D(rng.choice(["0", "0.5", "20", "300"]))), ("employee_id", lambda v: v % 9 + 1), ("phash", lambda v: v and v ^ (1 << rng.randrange(60))), ("vendor_canonical", lambda v: None), ("text", lambda v: v and v.replace("a", "o", 1))):
+                if rng.random() < 0.3:
+                    c[k] = change(c[k])
+        else:
+            name, canon, gst = rng.choice(shops)
+            c = {"employee_id": rng.randrange(1, 10), "vendor_raw": name or None, "vendor_canonical": canon, "gstin": gst, "invoice_no": rng.choice([None, f"INV-2025-{rng.randrange(10**5):05d}", f"B{rng.randrange(99)}"]), "date": rng.choice([None, dt.date(2025, 1, 1) + dt.timedelta(rng.randrange(200))]), "total": rng.choice([None, D(rng.randrange(1000, 90000)) / 100]), "currency": rng.choice([None, "INR", "USD"]), "phash": rng.choice([None, rng.getrandbits(63)]), "text": rng.choice([None, " ", " ".join(rng.choices(stuff, k=6)), name + " " + " ".join(rng.choices(stuff, k=4))])}
+        claims.append(c | {"claim_id": i, "submitted_at": dt.datetime(2025, 1, 1) + dt.timedelta(i), "status": "SUBMITTED", "decided_at": None})
+    kind = "claim_id long, employee_id long, vendor_raw string, vendor_canonical string, gstin string, invoice_no string, date date, total decimal(12,2), currency string, submitted_at timestamp, status string, decided_at timestamp, phash long, text string"
+    d = spark.createDataFrame([tuple(c[x.split()[0]] for x in kind.split(", ")) for c in claims], kind)
+    want = plain_engine(claims)
+    got = {(r["a"], r["b"]): r for r in dedup.find_duplicates(d).collect() if "SPLIT_SUSPECT" not in r["tags"]}
+    assert set(got) == set(want) and len(want) > 20
+    for p, (score, band, rules, signals) in want.items():
+        r = got[p]
+        assert r["score"] == pytest.approx(score, abs=1.01e-4) and r["rules_fired"] == rules and r["band"] == band, p
+        assert r["signals"] == pytest.approx(signals, abs=1e-9)
+    assert {"0.8"} <= {str(s.get("invoice")) for *_, s in want.values()} and any(0 < s.get("vendor", 0) < 1 for *_, s in want.values())
+
+
+def test_reasons_list_rules_then_strong_signals(spark):
+    rows = [(1, 2, {"invoice": 1.0, "text": 0.8, "date": 0.74, "amount": 0.95}, ["R"]), (3, 4, {"date": 0.2}, [])]
+    d = spark.createDataFrame(rows, "a int, b int, signals map<string,double>, rules_fired array<string>")
+    assert [r["reasons"] for r in dedup.reasons(d).orderBy("a").collect()] == [["R", "invoice=1.00", "amount=0.95", "text=0.80"], []]
