@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import find
-from .common import corpus_size, fresh_path, read, small, tidy
+from .common import corpus_size, fresh_path, materialise, read, small, tidy
 from .textkit import word_hashes
 
-END_ID, CACHE_WORDS, FILE_BYTES = 2, 1_500_000, 32 << 20
+END_ID, CACHE_WORDS, FILE_BYTES, GROUP_BYTES = 2, 1_500_000, 32 << 20, 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -72,7 +72,7 @@ class WordEncoder:
 
     def _encoded(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, list[bytes]]:
         """Each word's ids as bytes; hashes and ids of the stems that the table does not have."""
-        low = [w.lower() for w in words]
+        low = b" ".join(words).lower().split(b" ")
         stems = [w.rstrip(TRAILING) for w in low]
         every = [x for x in set(stems) if x]
         hashes = word_hashes([b" ".join(every)])[0]
@@ -157,10 +157,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             lo = 0
-            while lo < batch.num_rows:  # a few MB of text at a time
+            while lo < batch.num_rows:  # some MB of text at a time
                 hi, size = lo, 0
                 group = []
-                while hi < batch.num_rows and size < 4_000_000:
+                while hi < batch.num_rows and size < GROUP_BYTES:
                     t = texts[hi].as_buffer().to_pybytes() if texts[hi].is_valid else b""
                     group.append(t)
                     size += len(t)
@@ -189,7 +189,7 @@ def read_token_files(spark: SparkSession, path: str, kind: str = "long") -> Data
     rows = rows_of(spark, path, kind)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     parts = rows.groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("n"))
-    base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = materialise(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "parts")
     return rows.join(small(base), "part").withColumn("start", F.col("base") + F.col("at"))
 
 
