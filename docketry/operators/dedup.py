@@ -365,17 +365,44 @@ def find_duplicates(claims: DataFrame, policy_limit: float | None = None, text_s
     return merge_pairs(pairs, extra)
 
 
+def latest_of_keys(new: DataFrame, existing: DataFrame, k: int) -> DataFrame:
+    """new_id, claim_id: for each key of a new claim at least the k latest existing claims of the window that have it.
+
+    All key rows get a place in one order, by key and falling date, undated ones last; each new claim is placed where its
+    window begins, and where the undated ones of a key begin. From its place it meets the claims of two runs of k
+    places, so a key that every claim has makes 4 k pairs a new claim at most, and its rows lie in many ranges.
+    """
+    from .evaluation import ranked
+
+    day = ordinal(F.col("date"))
+    member = incremental_keys(existing).join(existing.select("claim_id", "date"), "claim_id")
+    member = member.select("block", "key", F.col("date").isNull().cast("int").alias("undated"), F.coalesce(-day, F.lit(0)).alias("back"), F.lit(1).alias("side"), "claim_id")
+    begin = F.when(F.col("date").isNull(), F.array(F.struct(F.lit(0).alias("undated"), F.lit(-(1 << 30)).alias("back"))))
+    begin = begin.otherwise(F.array(F.struct(F.lit(0).alias("undated"), (-day - R.WINDOW_DAYS).alias("back")), F.struct(F.lit(1).alias("undated"), F.lit(0).alias("back"))))
+    probe = incremental_keys(new).join(new.select("claim_id", begin.alias("begin")), "claim_id").select("block", "key", F.inline("begin"), F.lit(0).alias("side"), "claim_id")
+    order = [F.col(c) for c in ("block", "key", "undated", "back", "side", "claim_id")]
+    placed = ranked(member.unionByName(probe), order, {"before": F.col("side")})
+    run = lambda x: F.floor(x / k).cast("long")
+    runs = F.explode(F.array(run(F.col("before")), run(F.col("before")) + 1))
+    probe = placed.where("side = 0").select("block", "key", F.col("claim_id").alias("new_id"), runs.alias("run"))
+    return probe.join(placed.where("side = 1").select("block", "key", run(F.col("before") - 1).alias("run"), "claim_id"), ["block", "key", "run"]).select("new_id", "claim_id")
+
+
+def latest_candidates(new: DataFrame, existing: DataFrame, max_candidates: int) -> DataFrame:
+    """new_id, claim_id: of the existing claims in the window that share any key with a new one, the latest max_candidates (ties by id)."""
+    near = latest_of_keys(new, existing, max_candidates + 1).where("new_id <> claim_id").distinct()
+    near = near.join(existing.select("claim_id", "date"), "claim_id").join(new.select(F.col("claim_id").alias("new_id"), F.col("date").alias("new_date")), "new_id")
+    near = near.where(F.coalesce(F.abs(F.date_diff("date", "new_date")) <= R.WINDOW_DAYS, F.lit(True)))
+    order = Window.partitionBy("new_id").orderBy(F.desc("date"), "claim_id")
+    return near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_candidates).select("new_id", "claim_id")
+
+
 def find_duplicates_for(new: DataFrame, existing: DataFrame, max_candidates: int = 400, fuzzy_match: bool = True) -> DataFrame:
     """The incremental pass: new claims against existing ones that share any key; the latest max_candidates of each.
 
     The text signal is that of a new claim and its candidates alone, as if no others were known."""
     every = existing.unionByName(new)
-    keys = incremental_keys(new).withColumnRenamed("claim_id", "new_id").join(incremental_keys(existing), ["block", "key"])
-    near = keys.select("new_id", "claim_id").where("new_id <> claim_id").distinct()
-    near = near.join(existing.select("claim_id", "date"), "claim_id").join(new.select(F.col("claim_id").alias("new_id"), F.col("date").alias("new_date")), "new_id")
-    near = near.where(F.coalesce(F.abs(F.date_diff("date", "new_date")) <= R.WINDOW_DAYS, F.lit(True)))
-    order = Window.partitionBy("new_id").orderBy(F.desc("date"), "claim_id")
-    near = settled(near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_candidates).select("new_id", "claim_id"))
+    near = settled(latest_candidates(new, existing, max_candidates))
     pair = [F.least("new_id", "claim_id").alias("a"), F.greatest("new_id", "claim_id").alias("b")]
     pairs = near.select(*pair).distinct()
     # where both claims are new, the later id is the one screened

@@ -194,6 +194,25 @@ def test_approval_guard_looks_at_the_newer_side(spark):
     assert [r[0] for r in workflow.approvable(claims, flags).collect()] == [1]
 
 
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_incremental_takes_the_latest_of_hot_keys(spark, k):
+    rng = random.Random(k)
+    day = lambda: None if rng.random() < 0.2 else dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(700))
+    one = lambda i: claim(f"C{i:03d}", employee_id=f"E{i}", vendor_canonical=f"V{rng.randrange(3)}", invoice_no=None, total=None, date=day(), phash=None, text=rng.choice(["", "paper", "paper zebra", "apple paper"]))
+    rows = [one(i) for i in range(90)]
+    old, new = table(spark, *rows), table(spark, *rows[60:])
+    keys = {}
+    for r in dedup.incremental_keys(old).collect():
+        keys.setdefault(r["claim_id"], set()).add((r["block"], r["key"]))
+    date = {r[0]: r[6] for r in rows}
+    want = set()
+    for x in (r[0] for r in rows[60:]):
+        near = [y for y in date if y != x and keys.get(x, set()) & keys.get(y, set()) and (None in (date[x], date[y]) or abs((date[x] - date[y]).days) <= 180)]
+        want |= {(x, y) for y in sorted(near, key=lambda y: (date[y] is None, -(date[y] or dt.date.min).toordinal(), y))[:k]}
+    assert len(want) > 20
+    assert {tuple(r) for r in dedup.latest_candidates(new, old, k).collect()} == want
+
+
 def test_empty_claims(spark, sf_dir):
     none = A.claims(spark, sf_dir).where("false")
     assert dedup.candidate_pairs(none).count() == 0
