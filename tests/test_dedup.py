@@ -106,6 +106,13 @@ def test_split_claims_match_plain_search(spark):
     assert {(r["a"], r["b"]) for r in dedup.split_suspects(c).collect()} == plain_splits(totals)
 
 
+def test_split_takes_the_first_combination_of_an_id_in_two_groups(spark):
+    # C9 is there twice, for two employees, and each group has two claims that add up to it
+    group = lambda e, x, y: [claim(x, employee_id=e, total=D("400")), claim(y, employee_id=e, total=D("600")), claim("C9", employee_id=e, total=D("1000"))]
+    c = table(spark, *group("E1", "C1", "C2"), *group("E2", "C3", "C4"))
+    assert {(r["a"], r["b"]) for r in dedup.split_suspects(c).collect()} == {("C1", "C9"), ("C2", "C9")}
+
+
 def test_threshold_gaming_starts_at_first_anchor(spark):
     days = [1, 20, 22, 27, 40]
     c = table(spark, *[claim(f"C{i}", total=D("4800"), date=dt.date(2025, 1, 1) + dt.timedelta(d)) for i, d in enumerate(days)])
