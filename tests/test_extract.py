@@ -46,6 +46,13 @@ def test_itemised_bill(spark):
     assert all(0 < c <= 1 for c in conf.values()) and conf["total"] > 0.85
 
 
+def test_unlabelled_amounts_are_left_to_texts_without_a_sure_total():
+    loose = lambda text: [m[3] for m in extract.matches(text, None) if m[1] == "total.any"]
+    assert loose(BILL) != [] and loose(BILL.replace("₹1,174.00", "1174.00")) == []  # only a plain number is sure to be read
+    assert "9999999.99" in loose("Total: 0.00\n9999999.99") and "12.50" in loose("Total: 12345678.00\n12.50")
+    assert [m[0] for m in extract.matches("Ce\u017f\u017f: 3.00", None)] == ["cess", "total"]  # letters that fold to others
+
+
 def test_damaged_amounts_are_repaired(spark):
     lost = BILL.replace("₹1,174.00", "117400")
     glyph = BILL.replace("₹1,174.00", "21,174.00")
