@@ -4,7 +4,7 @@ any partitioning gives the same data."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
@@ -61,11 +61,12 @@ def dataset(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 def _noisy(key: str, text: str, tier: int) -> tuple[str, list[float]]:
     rate, mean, spread = NOISE[tier]
     rng = np.random.default_rng(np.frombuffer(key.encode().ljust(8, b"."), dtype=np.uint8))
+    normal, chance, digit_rate = rng.standard_normal, rng.random, rate * 0.45
     out, conf = [], []
     for ch in text or "":
-        c = float(np.clip(rng.normal(mean, spread), 0.05, 1.0))
-        bad = ch.strip() and rng.random() < (rate * 0.45 if ch.isdigit() else rate)
-        if bad:
+        c = mean + spread * normal()
+        c = 0.05 if c < 0.05 else 1.0 if c > 1.0 else c
+        if not ch.isspace() and chance() < (digit_rate if ch.isdigit() else rate):
             c *= 0.6
             how = rng.integers(4)
             swap = CONFUSIONS.get(ch.upper(), "")
@@ -82,9 +83,11 @@ def _noisy(key: str, text: str, tier: int) -> tuple[str, list[float]]:
     return "".join(out), conf
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("char_conf", ArrayType(DoubleType()))]))
-def _noisy_udf(key: pd.Series, text: pd.Series, tier: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_noisy(k, t, int(n)) for k, t, n in zip(key, text, tier)], columns=["text", "char_conf"])
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("char_conf", ArrayType(DoubleType()))]))
+def _noisy_udf(key: pa.Array, text: pa.Array, tier: pa.Array) -> pa.Array:
+    read = [_noisy(k, t, int(n)) for k, t, n in zip(key.to_pylist(), text.to_pylist(), tier.to_pylist())]
+    conf = pa.array([c for _, c in read], pa.list_(pa.float64()))
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in read], pa.string()), conf], names=["text", "char_conf"])
 
 
 def degrade(receipts: DataFrame, tier: Column, seed: int = 42) -> DataFrame:
