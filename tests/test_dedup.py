@@ -88,6 +88,14 @@ def test_large_blocks_are_dropped(spark):
     assert dedup.candidate_pairs(table(spark, *rows[:40])).count() == 780
 
 
+def test_blocks_are_cut_before_the_exchange(spark):
+    rows = [claim(f"C{i:03d}", invoice_no="SAME-1", employee_id=f"E{i}", vendor_canonical=f"V{i}", gstin=None, total=D(i + 1)) for i in range(40)]
+    pairs = dedup.candidate_pairs(table(spark, *rows, rows[7]))  # a claim that comes twice counts once
+    assert pairs.count() == 780
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def plain_splits(rows):
     out = set()
     for w, wt in rows:
