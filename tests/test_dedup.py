@@ -244,6 +244,31 @@ def test_incremental_takes_the_latest_of_hot_keys(spark, k):
     assert {tuple(r) for r in dedup.latest_candidates(new, old, k).collect()} == want
 
 
+def test_incremental_makes_only_pairs_that_may_count(spark):
+    rng = random.Random(5)
+    some = lambda *x: rng.choice(x)
+
+    def one(i):
+        return claim(
+            f"C{i:03d}", employee_id=some("E1", "E2", "E3", None), vendor_raw=some("Sharma Traders", "Traders Sharma", "Gupta", "", None), vendor_canonical=some("V1", "V2", "", None), gstin=some(None, None, "g1", "G1"),
+            invoice_no=some(None, "A-1", f"INV-{rng.randrange(30)}", f"INV-{rng.randrange(30)}X"), total=some(None, D("0"), D("-50"), D(rng.randrange(1000, 1100)), D("1000.5")), currency=some("INR", "INR", "USD", None),
+            date=some(None, dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(300))), phash=some(None, 0, 3, 1 << 40), text=some(None, " ", "paper zebra", "apple  Paper", "apple paper zebra"),
+        )
+
+    rows = [one(i) for i in range(120)]
+    old, new = table(spark, *rows[:80]), table(spark, *rows[80:])
+    every = old.unionByName(new)
+    near = dedup.latest_candidates(new, old, 25).cache()
+    pair = near.select(F.least("new_id", "claim_id").alias("a"), F.greatest("new_id", "claim_id").alias("b"))
+    text = dedup.text_near(near, every).select(F.least("new_id", "claim_id").alias("a"), F.greatest("new_id", "claim_id").alias("b"), "text")
+    want = pairs_of(dedup.tag_resubmissions(dedup.scored_pairs(pair.distinct(), every, text), every))
+    got = pairs_of(dedup.find_duplicates_for(new, old, 25))
+    assert set(got) == set(want) and len(want) > 50
+    assert all((got[k]["score"], got[k]["band"], got[k]["rules_fired"]) == (want[k]["score"], want[k]["band"], want[k]["rules_fired"]) for k in want)
+    made = dedup.screened(new, old, 25, dedup.R.KEEP_SCORE).count()
+    assert len(want) <= made < near.count()
+
+
 def test_empty_claims(spark, sf_dir):
     none = A.claims(spark, sf_dir).where("false")
     assert dedup.candidate_pairs(none).count() == 0
