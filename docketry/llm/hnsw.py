@@ -1,7 +1,7 @@
 """A hierarchical navigable small-world graph over unit vectors, built and searched in batches with numpy.
 
 Points are inserted in batches: a batch searches the graph as it stands (all its beams advance in lock
-step), is linked to diverse neighbours among what it found and among itself, and is linked back. Upper
+step; up to SMALL points one matrix product costs less and finds the same or better), is linked to diverse neighbours among what it found and among itself, and is linked back. Upper
 levels hold a 1/M share of the level below, by a hash of the id, so a rebuild gives the same graph.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 
 from .textkit import mix64
 
-M, M0, EF_BUILD, BATCH, BRIDGES, HUB_SIM, HUB_SIZE = 12, 24, 48, 512, 4, 0.8, 4
+M, M0, EF_BUILD, BATCH, BRIDGES, HUB_SIM, HUB_SIZE, SMALL = 12, 24, 48, 512, 4, 0.8, 4, 16_384
 
 
 class Level:
@@ -35,63 +35,72 @@ class Level:
         sims[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("qkd,qd->qk", self.x[ids[:, :k]], q), -9)
         seen[rows, ids[:, :k]] = True
         live = np.arange(nq)
+        ahead = max(1, ef // 8)  # every point that stays in a beam is opened in the end, so opening some at once adds little
         while len(live):
             open_ = np.where(done[live] | (ids[live] < 0), -9, sims[live])
-            at = open_.argmax(1)
-            go = open_[np.arange(len(live)), at] > -9
-            live, at = live[go], at[go]
+            live = live[go := open_.max(1) > -9]
             if not len(live):
                 break
-            done[live, at] = True
-            near = self.nbrs[ids[live, at]]
-            fresh = ~seen[live[:, None], near] & (near >= 0)
-            seen[live[:, None], near] = True
-            s = np.einsum("qkd,qd->qk", self.x[near], q[live])
-            s = np.where(fresh, s, -9)
+            open_ = open_[go]
+            at = np.argpartition(-open_, ahead - 1, 1)[:, :ahead] if ahead < ef else np.arange(ef)[None, :].repeat(len(live), 0)
+            col = live[:, None]
+            from_ = np.where(np.take_along_axis(open_, at, 1) > -9, ids[col, at], -1)
+            done[col, at] = True
+            near = np.where(from_[:, :, None] >= 0, self.nbrs[from_], -1)
+            for k in range(near.shape[1]):  # a point counts where it is met first
+                n = near[:, k]
+                n[seen[col, n]] = -1
+                seen[col, n] = True
+                seen[:, -1] = False
+            near = near.reshape(len(live), -1)
+            r, c = np.nonzero(near >= 0)
+            s = np.full(near.shape, -9, dtype=np.float32)
+            s[r, c] = np.einsum("nd,nd->n", self.x[near[r, c]], q[live[r]])
             all_s = np.concatenate([sims[live], s], 1)
-            top = np.argsort(-all_s, 1, kind="stable")[:, :ef]
-            r = np.arange(len(live))[:, None]
-            ids[live] = np.where(all_s[r, top] > -9, np.concatenate([ids[live], near], 1)[r, top], -1)
-            done[live] = np.concatenate([done[live], np.zeros_like(fresh)], 1)[r, top]
-            sims[live] = all_s[r, top]
+            top = np.argpartition(-all_s, ef - 1, 1)[:, :ef]
+            best = np.take_along_axis(all_s, top, 1)
+            ids[live] = np.where(best > -9, np.take_along_axis(np.concatenate([ids[live], near], 1), top, 1), -1)
+            done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(near.shape, dtype=bool)], 1), top, 1)
+            sims[live] = best
+        order = np.argsort(-sims, 1, kind="stable")
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         return ids, sims
 
     def choose(self, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """Up to width diverse neighbours from candidates (best first): one is taken unless it is nearer to a
         taken one than to the point; free places go to the best of the rest."""
         n, c = ids.shape
-        taken = np.full((n, self.width), -1, dtype=np.int32)
-        vec = np.zeros((n, self.width, self.x.shape[1]), dtype=np.float32)
+        vec = self.x[ids]
+        among = vec @ vec.transpose(0, 2, 1)
+        nearest = np.full((n, c), -9, dtype=np.float32)  # of each candidate to the taken ones
         count = np.zeros(n, dtype=np.int64)
         used = np.zeros((n, c), dtype=bool)
-        rows = np.arange(n)
         for j in range(c):
-            v = self.x[ids[:, j]]
-            close = np.where(np.arange(self.width)[None, :] < count[:, None], np.einsum("nwd,nd->nw", vec, v), -9).max(1)
-            ok = (ids[:, j] >= 0) & (count < self.width) & (close < sims[:, j])
-            r = rows[ok]
-            taken[r, count[r]] = ids[r, j]
-            vec[r, count[r]] = v[r]
+            r = np.flatnonzero((ids[:, j] >= 0) & (count < self.width) & (nearest[:, j] < sims[:, j]))
+            nearest[r, j + 1 :] = np.maximum(nearest[r, j + 1 :], among[r, j, j + 1 :])
             count[r] += 1
             used[r, j] = True
-        for j in range(c):
-            ok = (ids[:, j] >= 0) & ~used[:, j] & (count < self.width)
-            r = rows[ok]
-            if len(r):
-                taken[r, count[r]] = ids[r, j]
-                count[r] += 1
+        taken = np.full((n, self.width), -1, dtype=np.int32)
+        rest = (ids >= 0) & ~used
+        place = np.where(used, np.cumsum(used, 1) - 1, count[:, None] + np.cumsum(rest, 1) - 1)
+        r, j = np.nonzero((used | rest) & (place < self.width))
+        taken[r, place[r, j]] = ids[r, j]
         return taken
 
     def insert(self, upto: int, entry: np.ndarray | None) -> None:
         """Insert the points n:upto; entry: entry points of each (None for the first batch)."""
         new = np.arange(self.n, upto)
         x = self.x[new]
-        among = x @ x.T
-        np.fill_diagonal(among, -9)
-        k = min(EF_BUILD, len(new) - 1)
-        part = np.argsort(-among, 1, kind="stable")[:, :k]
-        ids, sims = new[part].astype(np.int32), np.take_along_axis(among, part, 1)
-        if entry is not None:
+        # one product with all points costs less than beams while the graph is small; else beams and the batch itself
+        small = upto <= SMALL
+        pool = np.arange(upto) if small else new
+        among = x @ self.x[pool].T
+        among[np.arange(len(new)), new - pool[0]] = -9
+        k = min(EF_BUILD, len(pool) - 1)
+        part = np.argpartition(-among, max(k - 1, 0), 1)[:, :k]
+        part = np.take_along_axis(part, np.argsort(-np.take_along_axis(among, part, 1), 1, kind="stable"), 1)
+        ids, sims = pool[part].astype(np.int32), np.take_along_axis(among, part, 1)
+        if not small:
             a, s = self.search(x, entry, EF_BUILD)
             ids, sims = np.concatenate([ids, a], 1), np.concatenate([sims, s], 1)
             top = np.argsort(-sims, 1, kind="stable")[:, :EF_BUILD]
@@ -117,8 +126,8 @@ class Level:
         have = self.nbrs[who, : self.width]
         extra = np.where((extra[:, :, None] == have[:, None, :]).any(2), -1, extra)
         cand = np.concatenate([have, extra], 1)
-        for lo in range(0, len(who), 2048):
-            c, w = cand[lo : lo + 2048], who[lo : lo + 2048]
+        for lo in range(0, len(who), 512):
+            c, w = cand[lo : lo + 512], who[lo : lo + 512]
             s = np.where(c >= 0, np.einsum("ncd,nd->nc", self.x[c], self.x[w]), -9)
             top = np.argsort(-s, 1, kind="stable")
             self.nbrs[w, : self.width] = self.choose(np.take_along_axis(c, top, 1), np.take_along_axis(s, top, 1))
@@ -168,7 +177,7 @@ class Graph:
             while lv.n < len(lv.x):
                 upto = min(len(lv.x), lv.n + min(BATCH, max(64, lv.n)))
                 entry = None
-                if lv.n:
+                if lv.n and upto > SMALL:
                     entry = self.entries(lv.x[lv.n : upto], k) if k < top else np.zeros((upto - lv.n, 1), dtype=np.int32)
                 lv.insert(upto, entry)
             lv.connect()

@@ -671,3 +671,22 @@ def test_pipeline_matches_plain_steps(spark, sf_dir):
     assert abs(sum(len(plain.words(r["text"])) for r in four.collect()) - 1.5 * sizes) <= 20
     five = p.STAGES[4][1](spark, four, sf_dir)
     assert five.agg({"n_words": "sum"}).first()[0] == sum(len(plain.words(r["text"])) for r in four.collect())
+
+
+def test_small_graphs_are_built_without_beams_and_beams_open_several_points(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
+    steps = []
+    search = hnsw.Level.search
+    monkeypatch.setattr(hnsw.Level, "search", lambda *a: steps.append(a[3]) or search(*a))
+    g = hnsw.Graph(np.arange(1200), x)
+    assert not steps
+    monkeypatch.setattr(hnsw, "SMALL", 300)
+    by_beams = hnsw.Graph(np.arange(1200), x)
+    assert steps
+    sims = g.unit @ g.unit.T
+    want = np.argsort(-sims, 1)[:, :10]
+    for graph in (g, by_beams):
+        ids, got = graph.levels[0].search(graph.unit, graph.entries(graph.unit, 0), 64)
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids.tolist() for r in [np.array(r)]) and (np.diff(got, axis=1) <= 0).all()
+        assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), want.tolist())]) > 0.98
