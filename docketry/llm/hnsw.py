@@ -34,6 +34,9 @@ class Level:
         ids[:, :k] = entry[:, :k]
         sims[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("qkd,qd->qk", self.x[ids[:, :k]], q), -9)
         seen[rows, ids[:, :k]] = True
+        seen[:, -1] = True
+        seen, first = seen.reshape(-1), np.arange(nq) * (self.n + 1)
+        nbrs = self.nbrs[:, : self.width + int((self.nbrs[:, self.width :] >= 0).any(0).sum())]  # bridges fill from the left
         live = np.arange(nq)
         ahead = max(1, ef // 8)  # every point that stays in a beam is opened in the end, so opening some at once adds little
         while len(live):
@@ -46,14 +49,15 @@ class Level:
             col = live[:, None]
             from_ = np.where(np.take_along_axis(open_, at, 1) > -9, ids[col, at], -1)
             done[col, at] = True
-            near = np.where(from_[:, :, None] >= 0, self.nbrs[from_], -1)
+            near = nbrs[from_].astype(np.int64)
+            near[(from_[:, :, None] < 0) | (near < 0)] = self.n
+            fresh = np.empty(near.shape, dtype=bool)
             for k in range(near.shape[1]):  # a point counts where it is met first
-                n = near[:, k]
-                n[seen[col, n]] = -1
-                seen[col, n] = True
-                seen[:, -1] = False
-            near = near.reshape(len(live), -1)
-            r, c = np.nonzero(near >= 0)
+                place = near[:, k] + first[live][:, None]
+                fresh[:, k] = ~seen.take(place)
+                seen[place.reshape(-1)] = True
+            near, fresh = near.reshape(len(live), -1), fresh.reshape(len(live), -1)
+            r, c = np.nonzero(fresh)
             s = np.full(near.shape, -9, dtype=np.float32)
             s[r, c] = np.einsum("nd,nd->n", self.x[near[r, c]], q[live[r]])
             all_s = np.concatenate([sims[live], s], 1)
