@@ -5,9 +5,10 @@ import time
 from decimal import Decimal as D
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docketry.operators import extract
+from docketry.operators import extract, linemodel
 from docketry.sources import generators, receipts_io
 
 AS_OF = dt.date(2025, 6, 1)
@@ -205,3 +206,55 @@ def test_tables_are_written_whole(spark, tmp_path):
     assert [r["source"] for r in receipts_io.prefer_sidecar(ids, text("a"), text("a", "b")).orderBy("receipt_id").collect()] == ["sidecar", "ocr", "missing"]
     receipts_io.write_errors(spark.createDataFrame([(2, "x"), (1, "y")], "receipt_id int, field string"), str(tmp_path / "e"), cap=1)
     assert spark.read.csv(str(tmp_path / "e"), header=True).first()["receipt_id"] == "1"
+
+
+def test_line_roles_are_those_of_the_pipeline(spark):
+    """The kernel scores lines as the trained pipeline's own transform does, whatever their characters."""
+    rng = random.Random(5)
+    odd = ["", " ", "\t a  b\t", "₹1,174.00", "12.34₹", "12.34x", "12.345", "1,23_", "7.25", "é 12.34é", "١٢.٣٤", "Σας ΣΑΣ ΟΔΟΣ", "İstanbul", "ǅ Ⅷ  x y", "कुल राशि: ₹९०.००", "a\x1cb\x0bc", "😀 12.34😀", "ab", "x" * 300 + " Total 5.00", "€5 £6 $7 %", "ＡＢＣ"]
+    made = ["".join(rng.choice("aAzZ09.,: \t₹éΣ٣_-") for _ in range(rng.randrange(40))) for _ in range(100)]
+    texts = [*BILL.split("\n"), *SLIP.split("\n"), *odd, *made] * 2
+    rows = [(i // 20, i % 20, t, 20, ("OTHER", "TOTAL", "ITEM", "DATE")[sum(map(ord, t)) % 4]) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "receipt_id long, line_no int, text string, n int, role string")
+    for vocabulary in (30_000, 60):
+        model = linemodel.train(lines, vocabulary=vocabulary, rounds=3)
+        said = model.transform(linemodel.featured(lines))
+        want = {(r["receipt_id"], r["line_no"]): r["probability"].toArray() for r in said.select("receipt_id", "line_no", "probability").collect()}
+        got = {(r["receipt_id"], r["line_no"]): [r["roles"][x] for x in model.stages[0].labels] for r in linemodel.predict(model, lines).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
+        labels = model.stages[0].labels
+        counts = sorted((r["role"], labels[int(r["prediction"])], r["count"]) for r in said.groupBy("role", "prediction").count().collect())
+        assert sorted(map(tuple, linemodel.confusion(model, lines).collect())) == counts
+
+
+def test_tables_of_grams_are_searched_where_they_are_large(monkeypatch):
+    from docketry.operators import lineweights
+
+    grams, rng = [" 总", " 总 ", "总计额", " ab", " ab ", " abcd", "abc", "bcd", "abcde"], np.random.default_rng(3)
+    grams = [g for g in grams if len(g) > 2]
+    weights, shape = rng.random((len(grams), 3)), rng.random((8, 3))
+    texts = pa.array(["abcde ab", "总 总计额", "zz", "", "ab\tabcd"])
+    make = lambda: lineweights.LineWeights(list("xyz"), grams, weights, shape, np.zeros(3)).built()._of_grams(texts)
+    padded = [[f" {w} " for w in t.split()] for t in texts.to_pylist()]
+    want = [sum((weights[i] for p in words for i, g in enumerate(grams) for j in range(len(p)) if p.startswith(g, j)), np.zeros(3)) for words in padded]
+    dense = make()
+    monkeypatch.setattr(lineweights, "CELLS", 0)
+    assert np.allclose(dense, want) and np.allclose(make(), want)
+
+
+def test_the_sample_of_a_line_model_is_the_smallest_hashes(spark, monkeypatch):
+    """Receipts are made once: the first lines bound the sample, which stays the lines of least hash."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return "\n".join(BILL.split("\n")[: 1 + i % 14])
+
+    receipts = spark.range(60).select(F.col("id").alias("receipt_id"), F.udf(text)("id").alias("text"))
+    given = []
+    monkeypatch.setattr(linemodel, "train", lambda sample: given.extend(map(tuple, sample.select("receipt_id", "line_no", "role").collect())))
+    _, lines = linemodel.trained(receipts, bound=40)
+    whole = list(map(tuple, lines.select("receipt_id", "line_no", "role").collect()))
+    assert made.value == 60
+    rank = {(r[0], r[1]): r[2] for r in lines.select("receipt_id", "line_no", F.xxhash64("receipt_id", "line_no")).collect()}
+    assert given == sorted(whole, key=lambda r: rank[r[:2]])[:40] and len(whole) == sum(1 + i % 14 for i in range(60))
