@@ -5,10 +5,11 @@ from collections import Counter
 from decimal import Decimal as D
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.operators import dedup, evaluation, workflow
+from docketry.operators import dedup, evaluation, splits, workflow
 from docketry.plans import adapter as A
 from docketry.plans import catalogue
 
@@ -114,6 +115,32 @@ def test_split_claims_match_plain_search(spark):
     assert {(r["a"], r["b"]) for r in dedup.split_suspects(c).collect()} == plain_splits(totals)
 
 
+def test_split_claims_of_large_groups_match_plain_search(spark):
+    """Groups of more than 8 claims are searched too: totals of few units, and others, some of which equal parts of a cent more."""
+    whole = [(f"C{i:02d}", D(100 * (1 + i * 7 % 11))) for i in range(14)]
+    mixed = [(f"D{i:02d}", D(["1000.00", "0.01", "333.34", "999.99", "-5.00", "666.67", "4.00"][i % 7]) + i // 7) for i in range(12)]
+    c = table(spark, *[claim(i, total=t) for i, t in whole], *[claim(i, employee_id="E2", total=t) for i, t in mixed])
+    want = plain_splits(whole) | plain_splits(mixed)
+    assert want and {(r["a"], r["b"]) for r in dedup.split_suspects(c).collect()} == want
+
+
+def test_split_search_with_ids_of_several_totals(monkeypatch):
+    rng = random.Random(3)
+    for at_once in (1 << 20, 20):
+        monkeypatch.setattr(splits, "AT_ONCE", at_once)
+        rows = sorted({(rng.randrange(10), rng.randrange(100, 2000)) for _ in range(12)})
+        found = splits.combinations(np.unique([r for r, _ in rows], return_inverse=True)[1], np.array([c for _, c in rows]))
+        names = sorted({r for r, _ in rows})
+        for k, (w, parts) in zip(splits.SIZES, found):
+            want = {}
+            for r, c in rows:
+                combos = [tuple(x for x, _ in p) for p in combinations([x for x in rows if x[0] != r], k) if abs(sum(t for _, t in p) - c) * 100 <= c]
+                combos = [x for x in combos if len(set(x)) == k]
+                if combos:
+                    want[r] = min(*combos, want.get(r, combos[0]))
+            assert {names[a]: tuple(names[x] for x in p) for a, p in zip(w.tolist(), parts.tolist())} == want
+
+
 def test_split_takes_the_first_combination_of_an_id_in_two_groups(spark):
     # C9 is there twice, for two employees, and each group has two claims that add up to it
     group = lambda e, x, y: [claim(x, employee_id=e, total=D("400")), claim(y, employee_id=e, total=D("600")), claim("C9", employee_id=e, total=D("1000"))]
