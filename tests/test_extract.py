@@ -227,6 +227,20 @@ def test_line_roles_are_those_of_the_pipeline(spark):
         assert sorted(map(tuple, linemodel.confusion(model, lines).collect())) == counts
 
 
+def test_a_line_model_learns_from_all_lines(spark, monkeypatch):
+    receipts = spark.range(3000).select(F.col("id").alias("receipt_id"), F.lit("\n".join(BILL.split("\n")[:9])).alias("text"))
+    monkeypatch.setattr(linemodel, "train", lambda lines: lines.groupBy("role").count().collect())
+    said, lines = linemodel.trained(receipts)
+    assert sum(r["count"] for r in said) == lines.count() == 27_000
+
+
+def test_features_in_batches_are_those_of_columns(spark):
+    texts = [*BILL.split("\n"), "", " ", "\t a  b\t", "₹1,174.00", "12.345", "é 12.34é", "Σας ΟΔΟΣ", "İstanbul", "a\x1cb\x0bc d\xa0e", "कुल: ₹९०.००", "😀 12.34😀", "x" * 300]
+    lines = spark.createDataFrame([(1, i, t, len(texts), "OTHER") for i, t in enumerate(texts)], "receipt_id long, line_no int, text string, n int, role string")
+    want, got = ([(r["grams"], r["shape"].toArray().tolist()) for r in f(lines.coalesce(1)).collect()] for f in (linemodel.featured, linemodel.features))
+    assert [g for g, _ in got] == [g for g, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
 def test_tables_of_grams_are_searched_where_they_are_large(monkeypatch):
     from docketry.operators import lineweights
 
