@@ -83,6 +83,18 @@ def test_resubmission_raises_the_band(spark):
     assert r["tags"] == ["RESUBMIT_AFTER_REJECT"]
 
 
+def test_texts_are_compared_only_where_they_can_count(spark, monkeypatch):
+    far = dict(employee_id="E2", vendor_canonical="V9", gstin=None, total=D("5"), date=dt.date(2025, 5, 1))
+    # C1 and C2 count anyhow, C1 and C3 by their texts, C1 and C4 in no way
+    c = table(spark, claim("C1", text="taxi to the airport"), claim("C2", text="taxi"), claim("C3", invoice_no="ZZ-9", text="taxi to the airport", vendor_canonical="V9", gstin=None, total=D("5")), claim("C4", invoice_no="ZZ-9999", text="taxi to the airport", **far))
+    pairs = spark.createDataFrame([("C1", "C2"), ("C1", "C3"), ("C1", "C4")], "a string, b string")
+    want = {k: tuple(r) for k, r in pairs_of(dedup.scored_pairs(pairs, c, dedup.text_signal(pairs, c))).items()}
+    asked, made = [], dedup.text_signal
+    monkeypatch.setattr(dedup, "text_signal", lambda p, x: asked.extend(map(tuple, p.select("a", "b").collect())) or made(p, x))
+    assert {k: tuple(r) for k, r in pairs_of(dedup.scored_with_text(pairs, c)).items()} == want
+    assert sorted(asked) == [("C1", "C2"), ("C1", "C3")] and set(want) == set(asked)
+
+
 def test_large_blocks_are_dropped(spark):
     rows = [claim(f"C{i:03d}", invoice_no="SAME-1", employee_id=f"E{i}", vendor_canonical=f"V{i}", gstin=None, total=D(i + 1)) for i in range(41)]
     assert dedup.candidate_pairs(table(spark, *rows)).count() == 0
